@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, html_extract, langid, packing, sharding, topk, toxicity
+from gridloom.llm import ann, bpe, html_extract, jaccard, langid, packing, sharding, substring, topk, toxicity
 from gridloom.llm.common import table
 
 
@@ -27,6 +27,16 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), codec)
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty nearest found of each twentieth vector."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without passages of documents before it."""
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of near equal bytes."""
     return sharding.kd_shards(table(spark, sf_dir, "documents"))
@@ -47,9 +57,16 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_of_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of similar documents."""
+    return jaccard.similar_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (op1_html_main_text, op2_best_fit_packing, op3_byte_bpe, op6_kd_sharding, op7_exact_top_k, op8_language_id, op9_toxicity)}
+    found = (op1_html_main_text, op2_best_fit_packing, op3_byte_bpe, op4_nearest_neighbours, op5_substring_dedup, op6_kd_sharding)
+    found += (op7_exact_top_k, op8_language_id, op9_toxicity, op10_jaccard_join)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
