@@ -86,10 +86,11 @@ def halves(distances: np.ndarray) -> np.ndarray:
     return labels
 
 
-def bisect_by_capacity(points: DataFrame, key: str, capacities: tuple[int, ...] = SYNTHESISED_CAPACITIES) -> DataFrame:
+def bisect_by_capacity(points: DataFrame, key: str, capacities: tuple[int, ...] = SYNTHESISED_CAPACITIES, costs: DataFrame | None = None) -> DataFrame:
     """(key, point, cluster, load, size_kva): points of each area in clusters that a transformer can serve.
 
-    ``points`` has the key, point, x, y, kind, power and count.  A cluster whose
+    ``points`` has the key, point, x, y, kind, power and count; distances are straight
+    or, with ``costs`` (key, i, j, cost), those of the network.  A cluster whose
     coincident load reaches the largest capacity is cut in two by average linkage,
     the oldest first, until it is served or has fewer than five points.
     """
@@ -100,14 +101,23 @@ def bisect_by_capacity(points: DataFrame, key: str, capacities: tuple[int, ...]
         double = min((2 * c for c in capacities[2:4] if 2 * c > 1.15 * load), default=math.inf)
         return single if double > single else double
 
-    def area(group: pd.DataFrame) -> pd.DataFrame:
+    def area(group: pd.DataFrame, network: pd.DataFrame | None = None) -> pd.DataFrame:
         group = group.sort_values("point").reset_index(drop=True)
-        xy = group[["x", "y"]].to_numpy(float)
+        if network is None:
+            x, y = group["x"].to_numpy(float), group["y"].to_numpy(float)
+            distances = np.hypot(x[:, None] - x[None, :], y[:, None] - y[None, :])
+        else:
+            place = {p: i for i, p in enumerate(group["point"])}
+            i, j = network["i"].map(place), network["j"].map(place)
+            known = i.notna() & j.notna()
+            distances = np.full((len(group), len(group)), network["cost"].sum() + 1.0)
+            distances[i[known].astype(int), j[known].astype(int)] = network["cost"][known]
+            distances = np.minimum(distances, distances.T)
         kinds, powers, counts = (group[c].tolist() for c in ("kind", "power", "count"))
         queue, out = [np.arange(len(group))] if len(group) > 1 else [], []
         while queue:
             at = queue.pop(0)
-            labels = halves(np.hypot(*(xy[at][:, None, :] - xy[at][None, :, :]).transpose(2, 0, 1)))
+            labels = halves(distances[np.ix_(at, at)])
             for side in (0, 1):
                 part = at[labels == side]
                 load = coincident_load(*[[v[i] for i in part] for v in (kinds, powers, counts)])
@@ -119,7 +129,11 @@ def bisect_by_capacity(points: DataFrame, key: str, capacities: tuple[int, ...]
         return pd.DataFrame(rows, columns=[key, "point", "cluster", "load", "size_kva"])
 
     kind = dict(points.dtypes)
-    return points.groupBy(key).applyInPandas(area, f"{key} {kind[key]}, point {kind['point']}, cluster long, load double, size_kva double")
+    schema = f"{key} {kind[key]}, point {kind['point']}, cluster long, load double, size_kva double"
+    if costs is None:
+        return points.groupBy(key).applyInPandas(lambda group: area(group), schema)
+    empty = pd.DataFrame(columns=[key, "point", "cluster", "load", "size_kva"])
+    return points.groupBy(key).cogroup(costs.groupBy(key)).applyInPandas(lambda group, network: area(group, network) if len(group) else empty, schema)
 
 
 def assign_to_transformers(costs: DataFrame, consumers: DataFrame, key: str) -> DataFrame:

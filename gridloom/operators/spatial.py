@@ -64,6 +64,36 @@ def nearest(left: DataFrame, right: DataFrame, k: int, radius: float, left_id: s
         todo, radius = rest, radius * 4
 
 
+def nearest_lines(points: DataFrame, lines: DataFrame, radius: float, most: float, point_id: str, line_id: str, xy: tuple[str, str], line: str, least: float = 0.0) -> DataFrame:
+    """(point, line, distance, at): the line nearest to each point, farther than ``least`` and within ``most``.
+
+    ``at`` is the fraction of the line's length nearest to the point.  Segments are
+    put into the cells that they pass, and points look around; the radius grows
+    until all have found a line or ``most`` is reached.
+    """
+    out, todo, radius = None, points.select(F.col(point_id), *xy), min(radius, most)
+    while True:
+        parts = lines.select(F.col(line_id), F.col(line).alias("__line"), F.explode(G.segments(F.col(line))).alias("__s"))
+        for axis in ("x", "y"):
+            low, high = F.least(f"__s.a.{axis}", f"__s.b.{axis}"), F.greatest(f"__s.a.{axis}", f"__s.b.{axis}")
+            parts = parts.withColumn(f"__c{axis}", F.explode(F.sequence(_cell(low, radius), _cell(high, radius))))
+        around = todo
+        for axis, c in zip(("x", "y"), xy, strict=True):
+            around = around.withColumn(f"__c{axis}", _around(F.col(c), radius, radius))
+        p = G.point(F.col(xy[0]), F.col(xy[1]))
+        found = around.join(parts, ["__cx", "__cy"]).select(point_id, line_id, "__line", p.alias("__p"), G.distance_to_line(F.array("__s.a", "__s.b"), p).alias("distance"))
+        found = found.where((F.col("distance") > least) & (F.col("distance") <= radius))
+        best = found.groupBy(point_id).agg(F.min_by(F.struct(line_id, "__line", "__p", "distance"), F.struct("distance", line_id)).alias("m"))
+        best = best.select(point_id, F.col(f"m.{line_id}").alias(line_id), F.col("m.distance").alias("distance"), G.locate(F.col("m.__line"), F.col("m.__p")).alias("at"))
+        out = best if out is None else out.unionByName(best)
+        if radius >= most:
+            return out
+        todo = todo.join(best.select(point_id), point_id, "left_anti")
+        if todo.isEmpty():
+            return out
+        radius = min(most, radius * 4)
+
+
 def points_in_polygons(points: DataFrame, polygons: DataFrame, xy: tuple[str, str], ring: str, size: float) -> DataFrame:
     """All pairs of a point and a polygon around it.
 
