@@ -46,7 +46,7 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_map(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, most: int = 4 << 20) -> DataFrame:
+def arrow_map(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, most: int = 1 << 20) -> DataFrame:
     """Apply ``fn`` to slices of at most ``most`` bytes of ``column``, or one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 ROWS = 2
 #: Cells of a block, as a power of two, and hashes that a partition gathers before it emits.
 BLOCK_BITS = 17
-FLUSH = 1 << 22
+FLUSH = 1 << 21
 _SPREAD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 _SCHEMA = pa.schema([("block", pa.int32()), ("cells", pa.binary())])
 
@@ -104,6 +104,18 @@ def at_least_two(counts: np.ndarray) -> np.ndarray:
     return np.packbits(counts >= 2, bitorder="little")
 
 
+def levels(counts: np.ndarray) -> np.ndarray:
+    """Four bits a cell: the power of two that its count reaches, 0 for none or one."""
+    level = np.minimum(np.log2(np.maximum(counts, 1)), 15).astype(np.uint8)
+    return level[::2] | level[1::2] << 4
+
+
+def level_of(packed: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The level of each hash in a sketch of one row."""
+    c = cells(hashes, 0, bits)
+    return packed[c >> 1] >> ((c & 1) << 2).astype(np.uint8) & 15
+
+
 def at_least_one(counts: np.ndarray) -> np.ndarray:
     """One bit a cell: whether it counted anything."""
     return np.packbits(counts >= 1, bitorder="little")

@@ -122,7 +122,7 @@ class Words:
         return mix(spans_hash(words, start, start + size, WORD_BASE[lane]))
 
 
-def chunks(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most ``most`` bytes of text each, one row at least."""
     texts = batch.column(batch.schema.get_field_index(column))
     if not len(texts):
