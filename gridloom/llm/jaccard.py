@@ -9,18 +9,19 @@ copies:
 2. Shingles are ordered from the rarest on, by a frequency sketch over all
    documents.  Two linked documents share a shingle within their prefixes, so
    only prefix rows are shuffled.
-3. Star round: in each bucket of a shingle the smallest document is the hub; every
-   document is compared with the hub that it shares most prefix shingles with.
-   That joins nearly all of a group of near copies at the cost of one comparison
-   a document.
-4. Exact round: buckets whose documents are in different components after the star
-   round give every pair across components (pairs within one are settled).
+3. Star rounds: in each bucket of a shingle the most central document, the one whose
+   prefix is the most frequent elsewhere, is the hub; every document is compared
+   with the hub that it shares most prefix shingles with.  That joins nearly all of
+   a group of near copies to their origin at the cost of one comparison a document.
+   The second round does so for documents that are not in the largest component of
+   a bucket yet, with the most central one in it.
+4. Exact round: buckets whose documents are still in different components give every
+   pair across components (pairs within one are settled).
 5. Candidates pass the length, the positional and the suffix filter, are made
    unique, and are verified once on whole sets.
 
-Shingles that very many documents share are dealt over salts in the star round; the
-exact round then meets the few documents outside the largest component of a bucket
-with the rest.
+Hubs and counts of a bucket are aggregates and are joined back, so a shingle that
+very many documents share is not gathered in one task.
 
 Defined results: a null or empty text has no shingles and no links; a text of fewer
 words than a shingle is one shingle; rows without an id take no part and are left
@@ -38,17 +39,17 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import staged
 from gridloom.llm.components import components
-from gridloom.llm.sketch import at_least_one, bits_for, cells, marked, merged_sketch
+from gridloom.llm.sketch import at_least_one, bits_for, level_of, levels, marked, merged_sketch
 from gridloom.llm.textops import WORD_BASE, Words, chunks, mix, spans_hash
 
 SIZE = 5
 PERCENT = 80
-#: Most bits of the frequency sketch (counters of two bytes) and of the filter of ids.
-FREQUENCY_BITS, ID_BITS = 24, 27
+#: Most bits of the frequency sketch (four bits a cell: 64 MB) and of the filter of ids.
+FREQUENCY_BITS, ID_BITS = 27, 27
+#: Bytes of text for each cell of the frequency sketch: some two shingles.
+BYTES_A_CELL = 13
 #: Parts of a shingle's hash range whose counts bound an overlap.
 PARTS = 32
-#: A shingle above this many times the mean load of a cell is dealt over salts.
-HOT, SALTS = 8, 64
 
 
 class Shingles:
@@ -92,10 +93,13 @@ def needed_overlap(a: F.Column, b: F.Column, percent: int) -> F.Column:
     return F.ceil((a + b) * F.lit(percent) / F.lit(100 + percent) - F.lit(1e-9))
 
 
-def _fits(percent: int, x: str, y: str) -> F.Column:
-    """Length and positional filter of a common prefix shingle at places pos_x and pos_y."""
-    nx, ny, px, py = (F.col(f"{c}_{s}") for c in ("n", "pos") for s in (x, y))
-    most = F.least(px, py) + 1 + F.least(nx - px - 1, ny - py - 1)
+def _fits(percent: int, x: str, y: str, before: str = "pos") -> F.Column:
+    """Length and positional filter of a common prefix shingle at places pos_x and pos_y.
+
+    Of what lies before it, at most ``before`` shingles of either can be common.
+    """
+    nx, ny, px, py, bx, by = (F.col(f"{c}_{s}") for c in ("n", "pos", before) for s in (x, y))
+    most = F.least(bx, by) + 1 + F.least(nx - px - 1, ny - py - 1)
     return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (most >= needed_overlap(nx, ny, percent))
 
 
@@ -114,18 +118,18 @@ def document_sets(source: DataFrame, size: int) -> DataFrame:
 
 
 def prefixes(source: DataFrame, size: int, percent: int, texts_size: int) -> DataFrame:
-    """(token, salt, id, n, pos): the prefix shingles of each document, the rarest first.
+    """(token, id, n, pos, central): the prefix shingles of each document, the rarest first.
 
-    Of equal sets in one task, one document is enough.
+    ``central`` adds up how frequent they are.  Of equal sets in one task, one
+    document is enough.
     """
-    bits = min(FREQUENCY_BITS, bits_for(texts_size // 48, FREQUENCY_BITS))
+    bits = min(FREQUENCY_BITS, max(12, (texts_size // BYTES_A_CELL).bit_length()))
 
     def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for part in chunks(batch, "text"):
             yield Shingles(part.column(0), size).hashes
 
-    counters = merged_sketch(source.select("text"), hashes, bits, 65535, lambda c: c.astype(np.uint16), rows=1)[0]
-    hot = HOT * float(counters.mean()) + 256
+    counters = merged_sketch(source.select("text"), hashes, bits, 65535, levels, rows=1)[0]
     shared = source.sparkSession.sparkContext.broadcast(counters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +137,7 @@ def prefixes(source: DataFrame, size: int, percent: int, texts_size: int) -> Dat
         for batch in batches:
             for part in chunks(batch, "text"):
                 sets = Shingles(part.column(1), size)
-                estimate = shared.value[cells(sets.hashes, 0, bits)]
+                estimate = level_of(shared.value, sets.hashes, bits)
                 order = np.lexsort((sets.hashes, estimate, sets.text))
                 token, estimate, text = sets.hashes[order], estimate[order], sets.text[order]
                 pos = np.arange(len(token)) - sets.edges[:-1][text]
@@ -146,17 +150,18 @@ def prefixes(source: DataFrame, size: int, percent: int, texts_size: int) -> Dat
                     seen.add(key)
                 if len(seen) > 1 << 20:
                     seen.clear()
-                take = np.flatnonzero((pos < length[text]) & first[text] & (estimate > 1))
-                ids = np.asarray(part.column(0))[text[take]]
-                salt = np.where(estimate[take] > hot, 1 + (mix(ids.view(np.uint64)) % np.uint64(SALTS)).astype(np.int32), 0)
+                inside = pos < length[text]
+                central = np.bincount(text[inside], weights=estimate[inside], minlength=len(n)).astype(np.int32)
+                take = np.flatnonzero(inside & first[text] & (estimate > 0))
+                owner = text[take]
                 out = pa.RecordBatch.from_arrays(
-                    [pa.array(token[take].view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(ids), pa.array(n[text[take]].astype(np.int32)), pa.array(pos[take].astype(np.int32))],
-                    names=["token", "salt", "id", "n", "pos"],
+                    [pa.array(token[take].view(np.int64)), pa.array(np.asarray(part.column(0))[owner]), pa.array(n[owner].astype(np.int32)), pa.array(pos[take].astype(np.int32)), pa.array(central[owner])],
+                    names=["token", "id", "n", "pos", "central"],
                 )
                 for at in range(0, out.num_rows, 1 << 16):
                     yield out.slice(at, 1 << 16)
 
-    return source.mapInArrow(run, "token long, salt int, id long, n int, pos int")
+    return source.mapInArrow(run, "token long, id long, n int, pos int, central int")
 
 
 def verified(pairs: DataFrame, source: DataFrame, size: int, percent: int) -> DataFrame:
@@ -207,14 +212,14 @@ def links(source: DataFrame, sets: DataFrame, members: DataFrame, size: int, per
     ``members`` maps every document to the first of its class.
     """
     texts_size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bucket = Window.partitionBy("token", "salt")
-    rows = prefixes(source, size, percent, texts_size).withColumn("here", F.count("*").over(bucket)).where("here > 1 or salt > 0").drop("here")
-    rows = staged(rows)
-    firsts = members.where("id = first").select("id").distinct()
-    rows = rows.join(members.distinct(), "id").drop("id").withColumnRenamed("first", "id")
-    rows = rows.withColumn("hub", F.min(F.struct("id", "n", "pos")).over(bucket))
-    rows = staged(rows.select("token", "salt", "id", "n", "pos", *[F.col(f"hub.{c}").alias(f"{c}_hub") for c in ("id", "n", "pos")]))
-    with_parts = staged(sets.join(firsts, "id", "left_semi").select("id", "parts"))
+    rows = staged(prefixes(source, size, percent, texts_size))
+    with_parts = staged(sets.join(members.where("id = first").select("id").distinct(), "id", "left_semi").select("id", "parts"))
+    hub = F.max(F.struct("central", (-F.col("id")).alias("i"), "n", "pos")).alias("h")
+
+    def shared(on: DataFrame) -> DataFrame:
+        """``rows`` with the hub of their bucket."""
+        hubs = on.select("token", (-F.col("h.i")).alias("id_hub"), F.col("h.n").alias("n_hub"), F.col("h.pos").alias("pos_hub"), F.col("h.central").alias("central_hub"))
+        return rows.join(hubs, "token")
 
     def survivors(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b, n_a, n_b) that pass the suffix filter."""
@@ -223,29 +228,62 @@ def links(source: DataFrame, sets: DataFrame, members: DataFrame, size: int, per
         most = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
         return pairs.where(most >= needed_overlap(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
-    star = rows.where("id <> id_hub").withColumnsRenamed({"n": "n_id", "pos": "pos_id"}).where(_fits(percent, "id", "hub"))
-    star = star.groupBy("id", "id_hub", "n_id", "n_hub").agg(F.count("*").alias("common"))
-    star = star.groupBy("id").agg(F.max(F.struct("common", (-F.col("id_hub")).alias("hub"), "n_id", "n_hub")).alias("best"))
-    star = staged(survivors(star.select((-F.col("best.hub")).alias("a"), F.col("id").alias("b"), F.col("best.n_hub").alias("n_a"), F.col("best.n_id").alias("n_b"))))
-    near = staged(verified(star, source, size, percent))
-
-    group = components(near).withColumnRenamed("component", "c")
-    rows = rows.select("token", "id", "n", "pos").join(group, "id", "left").withColumn("c", F.coalesce("c", "id"))
-    rows = staged(rows)
-    mixed = rows.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
-    rows = staged(rows.join(mixed, "token", "left_semi"))
-    main = rows.groupBy("token", "c").count().groupBy("token").agg(F.max(F.struct("count", "c")).alias("m")).select("token", F.col("m.c").alias("main"))
-    rows = staged(rows.join(main, "token"))
-    x = rows.where("c <> main").select("token", *[F.col(c).alias(f"{c}_x") for c in ("id", "n", "pos", "c")])
-    largest = rows.where("c = main").select("token", *[F.col(c).alias(f"{c}_y") for c in ("id", "n", "pos")])
-    other = x.withColumnsRenamed({f"{c}_x": f"{c}_y" for c in ("id", "n", "pos", "c")})
-    across = x.join(largest, "token").where(_fits(percent, "x", "y")).select("id_x", "id_y", "n_x", "n_y")
-    rest = x.join(other, "token").where((F.col("c_x") < F.col("c_y")) & _fits(percent, "x", "y")).select("id_x", "id_y", "n_x", "n_y")
-    swap = F.col("id_x") > F.col("id_y")
-    pick = lambda p, q: F.when(swap, F.col(q)).otherwise(F.col(p))
-    pairs = across.unionByName(rest).select(pick("id_x", "id_y").alias("a"), pick("id_y", "id_x").alias("b"), pick("n_x", "n_y").alias("n_a"), pick("n_y", "n_x").alias("n_b")).distinct()
-    pairs = staged(survivors(pairs.join(star, ["a", "b"], "left_anti")))
-    return near.unionByName(verified(pairs, source, size, percent))
+    def ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
+        """Pairs as (a, b, n_a, n_b) with a < b, each once."""
+        swap = F.col(f"id_{x}") > F.col(f"id_{y}")
+        pick = lambda p, q: F.when(swap, F.col(q)).otherwise(F.col(p))
+        return pairs.where(F.col(f"id_{x}") != F.col(f"id_{y}")).select(
+            *[pick(f"{c}_{x}", f"{c}_{y}").alias(f"{c}_a") for c in ("id", "n")], *[pick(f"{c}_{y}", f"{c}_{x}").alias(f"{c}_b") for c in ("id", "n")]
+        ).withColumnsRenamed({"id_a": "a", "id_b": "b"}).distinct()
+
+    def star(with_hub: DataFrame) -> DataFrame:
+        """The best hub of each document, as pairs (a, b, n_a, n_b)."""
+        near = with_hub.where("id <> id_hub").withColumnsRenamed({"n": "n_id", "pos": "pos_id"}).where(_fits(percent, "id", "hub"))
+        near = near.groupBy("id", "id_hub", "n_id", "n_hub", "central_hub").agg(F.count("*").alias("common"))
+        best = near.groupBy("id").agg(F.max(F.struct("common", "central_hub", (-F.col("id_hub")).alias("i"), "n_id", "n_hub")).alias("m"))
+        return best.select("id", (-F.col("m.i")).alias("id_hub"), F.col("m.n_id").alias("n_id"), F.col("m.n_hub").alias("n_hub"))
+
+    # buckets of one document are dropped; the others get their hub
+    buckets = staged(rows.groupBy("token").agg(F.count("*").alias("here"), hub).where("here > 1").select("token", "h"))
+    rows = staged(shared(buckets))
+    first = star(rows).join(members.distinct(), "id").select(F.col("first").alias("id_x"), F.col("n_id").alias("n_x"), "id_hub", F.col("n_hub").alias("n_y"))
+    first = first.join(members.select(F.col("id").alias("id_hub"), F.col("first").alias("id_y")).distinct(), "id_hub")
+    tried = staged(survivors(ordered(first, "x", "y")))
+    found = staged(verified(tried, source, size, percent))
+
+    def placed() -> DataFrame:
+        """Rows of buckets with several components: token, id (first of its class), n, pos, before, central, c."""
+        group = components(found).withColumnsRenamed({"id": "first", "component": "c"})
+        home = members.distinct().join(group, "first", "left").select("id", "first", F.coalesce("c", "first").alias("c"))
+        here = staged(rows.select("token", "id", "n", "pos", "central").join(home, "id").drop("id").withColumnRenamed("first", "id"))
+        mixed = staged(here.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token"))
+        here = here.join(mixed, "token", "left_semi").groupBy("token", "id", "n", "pos", "c").agg(F.max("central").alias("central"))
+        # only shingles of mixed buckets can be common to two components
+        here = staged(here.withColumn("before", F.row_number().over(Window.partitionBy("id").orderBy("pos")) - 1))
+        sizes = here.groupBy("token", "c").agg(F.count("*").alias("count"), hub)
+        main = staged(sizes.groupBy("token").agg(F.max(F.struct("count", "c", "h")).alias("m")).select("token", F.col("m.c").alias("main"), F.col("m.h").alias("h")))
+        return staged(here.join(main, "token"))
+
+    rows = placed()
+    outside = rows.where("c <> main").select("token", "id", "n", "pos", (-F.col("h.i")).alias("id_hub"), F.col("h.n").alias("n_hub"), F.col("h.pos").alias("pos_hub"), F.col("h.central").alias("central_hub"))
+    again = ordered(star(outside).select(F.col("id").alias("id_x"), F.col("n_id").alias("n_x"), F.col("id_hub").alias("id_y"), F.col("n_hub").alias("n_y")), "x", "y")
+    again = staged(survivors(again.join(tried, ["a", "b"], "left_anti")))
+    found = staged(found.unionByName(verified(again, source, size, percent)))
+    tried = tried.unionByName(again)
+
+    rows = placed()
+    x = rows.where("c <> main").select("token", *[F.col(c).alias(f"{c}_x") for c in ("id", "n", "pos", "before", "c")])
+    largest = rows.where("c = main").select("token", *[F.col(c).alias(f"{c}_y") for c in ("id", "n", "pos", "before")])
+    other = x.withColumnsRenamed({f"{c}_x": f"{c}_y" for c in ("id", "n", "pos", "before", "c")})
+    ends = ["id_x", "id_y", "n_x", "n_y"]
+    across = x.join(largest, "token").where(_fits(percent, "x", "y", "before")).select(*ends, "pos_x", "pos_y")
+    rest = x.join(other, "token").where((F.col("c_x") < F.col("c_y")) & _fits(percent, "x", "y", "before")).select(*ends, "pos_x", "pos_y")
+    # nothing common lies before the first common shingle of two prefixes
+    pairs = across.unionByName(rest).groupBy(*ends).agg(F.min("pos_x").alias("px"), F.min("pos_y").alias("py"))
+    most = F.least(F.col("n_x") - F.col("px"), F.col("n_y") - F.col("py"))
+    pairs = ordered(pairs.where(most >= needed_overlap(F.col("n_x"), F.col("n_y"), percent)), "x", "y")
+    pairs = staged(survivors(pairs.join(tried, ["a", "b"], "left_anti")))
+    return found.unionByName(verified(pairs, source, size, percent))
 
 
 def similar_components(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
