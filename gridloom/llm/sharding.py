@@ -30,7 +30,7 @@ from gridloom.llm.common import staged
 BINS = 1 << 10
 #: Digits of the split key: 20 bits of the dimension's value, 20 of the group, 20 of the row.
 DIGITS = 6
-TOLERANCE = 1 / 256
+TOLERANCE = 1 / 32
 ROWS_A_BLOCK = 50_000
 
 
