@@ -214,10 +214,12 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_column: str = "
     size, count, norm = (most[0]["size"], most[0]["n"], most[0]["norm"]) if most else (0, 0, 0.0)
     rows = rows.where(F.size("v") == size)
     sample = bounded_sample(rows, "id", SAMPLE).collect()
+    if not sample:
+        return rows.where("false").select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias(id_column), F.lit(0.0).alias("score"))
     lists = int(min(MOST_LISTS, max(1, count // LIST), max(1, len(sample) // 8)))
     ids = np.array([r["id"] for r in sample], np.int64)
-    matrix = np.array([r["v"] for r in sample], np.float64).reshape(len(sample), -1)
-    index = ListIndex(ids, matrix, float(np.sqrt(norm)) * (1 + 1e-9), lists, k) if len(sample) else None
+    matrix = np.array([r["v"] for r in sample], np.float64)
+    index = ListIndex(ids, matrix, float(np.sqrt(norm)) * (1 + 1e-9), lists, k)
     shared = spark.sparkContext.broadcast(index)  # at most SAMPLE vectors and MOST_LISTS centroids
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
