@@ -122,7 +122,7 @@ def q35_house_distance_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     # one plane per nation: areas far apart share no cell
     far = 1_000_000
     a2, b2 = a.withColumn("ax", F.col("ax") + F.col("nation") * far), b.withColumn("bx", F.col("bx") + F.col("of") * far)
-    found = S.nearest(a2, b2, 5, 1200.0, "house", "b", ("ax", "ay"), ("bx", "by"))
+    found = S.nearest(a2, b2, 5, 1200.0, "house", "b", ("ax", "ay"), ("bx", "by"), F.col("nation") == F.col("of"))
     return M.house_distance(a, "nation", found).select("nation", F.round("house_distance", 6).alias("house_distance"))
 
 
