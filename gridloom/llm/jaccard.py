@@ -48,8 +48,8 @@ PERCENT = 80
 FREQUENCY_BITS, ID_BITS = 27, 27
 #: Bytes of text for each cell of the frequency sketch: some two shingles.
 BYTES_A_CELL = 13
-#: Parts of a shingle's hash range whose counts bound an overlap.
-PARTS = 32
+#: Parts of a shingle's hash range whose counts bound an overlap, and the largest set that they are used for (counts are 16-bit).
+PARTS, MOST_IN_PARTS = 128, 32767
 
 
 class Shingles:
@@ -103,6 +103,13 @@ def _fits(percent: int, x: str, y: str, before: str = "pos") -> F.Column:
     return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (most >= needed_overlap(nx, ny, percent))
 
 
+def _overlap_possible(percent: int, x: str, y: str) -> F.Column:
+    """Suffix filter: what the parts of the hash range can have in common is enough for a link, or the sets are too large to tell."""
+    most = F.aggregate(F.zip_with(f"parts_{x}", f"parts_{y}", lambda a, b: F.least(a, b)), F.lit(0), lambda s, a: s + a)
+    large = F.greatest(f"n_{x}", f"n_{y}") > MOST_IN_PARTS
+    return large | (most >= needed_overlap(F.col(f"n_{x}"), F.col(f"n_{y}"), percent))
+
+
 def document_sets(source: DataFrame, size: int) -> DataFrame:
     """(id, n, s1, s2, parts) of every document of (id, text)."""
 
@@ -111,10 +118,10 @@ def document_sets(source: DataFrame, size: int) -> DataFrame:
             for part in chunks(batch, "text"):
                 sets = Shingles(part.column(1), size)
                 s1, s2 = sets.signatures()
-                parts = pa.array(np.minimum(sets.parts(), 1 << 30).astype(np.int32).tolist(), pa.list_(pa.int32()))
+                parts = pa.array(np.minimum(sets.parts(), MOST_IN_PARTS).astype(np.int16).tolist(), pa.list_(pa.int16()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets.counts), pa.array(s1), pa.array(s2), parts], names=["id", "n", "s1", "s2", "parts"])
 
-    return source.mapInArrow(run, "id long, n long, s1 long, s2 long, parts array<int>")
+    return source.mapInArrow(run, "id long, n long, s1 long, s2 long, parts array<smallint>")
 
 
 def prefixes(source: DataFrame, size: int, percent: int, texts_size: int) -> DataFrame:
@@ -225,8 +232,7 @@ def links(source: DataFrame, sets: DataFrame, members: DataFrame, size: int, per
         """Pairs (a, b, n_a, n_b) that pass the suffix filter."""
         for end in ("a", "b"):
             pairs = pairs.join(with_parts.withColumnsRenamed({"id": end, "parts": f"parts_{end}"}), end)
-        most = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-        return pairs.where(most >= needed_overlap(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+        return pairs.where(_overlap_possible(percent, "a", "b")).select("a", "b")
 
     def ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
         """Pairs as (a, b, n_a, n_b) with a < b, each once."""
@@ -271,18 +277,21 @@ def links(source: DataFrame, sets: DataFrame, members: DataFrame, size: int, per
     found = staged(found.unionByName(verified(again, source, size, percent)))
     tried = tried.unionByName(again)
 
-    rows = placed()
-    x = rows.where("c <> main").select("token", *[F.col(c).alias(f"{c}_x") for c in ("id", "n", "pos", "before", "c")])
-    largest = rows.where("c = main").select("token", *[F.col(c).alias(f"{c}_y") for c in ("id", "n", "pos", "before")])
-    other = x.withColumnsRenamed({f"{c}_x": f"{c}_y" for c in ("id", "n", "pos", "before", "c")})
+    # the suffix filter belongs to the join: a pair that it drops makes no row for each shared shingle
+    rows = staged(placed().join(with_parts, "id"))
+    columns = ("id", "n", "pos", "before", "c", "parts")
+    x = rows.where("c <> main").select("token", *[F.col(c).alias(f"{c}_x") for c in columns])
+    largest = rows.where("c = main").select("token", *[F.col(c).alias(f"{c}_y") for c in columns])
+    other = x.withColumnsRenamed({f"{c}_x": f"{c}_y" for c in columns})
     ends = ["id_x", "id_y", "n_x", "n_y"]
-    across = x.join(largest, "token").where(_fits(percent, "x", "y", "before")).select(*ends, "pos_x", "pos_y")
-    rest = x.join(other, "token").where((F.col("c_x") < F.col("c_y")) & _fits(percent, "x", "y", "before")).select(*ends, "pos_x", "pos_y")
+    fits = _fits(percent, "x", "y", "before") & _overlap_possible(percent, "x", "y")
+    across = x.join(largest, "token").where(fits).select(*ends, "pos_x", "pos_y")
+    rest = x.join(other, "token").where((F.col("c_x") < F.col("c_y")) & fits).select(*ends, "pos_x", "pos_y")
     # nothing common lies before the first common shingle of two prefixes
     pairs = across.unionByName(rest).groupBy(*ends).agg(F.min("pos_x").alias("px"), F.min("pos_y").alias("py"))
     most = F.least(F.col("n_x") - F.col("px"), F.col("n_y") - F.col("py"))
     pairs = ordered(pairs.where(most >= needed_overlap(F.col("n_x"), F.col("n_y"), percent)), "x", "y")
-    pairs = staged(survivors(pairs.join(tried, ["a", "b"], "left_anti")))
+    pairs = staged(pairs.select("a", "b").join(tried, ["a", "b"], "left_anti"))
     return found.unionByName(verified(pairs, source, size, percent))
 
 
