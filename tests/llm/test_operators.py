@@ -326,6 +326,17 @@ def test_toxicity_of_held_out_documents(spark):
     assert hit >= 0.8 * sum(r.toxic for r in out) and hit >= 0.9 * sum(r.predicted for r in out)
 
 
+def test_toxicity_of_held_out_documents_in_all_languages(spark):
+    """A sign that other documents hold by chance, but at a far lower rate, is found as well."""
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet")
+    out = toxicity.toxicity_of_documents(read("documents"), read("labels")).join(read("labels"), "doc_id").join(read("documents").select("doc_id", "lang"), "doc_id")
+    out = out.where("held_out AND lang <> 'en'").collect()
+    for lang in ("de", "es", "fr"):
+        some = [r for r in out if r.lang == lang]
+        hit = sum(r.predicted == 1 and r.toxic == 1 for r in some)
+        assert hit >= 0.75 * sum(r.toxic for r in some) and hit >= 0.75 * sum(r.predicted for r in some), lang
+
+
 def test_toxicity_of_awkward_rows(spark, docs, rows):
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(10, 40)] + [(None, 1, 1), (41, None, None)], "doc_id long, quality int, toxic int")
     out = toxicity.toxicity_of_documents(docs, labels)
