@@ -6,7 +6,8 @@ graph over them finds the lists near a vector.  A vector near a boundary is put
 several lists: those whose centroid is at most ``replicate`` times as far as the
 nearest.  A query visits the lists whose centroid is at most ``prune`` times as far
 as its nearest; that ratio is set on the sample, as the smallest that reaches the
-recall asked for.  There is no other limit on the lists of a query.
+recall asked for.  There is no other limit on the lists of a query: where the
+search of the graph meets no list beyond the ratio, all centroids are compared.
 
 Every vector is indexed.  A list longer than ``PART`` (copies of one vector all
 fall into one list) is dealt over parts by a hash of the id, and a query visits all
@@ -16,8 +17,9 @@ original vectors.
 Inner products become distances by one more dimension that fills every vector up to
 the largest norm, so vectors of any norms are handled.
 
-The sample travels with the index.  A query's best k of it are found at once, and
-lists return only candidates that are not below the k-th of them.
+All candidates come from lists.  The sample travels with the index only to tell a
+floor: lists return no candidate below the k-th best of those vectors of the sample
+that are in the lists that the query visits.
 
 Defined results: ties go to the smaller id; with fewer than k candidates, all are
 returned; vectors null, empty, zero or holding null or non-finite components take
@@ -124,7 +126,13 @@ class ListIndex:
         self.ids, self.vectors = ids, vectors
         filled = self.lifted(vectors)
         self.graph = CentroidGraph(balanced_centroids(filled, lists))
-        self.prune = self._ratio(filled)
+        row, home = self.homes(vectors)
+        first = np.searchsorted(row, np.arange(len(vectors)))
+        at = first[:, None] + np.arange(MOST_COPIES)
+        mine = np.minimum(at, len(row) - 1)
+        # the lists of each vector of the sample; the first stands in for copies that it has not
+        self.sample_homes = np.where((at < len(row)) & (row[mine] == np.arange(len(vectors))[:, None]), home[mine], home[first][:, None])
+        self.prune = self._ratio()
 
     def lifted(self, vectors: np.ndarray) -> np.ndarray:
         """Vectors with the dimension that fills them up to the largest norm."""
@@ -144,45 +152,43 @@ class ListIndex:
         row, col = np.nonzero(near)
         return row, lists[row, col]
 
-    def _ratio(self, filled: np.ndarray) -> float:
-        """The smallest ratio with which the sample's own queries reach RECALL."""
-        if len(filled) <= self.k + 1:
+    def _ratio(self) -> float:
+        """The smallest ratio with which the sample's own queries reach RECALL in their lists."""
+        if len(self.vectors) <= self.k + 1:
             return np.inf
-        picked = np.random.default_rng(1).permutation(len(filled))[:256]
+        picked = np.random.default_rng(1).permutation(len(self.vectors))[:256]
         scores = self.vectors[picked] @ self.vectors.T
         scores[np.arange(len(picked)), picked] = -np.inf
         best = np.argpartition(-scores, self.k - 1, axis=1)[:, : self.k]
-        row, home = self.homes(self.vectors)
-        lists, d = self.graph.search(self.asked(self.vectors[picked]))
-        ratio = np.full((len(picked), len(self.graph.centroids)), np.inf)
+        lists, d = self.graph.search(self.asked(self.vectors[picked]), len(self.graph.centroids))
+        ratio = np.empty((len(picked), len(self.graph.centroids)))
         np.put_along_axis(ratio, lists, d / np.maximum(d[:, :1], 1e-12), axis=1)
-        needed = np.full((len(picked), len(filled)), np.inf)
-        for c in range(MOST_COPIES):
-            mine = np.full(len(filled), -1)
-            first = np.searchsorted(row, np.arange(len(filled)))
-            has = (first + c < len(row)) & (row[np.minimum(first + c, len(row) - 1)] == np.arange(len(filled)))
-            mine[has] = home[(first + c)[has]]
-            needed[:, has] = np.minimum(needed[:, has], ratio[:, mine[has]])
-        need = np.sort(np.take_along_axis(needed, best, axis=1).ravel())
+        needed = ratio[np.arange(len(picked))[:, None, None], self.sample_homes[best]].min(axis=2)
+        need = np.sort(needed.ravel())
         return float(need[min(len(need) - 1, int(np.ceil(RECALL * len(need))))]) + 1e-9
 
-    def in_sample(self, ids: np.ndarray, queries: np.ndarray) -> pa.RecordBatch:
-        """(query_id, id, score) of the k best of the sample."""
-        scores = queries @ self.vectors.T
-        scores[ids[:, None] == self.ids[None, :]] = -np.inf
-        best = np.argpartition(-scores, min(self.k, len(self.ids) - 1), axis=1)[:, : self.k]
-        row, col = np.nonzero(np.isfinite(np.take_along_axis(scores, best, axis=1)))
-        at = best[row, col]
-        exact = (self.vectors[at] * queries[row]).sum(axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(self.ids[at]), pa.array(exact)], names=["query_id", "id", "score"])
-
-    def visits(self, ids: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, list) of every visit, and of each query a score that its k-th best is not below."""
-        lists, d = self.graph.search(self.asked(queries))
-        near = d <= d[:, :1] * self.prune + 1e-12
+    def visits(self, ids: np.ndarray, queries: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, list) of every visit, and of each query a score that its k-th best in these lists is not below.
+
+        If the last list found is not beyond the ratio, all lists are looked at; and a
+        query goes on to further lists until those visited hold k vectors of the
+        sample beside itself.
+        """
+        asked, n = self.asked(queries), len(self.graph.centroids)
+        held = np.bincount(self.sample_homes[:, 0], minlength=n)
+        while True:
+            lists, d = self.graph.search(asked, beam)
+            before = np.cumsum(held[lists], axis=1) - held[lists]
+            near = (d <= d[:, :1] * self.prune + 1e-12) | (before <= self.k)
+            if lists.shape[1] >= n or not near[:, -1].any():
+                break
+            beam = n  # one product with all centroids
         row, col = np.nonzero(near)
+        visited = np.zeros((len(queries), n), bool)
+        visited[row, lists[row, col]] = True
         scores = queries @ self.vectors.T
         scores[ids[:, None] == self.ids[None, :]] = -np.inf
+        scores[~visited[:, self.sample_homes].any(axis=2)] = -np.inf
         floor = np.full(len(queries), -np.inf)
         if len(self.ids) > self.k:
             floor = np.partition(scores, -self.k, axis=1)[:, -self.k]
@@ -238,12 +244,6 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_column: str = "
                     [pa.array(visit.astype(np.int32)), *(c.take(pa.array(row)) for c in part.columns), pa.array(floor[row])], names=["list", "id", "v", "floor"]
                 )
 
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                yield shared.value.in_sample(np.asarray(part.column(0)), _matrix(part.column(1)))
-
     packed = F.transform("v", lambda x: x.cast(dict(vectors.dtypes)[vector_column].removeprefix("array<").removesuffix(">")))
     postings = staged(rows.mapInArrow(post, "list int, id long, v array<double>").select("list", "id", packed.alias("v")))
     parts = staged(postings.groupBy("list").agg(F.ceil(F.count("*") / F.lit(PART)).cast("int").alias("parts")))
@@ -273,7 +273,6 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_column: str = "
 
     keyed = ("list", "part")
     found = queries.groupBy(*keyed).cogroup(postings.groupBy(*keyed)).applyInArrow(meet, "query_id long, id long, score double")
-    found = found.unionByName(rows.where(F.col("id") % every == 0).mapInArrow(known, "query_id long, id long, score double"))
     found = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_column), "score")

@@ -302,6 +302,30 @@ def test_centroid_graph_finds_the_nearest():
     assert (np.diff(d, axis=1) >= -1e-9).all() and all(len(set(r)) == len(r) for r in ids)
 
 
+def test_all_lists_within_the_ratio_are_visited_and_hold_the_nearest():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(40, 12))[rng.integers(40, size=6000)] + 0.7 * rng.normal(size=(6000, 12))
+    index = ann.ListIndex(np.arange(6000), x, float(np.sqrt((x**2).sum(axis=1).max())), 700, 20)
+    q = np.arange(0, 6000, 60)
+    homes = index.sample_homes
+    row, at, floor = index.visits(q, x[q], 16)
+    d = np.sqrt(((index.asked(x[q])[:, None] - index.graph.centroids[None]) ** 2).sum(axis=2))
+    within = d <= d.min(axis=1, keepdims=True) * index.prune
+    visited = np.zeros(within.shape, bool)
+    visited[row, at] = True
+    assert within.sum(axis=1).max() > 16 and visited[within].mean() > 0.99
+    hits = 0
+    for i, scores in enumerate(x[q] @ x.T):
+        scores[q[i]] = -np.inf
+        listed = visited[i][homes].any(axis=1)
+        listed[q[i]] = False
+        hits += listed[np.argsort(-scores)[:20]].sum()
+        assert (scores[listed] >= floor[i]).sum() >= 20
+    assert hits >= 0.93 * 20 * len(q)
+    index.prune = np.inf
+    assert len(index.visits(q, x[q])[0]) == 700 * len(q)
+
+
 def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = langid.language_of_documents(docs).join(docs, "doc_id").where("held_out").collect()
