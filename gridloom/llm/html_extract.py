@@ -5,7 +5,13 @@ tag, adjusted for links: text inside links counts against the node, relative to
 the link share of the whole body.  A node's score is the sum of its children's
 densities; the subtree with the highest score is the core of the article.  The
 lowest density on the path from the core up to the body is the threshold that
-sibling subtrees must reach to be kept as well.
+sibling subtrees must reach to be kept as well, and text directly in a node of the
+path, with its inline elements, unless half of it or more is links.  If an article or main element lies on that path, the tag decides instead: the
+outermost one's whole content is the text.
+
+Forms, and elements with a furniture word in class, id or role, are left out unless
+they wrap the article: the text outside holds no article or main element and they
+do, or they hold WRAPS times as many characters outside links as all that is kept.
 
 Defined results: a null or empty page, or one without article text, gives the
 empty string.  Text before any tag, unclosed tags, cut tags and unknown
@@ -49,7 +55,7 @@ ENDS_P = frozenset(
 )
 ENDS_SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 #: Elements that are never part of an article.
-BOILERPLATE_TAGS = frozenset("nav header footer aside form button select menu dialog head input datalist object applet canvas audio video".split())
+BOILERPLATE_TAGS = frozenset("nav header footer aside button select menu dialog head input datalist object applet canvas audio video".split())
 #: Words in class, id or role that mark furniture around an article.
 BOILERPLATE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising advertorial sponsor sponsored promo promoted promotion banner "
@@ -62,33 +68,37 @@ BOILERPLATE_WORDS = frozenset(
     "related recommended recommendations trending popular outbrain taboola "
     "banner contentinfo form tags hidden".split()
 )
+#: A marked element with that many times the text of the page outside it wraps the article.
+WRAPS = 4
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
     """An element: its children in page order, strings among them."""
 
-    __slots__ = ("boiler", "chars", "density", "kids", "link_chars", "link_tags", "score", "tag", "tags", "up")
+    __slots__ = ("boiler", "chars", "density", "hard", "kids", "link_chars", "link_tags", "score", "tag", "tags", "up")
 
-    def __init__(self, tag: str, up: Node | None, boiler: bool):
-        self.tag, self.up, self.boiler = tag, up, boiler
+    def __init__(self, tag: str, up: Node | None, hard: bool, marked: bool = False):
+        self.tag, self.up, self.hard, self.boiler = tag, up, hard, hard or marked
         self.kids: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.score = 0.0
 
 
-def _is_boilerplate(tag: str, attrs: str) -> bool:
+def _furniture(tag: str, attrs: str) -> tuple[bool, bool]:
+    """Whether an element is never part of an article, and whether it is marked as furniture."""
     if tag in BOILERPLATE_TAGS or tag in RAW:
-        return True
+        return True, True
+    marked = tag == "form"
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return False, marked
     for name, *values in _ATTR.findall(attrs):
         name, value = name.lower(), "".join(values)
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN.search(value)):
-            return True
+            return True, True
         if name in ("class", "id", "role") and any(w.lower() in BOILERPLATE_WORDS for w in _WORDS.findall(value)):
-            return True
-    return False
+            marked = True
+    return False, marked
 
 
 def parse(page: str) -> Node:
@@ -96,7 +106,7 @@ def parse(page: str) -> Node:
     root = at = Node("#root", None, False)
     where = 0
     for m in iter(lambda: _TOKEN.search(page, where), None):
-        if m.start() > where and not at.boiler:
+        if m.start() > where and not at.hard:
             at.kids.append(html.unescape(page[where : m.start()]))
         where = m.end()
         tag = m["tag"] or m["tag2"]
@@ -112,7 +122,7 @@ def parse(page: str) -> Node:
                 node = node.up
             if node.up is not None:
                 at = node.up
-            elif tag in ("p", "br") and not at.boiler:
+            elif tag in ("p", "br") and not at.hard:
                 at.kids.append(Node("br", at, False))
             continue
         if tag in ENDS_P:
@@ -130,14 +140,15 @@ def parse(page: str) -> Node:
                 node = node.up
         elif tag == "body" and at.tag == "head":
             at = at.up
-        node = Node(tag, at, at.boiler or _is_boilerplate(tag, attrs))
+        hard, marked = (True, True) if at.hard else _furniture(tag, attrs)
+        node = Node(tag, at, hard, marked)
         at.kids.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, where)
             where = end.end() if end else len(page)
         elif tag not in VOID and not attrs.endswith("/"):
             at = node
-    if where < len(page) and not at.boiler:
+    if where < len(page) and not at.hard:
         at.kids.append(html.unescape(page[where:]))
     return root
 
@@ -151,6 +162,7 @@ def _measure(root: Node) -> list[Node]:
         stack.extend(k for k in reversed(node.kids) if isinstance(k, Node) and not k.boiler)
     for node in reversed(order):
         link = node.tag == "a"
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
         for k in node.kids:
             if isinstance(k, str):
                 n = len("".join(k.split()))
@@ -164,6 +176,50 @@ def _measure(root: Node) -> list[Node]:
     return order
 
 
+def _measured(root: Node) -> list[Node]:
+    """The nodes as measured, after marked elements that wrap the article are taken for content."""
+    order, marked, stack = _measure(root), [], [root]
+    while stack:
+        node = stack.pop()
+        if node.boiler and not node.hard:
+            marked.append(node)
+        stack.extend(k for k in node.kids if isinstance(k, Node) and not k.hard)
+    while marked:
+        has_article = any(n.tag in ("article", "main") and n.chars for n in order)
+        best, most = None, 0
+        for node in marked:
+            inside = _measure(node)  # without marked elements in it
+            own = node.chars - node.link_chars
+            holds = not has_article and any(n.tag in ("article", "main") and n.chars for n in inside)
+            if (holds or own > WRAPS * root.chars) and own > most:
+                best, most = node, own
+        if best is None:
+            break
+        while best is not None:
+            best.boiler, best = False, best.up
+        marked = [n for n in marked if n.boiler]
+        order = _measure(root)
+    return order
+
+
+def _loose_runs(node: Node, on_path: set[int]) -> list[Node]:
+    """Runs of text and inline elements directly in ``node``, each put into one new node; those that are mostly not links."""
+    kids: list[Node | str] = []
+    runs = []
+    for k in node.kids:
+        if not isinstance(k, str) and (k.boiler or id(k) in on_path or (k.tag not in INLINE and k.tag != "br")):
+            kids.append(k)
+            continue
+        if not kids or kids[-1] not in runs[-1:]:
+            runs.append(Node("span", node, False))
+            kids.append(runs[-1])
+        runs[-1].kids.append(k)
+    node.kids = kids
+    for run in runs:
+        _measure(run)
+    return [run for run in runs if run.chars > 2 * run.link_chars]
+
+
 def _densities(order: list[Node], body: Node) -> None:
     share = body.link_chars / body.chars if body.chars else 0.0
     for node in order:
@@ -177,7 +233,7 @@ def _densities(order: list[Node], body: Node) -> None:
 
 
 def _text(node: Node, keep: set[int] | None, out: list[str]) -> None:
-    """Append the text of ``node``; with ``keep``, only of subtrees in it, and of text on the way.
+    """Append the text of ``node``; with ``keep``, only of subtrees in it.
 
     A block starts and ends with a line feed, so that blocks never run together.
     """
@@ -203,7 +259,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    order = _measure(root)
+    order = _measured(root)
     body = next((n for n in order if n.tag == "body"), root)
     if body is not root and body.chars < root.chars:
         body = root  # text after a body that was closed too early
@@ -222,6 +278,7 @@ def main_text(page: str | None) -> str:
         threshold = min(n.density for n in path)
         on_path = {id(n) for n in path}
         kept = {id(n) for n in order if n.density >= threshold and id(n) not in on_path} | {id(core)}
+        kept |= {id(run) for n in path[1:] for run in _loose_runs(n, on_path)}
         _text(path[-1], kept, out)
     return " ".join("".join(out).split())
 

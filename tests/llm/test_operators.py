@@ -96,6 +96,21 @@ def test_html(spark):
     assert html_extract.extract_main_text(df.where("false")).count() == 0
 
 
+def test_html_wrappers_and_loose_text():
+    long, more = "long text here " * 30, "other words follow " * 30
+    body = f"<p>{long}</p><p>{more}</p>"
+    both = " ".join((long + more).split())
+    text = html_extract.main_text
+    assert text(f"<body>Intro text of the page<div>{body}</div></body>") == "Intro text of the page " + both
+    assert text(f"<body><div>{body}</div>Some <b>bold</b> words<br>after</body>") == both + " Some bold words after"
+    for wrap in ("div class='layout has-sidebar'", "div id='search-page'", "div class=with-banner", "div class=related", "form action=x"):
+        end = wrap.split()[0]
+        for inner in (body, f"<article>{body}</article>", f"<div class='related'>{body}</div>"):
+            assert text(f"<body><h1>Head</h1><{wrap}>{inner}<div class=ad>buy</div></{end}></body>").endswith(both), (wrap, inner)
+    assert text(f"<body><article>{body}</article><div id=comments><article>{long * 9}</article></div><form>go {long}</form></body>") == both
+    assert text(f"<body><div hidden>{body}</div></body>") == ""
+
+
 def brute_substring(rows):
     first = {}
     for i, t, *_ in rows:
