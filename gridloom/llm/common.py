@@ -67,7 +67,7 @@ def crc_mod(id_column: str, modulus: int) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % modulus, F.lit(-1))
 
 
-def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
+def bounded_sample(df: DataFrame, key: str, most: int, salt: str = "sample") -> DataFrame:
     """About ``most`` rows of ``df``, never many more, chosen by a hash of ``key``.
 
     The choice depends only on the rows, not on how they are partitioned.  The
@@ -76,7 +76,7 @@ def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     total = df.count()
     if total > most:
         share = int(most / total * (1 << 32))
-        df = df.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 32)) < share)
+        df = df.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(salt)), F.lit(1 << 32)) < share)
     return df
 
 

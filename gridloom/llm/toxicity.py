@@ -15,8 +15,9 @@ weights are calibrated on labelled documents that trained neither dictionary, so
 that the decision threshold is a probability.  A window that shares no MATCH bytes
 with the toxic spans cannot gain, as no match is shorter; it is not compressed.
 
-Training collects a sample of labelled documents whose size is a parameter
-(``documents`` and ``characters`` of each).  Scoring reads whole texts in one pass.
+Both dictionaries and the calibration read the whole texts of a sample of labelled
+documents, whose size is a parameter (``documents``, and ``characters`` of all of them
+together).  Scoring reads whole texts in one pass.
 
 Defined results: null and empty texts are scored as one empty window; with no
 toxic or no ordinary document to learn from, the share of toxic labels is the
@@ -40,11 +41,15 @@ from gridloom.llm.common import arrow_map, bounded_sample, crc_mod, strings
 
 WORDS = 3
 FRAGMENT = 5
+#: Bytes of the pieces that whole texts are cut into for the trainer of dictionaries.
+PIECE = 400
 #: The shortest match of the compressors: a fragment and one byte more, as shorter ones occur in all words.
 MATCH = 6
 THRESHOLD = 0.3
 #: Bytes of ordinary text in a dictionary, and of toxic spans.
 ORDINARY_BYTES, TOXIC_BYTES = 512, 4096
+#: Labelled documents that training reads, and characters of all of them together.
+DOCUMENTS, CHARACTERS = 6000, 1 << 25
 #: Groups of like texts; the ratio of rates and the toxic documents that a telling fragment needs.
 GROUPS, RATIO, SUPPORT = 8, 4, 5
 #: Starts every window and ends every dictionary, so that all windows compress.
@@ -77,10 +82,16 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=params)
 
 
-def _trained(size: int, samples: list[bytes], **how: int) -> bytes:
-    """A zstandard dictionary of samples; their first bytes if they are too few to train one."""
+def pieces(text: str) -> list[bytes]:
+    """The whole text, lower-cased and with single spaces, in pieces of PIECE bytes."""
+    raw = b" " + b" ".join(text.encode("utf-8", "surrogatepass").lower().split())
+    return [raw[i : i + PIECE] for i in range(0, len(raw), PIECE)]
+
+
+def _trained(size: int, samples: list[bytes], segment: int) -> bytes:
+    """A zstandard dictionary of segments of samples; their first bytes if they are too few to train one."""
     try:
-        return zstandard.train_dictionary(size, samples, **how).as_bytes()[-size:]
+        return zstandard.train_dictionary(size, samples, k=segment, d=MATCH).as_bytes()[-size:]
     except zstandard.ZstdError:
         return b"".join(dict.fromkeys(samples))[:size]
 
@@ -96,7 +107,7 @@ def toxic_dictionary(spans: Counter, size: int = TOXIC_BYTES) -> bytes:
         if not any(s in w for w in whole):
             whole.append(s)
             room -= len(s)
-    core = _trained(size, [s for s, c in top for _ in range(min(int(c) + 1, 50))], k=16, d=6) if room >= size // 2 else b""
+    core = _trained(size, [s for s, c in top for _ in range(min(int(c) + 1, 50))], 16) if room >= size // 2 else b""
     return (core + b"".join(reversed(whole)))[-size:]
 
 
@@ -267,24 +278,26 @@ def fit(labelled: Iterable[tuple[str, int]]) -> DistanceClassifier:
         none = DistanceClassifier(b"", b"")
         none.weights[0] = np.log((share + 1e-9) / (1 - share + 1e-9))
         return none
-    plain = [w for t in ordinary[:2000] for w in windows(t)[:40]]
+    plain = [p for t in ordinary for p in pieces(t)]
     spans = telling_spans(toxic, ordinary)
-    model = DistanceClassifier(_trained(ORDINARY_BYTES, plain), toxic_dictionary(spans) if spans else b"")
+    model = DistanceClassifier(_trained(ORDINARY_BYTES, plain, 48), toxic_dictionary(spans) if spans else b"")
     model.calibrate(np.array([model.features(t) for t, _ in held]), np.array([y for _, y in held]))
     return model
 
 
-def train(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", documents: int = 6000, characters: int = 20_000) -> DistanceClassifier:
+def train(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", documents: int = DOCUMENTS, characters: int = CHARACTERS) -> DistanceClassifier:
     """A classifier from rows of (id, text, label 0 or 1).
 
-    At most about ``documents`` rows are used, chosen by a hash of the id, with up
-    to ``characters`` of each; of these, a third calibrates.  Copies of a text train
-    once.
+    Rows are chosen by a hash of the id: at most about ``documents`` of them, and so
+    few that their whole texts have about ``characters`` characters together; of
+    these, a third calibrates.  Copies of a text train once.
     """
-    known = labelled.where(F.col(label_column).isin(0, 1)).select(
-        F.col(id_column).alias("id"), F.substring(F.coalesce(F.col(text_column), F.lit("")), 1, characters).alias("text"), F.col(label_column).alias("y")
-    )
-    return fit((r["text"], int(r["y"])) for r in bounded_sample(known, "id", documents).collect())
+    known = labelled.where(F.col(label_column).isin(0, 1)).select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"), F.col(label_column).alias("y"))
+    known = bounded_sample(known, "id", documents)
+    longest = known.agg(F.sum(F.length("text")).alias("all"), F.count("*").alias("n")).first()
+    if longest["n"] and longest["all"] > characters:
+        known = bounded_sample(known, "id", longest["n"] * characters // longest["all"], "characters")
+    return fit((r["text"], int(r["y"])) for r in known.collect())
 
 
 def score_documents(documents: DataFrame, model: DistanceClassifier, text_column: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
@@ -309,7 +322,7 @@ def learn_toxicity(documents: DataFrame, labels: DataFrame) -> DistanceClassifie
     A document with several labels counts as toxic if one of them says so.
     """
     known = labels.where(F.col("doc_id").isNotNull() & (crc_mod("doc_id", 4) != 2)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = bounded_sample(known.where(F.col("toxic").isin(0, 1)), "doc_id", 6000)
+    chosen = bounded_sample(known.where(F.col("toxic").isin(0, 1)), "doc_id", DOCUMENTS)
     texts = documents.select(F.col("doc_id").alias("id"), F.col("text"))
     # the chosen labels have a bounded number, so they may be broadcast
     return train(texts.join(F.broadcast(chosen), F.col("id") == F.col("doc_id")), "id")
