@@ -2,24 +2,35 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import geometry as G
+from gridloom.operators.relational import join_spread
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a session on one machine without it gets a temporary one."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not hasattr(shared_dir, "own"):
+        shared_dir.own = "file://" + tempfile.mkdtemp(prefix="gridloom-")
+        atexit.register(shutil.rmtree, shared_dir.own.removeprefix("file://"), ignore_errors=True)
+    return shared_dir.own
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write a table of an iteration to the shared checkpoint folder and read it back."""
     spark = df.sparkSession
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not hasattr(cut, "own"):
-            cut.own = "file://" + tempfile.mkdtemp(prefix="gridloom-")
-        named = cut.own
-    path = f"{named}/gridloom/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/gridloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -57,7 +68,8 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(vertex, component): a component is named by its smallest vertex.
 
     ``vertices`` has column vertex, ``edges`` has source and target.  Each round maps
-    every vertex to its smallest neighbour, follows the pointers, and contracts.
+    every vertex to its smallest neighbour, follows the pointers, and contracts; the
+    members of a large component, which point to one vertex, are not gathered.
     """
     links = cut(edges.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).where("a < b").distinct())
     names = vertices.select("vertex", F.col("vertex").alias("component"))
@@ -65,10 +77,10 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         both = links.union(links.select("b", "a"))
         step = both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("a"), F.min("b")).alias("to"))
         ahead = step.select(F.col("v").alias("to"), F.col("to").alias("further"))
-        step = cut(step.join(ahead, "to").select("v", F.col("further").alias("to")))
-        names = cut(names.join(step.withColumnRenamed("v", "component"), "component", "left").select("vertex", F.coalesce("to", "component").alias("component")))
+        step = cut(join_spread(cut(step), ahead, ["to"]).select("v", F.col("further").alias("to")))
+        names = cut(join_spread(names, step.withColumnRenamed("v", "component"), ["component"], "left").select("vertex", F.coalesce("to", "component").alias("component")))
         for end in ("a", "b"):
-            links = links.join(step.select(F.col("v").alias(end), F.col("to").alias(f"to_{end}")), end)
+            links = join_spread(links, step.select(F.col("v").alias(end), F.col("to").alias(f"to_{end}")), [end])
         links = cut(links.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).where("a < b").distinct())
     return names
 

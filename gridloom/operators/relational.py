@@ -96,3 +96,19 @@ def null_free_columns(df: DataFrame) -> DataFrame:
     """Only the columns without a null."""
     counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns]).first()
     return df.select(*[c for c in df.columns if not counts[c]])
+
+
+def join_spread(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", share: int = 1000) -> DataFrame:
+    """``left`` joined to ``right``, whose keys are unique, without gathering the rows of a frequent key.
+
+    Keys that hold at least one in ``share`` rows of ``left`` are ``share`` at most, so
+    their rows of ``right`` are broadcast; all other rows meet in a shuffle.
+    """
+    counts = left.groupBy(*keys).agg(F.count("*").alias("__n"))
+    total = counts.agg(F.sum("__n").alias("__all"))
+    hot = counts.crossJoin(F.broadcast(total)).where(F.col("__n") * share >= F.col("__all")).select(*keys)
+    of_hot = right.join(F.broadcast(hot), keys, "left_semi")
+    rest = left.join(F.broadcast(hot), keys, "left_anti").join(right, keys, how)
+    if how == "left":  # a frequent key that right lacks keeps its rows
+        of_hot = hot.join(of_hot, keys, "left")
+    return rest.unionByName(left.join(F.broadcast(of_hot), keys))
