@@ -6,8 +6,9 @@ the link share of the whole body.  A node's score is the sum of its children's
 densities; the subtree with the highest score is the core of the article.  The
 lowest density on the path from the core up to the body is the threshold that
 sibling subtrees must reach to be kept as well, and text directly in a node of the
-path, with its inline elements, unless half of it or more is links.  If an article or main element lies on that path, the tag decides instead: the
-outermost one's whole content is the text.
+path, with its inline elements, unless half of it or more is links.  If an article or main element lies on that path, the text is the content of the
+outermost one, where nothing short is lost: only blocks that miss the threshold and are
+lists of links are left out.
 
 Forms, and elements with a furniture word in class, id or role, are left out unless
 they wrap the article: the text outside holds no article or main element and they
@@ -23,12 +24,13 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import arrow_map, strings
+from gridloom.llm.common import arrow_map, kept_columns, strings
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -70,21 +72,58 @@ BOILERPLATE_WORDS = frozenset(
 )
 #: A marked element with that many times the text of the page outside it wraps the article.
 WRAPS = 4
+#: Links, and their share of the characters, that make a list of links of a block inside an article.
+LINKS, LINK_SHARE = 2, 0.8
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
     """An element: its children in page order, strings among them."""
 
-    __slots__ = ("boiler", "chars", "density", "hard", "kids", "link_chars", "link_tags", "score", "tag", "tags", "up")
+    __slots__ = ("boiler", "chars", "density", "depth", "hard", "kids", "link_chars", "link_tags", "score", "tag", "tags", "up")
 
     def __init__(self, tag: str, up: Node | None, hard: bool, marked: bool = False):
         self.tag, self.up, self.hard, self.boiler = tag, up, hard, hard or marked
+        self.depth = up.depth + 1 if up is not None else 0
         self.kids: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.score = 0.0
 
 
+class _Open:
+    """The open elements, with the depths of those of each kind, so that no start or end tag has to look at all of them."""
+
+    def __init__(self, root: Node):
+        self.path = [root]
+        self.depths: dict[str, list[int]] = {}
+
+    def deepest(self, *kinds: str) -> int:
+        """The depth of the innermost open element of some kinds, 0 if none is open."""
+        return max((self.depths[k][-1] for k in kinds if self.depths.get(k)), default=0)
+
+    @staticmethod
+    def _kinds(tag: str) -> tuple[str, ...]:
+        """A tag counts under its name, and as a block or as a barrier for stray inline end tags."""
+        return (tag, *(() if tag == "p" or tag in INLINE else ("#block",)), *(("#barrier",) if tag in ("table", "article", "body") else ()))
+
+    def push(self, node: Node) -> None:
+        self.path.append(node)
+        for kind in self._kinds(node.tag):
+            self.depths.setdefault(kind, []).append(node.depth)
+
+    def close(self, depth: int) -> None:
+        """Close all elements from ``depth`` on inwards."""
+        while len(self.path) > depth:
+            for kind in self._kinds(self.path.pop().tag):
+                self.depths[kind].pop()
+
+    def first_paragraph(self) -> int:
+        """The depth of the outermost open paragraph inside the innermost block, 0 if there is none."""
+        open_p = self.depths.get("p", [])
+        at = bisect_right(open_p, self.deepest("#block"))
+        return open_p[at] if at < len(open_p) else 0
+
+
 def _furniture(tag: str, attrs: str) -> tuple[bool, bool]:
     """Whether an element is never part of an article, and whether it is marked as furniture."""
     if tag in BOILERPLATE_TAGS or tag in RAW:
@@ -103,9 +142,11 @@ def _furniture(tag: str, attrs: str) -> tuple[bool, bool]:
 
 def parse(page: str) -> Node:
     """The DOM of a page, under one root; the head and raw text elements carry no text."""
-    root = at = Node("#root", None, False)
+    root = Node("#root", None, False)
+    opened = _Open(root)
     where = 0
     for m in iter(lambda: _TOKEN.search(page, where), None):
+        at = opened.path[-1]
         if m.start() > where and not at.hard:
             at.kids.append(html.unescape(page[where : m.start()]))
         where = m.end()
@@ -114,42 +155,32 @@ def parse(page: str) -> Node:
             continue
         tag, attrs = tag.lower(), m["attrs"] or m["attrs2"] or ""
         if m["close"] or m["close2"]:
-            node = at
-            while node.up is not None and node.tag != tag:
-                if node.tag in ("table", "article", "body") and tag in INLINE:
-                    node = root
-                    break
-                node = node.up
-            if node.up is not None:
-                at = node.up
+            depth = opened.deepest(tag)
+            if depth and not (tag in INLINE and opened.deepest("#barrier") > depth):
+                opened.close(depth)
             elif tag in ("p", "br") and not at.hard:
                 at.kids.append(Node("br", at, False))
             continue
         if tag in ENDS_P:
-            node = at
-            while node.up is not None and (node.tag == "p" or node.tag in INLINE):
-                if node.tag == "p":
-                    at = node.up
-                node = node.up
+            if depth := opened.first_paragraph():
+                opened.close(depth)
         elif tag in ENDS_SAME:
-            node = at
-            while node.up is not None and node.tag not in ENDS_SAME[tag]:
-                if node.tag == tag or (tag in ("dt", "dd") and node.tag in ("dt", "dd")):
-                    at = node.up
-                    break
-                node = node.up
+            depth = opened.deepest(*(("dt", "dd") if tag in ("dt", "dd") else (tag,)))
+            if depth > opened.deepest(*ENDS_SAME[tag]):
+                opened.close(depth)
         elif tag == "body" and at.tag == "head":
-            at = at.up
+            opened.close(at.depth)
+        at = opened.path[-1]
         hard, marked = (True, True) if at.hard else _furniture(tag, attrs)
         node = Node(tag, at, hard, marked)
         at.kids.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, where)
             where = end.end() if end else len(page)
-        elif tag not in VOID and not attrs.endswith("/"):
-            at = node
-    if where < len(page) and not at.hard:
-        at.kids.append(html.unescape(page[where:]))
+        elif tag not in VOID:
+            opened.push(node)
+    if where < len(page) and not opened.path[-1].hard:
+        opened.path[-1].kids.append(html.unescape(page[where:]))
     return root
 
 
@@ -232,6 +263,19 @@ def _densities(order: list[Node], body: Node) -> None:
         node.score = own + sum(k.density for k in node.kids if isinstance(k, Node) and not k.boiler)
 
 
+def _drop_link_lists(top: Node, threshold: float, on_path: set[int]) -> None:
+    """Leave out blocks below ``top`` that miss the threshold and are mostly links, of which they have LINKS or more."""
+    stack = [top]
+    while stack:
+        for k in stack.pop().kids:
+            if isinstance(k, str) or k.boiler or k.tag in INLINE:
+                continue
+            if id(k) not in on_path and k.density < threshold and k.link_tags >= LINKS and k.link_chars > LINK_SHARE * k.chars:
+                k.boiler = True
+            else:
+                stack.append(k)
+
+
 def _text(node: Node, keep: set[int] | None, out: list[str]) -> None:
     """Append the text of ``node``; with ``keep``, only of subtrees in it.
 
@@ -273,7 +317,10 @@ def main_text(page: str | None) -> str:
     whole = [n for n in path if n.tag in ("article", "main")]
     out: list[str] = []
     if whole:
-        _text(whole[-1], None, out)
+        top = whole[-1]
+        threshold = min(n.density for n in path[: path.index(top) + 1])
+        _drop_link_lists(top, threshold, {id(n) for n in path})
+        _text(top, None, out)
     else:
         threshold = min(n.density for n in path)
         on_path = {id(n) for n in path}
@@ -289,14 +336,14 @@ def extract_main_text(pages: DataFrame, html_column: str = "html", keep: tuple[s
     One row per input row; there is no shuffle.  Other columns are not read, so
     their names cannot clash.
     """
-    source = pages.select(*keep, F.col(html_column).alias("__html"))
+    keep = kept_columns(keep, "text", "n_chars")
+    source = pages.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(html_column).alias("of"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [main_text(x) for x in strings(batch.column(len(keep)))]
         return pa.RecordBatch.from_arrays(
-            [*batch.columns[: len(keep)], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*keep, "text", "n_chars"]
+            [*batch.columns[:-1], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*batch.schema.names[:-1], "text", "n_chars"]
         )
 
-    types = dict(source.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", text string, n_chars long"
-    return arrow_map(source, "__html", run, schema)
+    schema = ", ".join([*(f"{c} {t}" for c, t in source.dtypes[:-1]), "text string, n_chars long"])
+    return arrow_map(source, "of", run, schema).withColumnsRenamed({f"c{i}": c for i, c in enumerate(keep)})
