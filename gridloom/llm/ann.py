@@ -23,7 +23,9 @@ that are in the lists that the query visits.
 
 Defined results: ties go to the smaller id; with fewer than k candidates, all are
 returned; vectors null, empty, zero or holding null or non-finite components take
-no part, nor do vectors of another length than most; an empty table gives no rows.
+no part; vectors of different lengths do not meet, each length has its own lists; rows
+that share an id are one candidate, with the better of their scores, and one query; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -213,18 +215,29 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_column: str = "
 
     Returns ``query_id``, ``rank`` from 1, the candidate's id and ``score``.
     """
-    spark = vectors.sparkSession
     rows = valid_vectors(vectors, id_column, vector_column)
     sizes = rows.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("norm"))
-    most = sizes.orderBy(F.desc("n"), "size").limit(1).collect()
-    size, count, norm = (most[0]["size"], most[0]["n"], most[0]["norm"]) if most else (0, 0, 0.0)
-    rows = rows.where(F.size("v") == size)
-    sample = bounded_sample(rows, "id", SAMPLE).collect()
-    if not sample:
+    stored = dict(vectors.dtypes)[vector_column].removeprefix("array<").removesuffix(">")
+    found = None
+    for r in sizes.orderBy("size").collect():  # one row for each length of vectors
+        part = _nearest_of_length(rows.where(F.size("v") == r["size"]), k, every, r["n"], r["norm"], stored)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
         return rows.where("false").select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias(id_column), F.lit(0.0).alias("score"))
-    lists = int(min(MOST_LISTS, max(1, count // LIST), max(1, len(sample) // 8)))
-    ids = np.array([r["id"] for r in sample], np.int64)
-    matrix = np.array([r["v"] for r in sample], np.float64)
+    found = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_column), "score")
+
+
+def _nearest_of_length(rows: DataFrame, k: int, every: int, count: int, norm: float, stored: str) -> DataFrame:
+    """(query_id, id, score): the best candidates of each query in each list, of ``count`` vectors (id, v) of one length."""
+    spark = rows.sparkSession
+    sample = bounded_sample(rows, "id", SAMPLE).toArrow().combine_chunks()
+    if not sample.num_rows:  # of very few rows the hash may take none
+        sample = rows.limit(SAMPLE).toArrow().combine_chunks()
+    ids = np.asarray(sample["id"].combine_chunks())
+    matrix = _matrix(sample["v"].combine_chunks())
+    lists = int(min(MOST_LISTS, max(1, count // LIST), max(1, len(ids) // 8)))
     index = ListIndex(ids, matrix, float(np.sqrt(norm)) * (1 + 1e-9), lists, k)
     shared = spark.sparkContext.broadcast(index)  # at most SAMPLE vectors and MOST_LISTS centroids
 
@@ -244,7 +257,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_column: str = "
                     [pa.array(visit.astype(np.int32)), *(c.take(pa.array(row)) for c in part.columns), pa.array(floor[row])], names=["list", "id", "v", "floor"]
                 )
 
-    packed = F.transform("v", lambda x: x.cast(dict(vectors.dtypes)[vector_column].removeprefix("array<").removesuffix(">")))
+    packed = F.transform("v", lambda x: x.cast(stored))
     postings = staged(rows.mapInArrow(post, "list int, id long, v array<double>").select("list", "id", packed.alias("v")))
     parts = staged(postings.groupBy("list").agg(F.ceil(F.count("*") / F.lit(PART)).cast("int").alias("parts")))
     postings = postings.join(F.broadcast(parts), "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
@@ -272,7 +285,4 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_column: str = "
         return pa.table({"query_id": arrays[0].astype(np.int64), "id": arrays[1].astype(np.int64), "score": arrays[2].astype(np.float64)})
 
     keyed = ("list", "part")
-    found = queries.groupBy(*keyed).cogroup(postings.groupBy(*keyed)).applyInArrow(meet, "query_id long, id long, score double")
-    found = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_column), "score")
+    return queries.groupBy(*keyed).cogroup(postings.groupBy(*keyed)).applyInArrow(meet, "query_id long, id long, score double")
