@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.textops import chunks
+from gridloom.operators.graph import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,21 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the one named by ``spark.checkpoint.dir``.  Only a session without that
-    setting, as in tests on one machine, gets a temporary folder.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    own = getattr(shared_dir, "own", None)
-    if own is None:
-        own = shared_dir.own = tempfile.mkdtemp(prefix="gridloom-")
-    return f"file://{own}"
-
-
 def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -46,6 +31,19 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstage(*tables: DataFrame | None) -> None:
+    """Delete the files of staged tables that nothing will read again."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()} if df is not None else ():
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def kept_columns(keep: tuple[str, ...], *results: str) -> list[str]:
+    """``keep`` without columns that are named like a result: the result takes their place."""
+    return [c for c in keep if c.lower() not in results]
+
+
 def arrow_map(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, most: int = 1 << 20) -> DataFrame:
     """Apply ``fn`` to slices of at most ``most`` bytes of ``column``, or one row."""
 

@@ -16,7 +16,9 @@ copies:
    The second round does so for documents that are not in the largest component of
    a bucket yet, with the most central one in it.
 4. Exact round: buckets whose documents are still in different components give every
-   pair across components (pairs within one are settled).
+   pair across components (pairs within one are settled).  Both sides of a bucket are
+   dealt into parts of some ``ROWS_A_CELL`` rows, and each pair of parts is a task of
+   its own, so a frequent shingle is not gathered.
 5. Candidates pass the length, the positional and the suffix filter, are made
    unique, and are verified once on whole sets.
 
@@ -24,8 +26,8 @@ Hubs and counts of a bucket are aggregates and are joined back, so a shingle tha
 very many documents share is not gathered in one task.
 
 Defined results: a null or empty text has no shingles and no links; a text of fewer
-words than a shingle is one shingle; rows without an id take no part and are left
-out; rows with one id are one document to the links; an empty table gives no rows.
+words than a shingle is one shingle; rows without an id link with nothing and have no
+component; rows with one id are one document to the links; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,10 +39,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import staged
+from gridloom.llm.common import staged, unstage
 from gridloom.llm.components import components
 from gridloom.llm.sketch import at_least_one, bits_for, level_of, levels, marked, merged_sketch
 from gridloom.llm.textops import WORD_BASE, Words, chunks, mix, spans_hash
+from gridloom.operators.relational import join_spread
 
 SIZE = 5
 PERCENT = 80
@@ -50,6 +53,10 @@ FREQUENCY_BITS, ID_BITS = 27, 27
 BYTES_A_CELL = 13
 #: Parts of a shingle's hash range whose counts bound an overlap, and the largest set that they are used for (counts are 16-bit).
 PARTS, MOST_IN_PARTS = 128, 32767
+#: Sets that a task remembers in order to send equal ones once: some 25 MB.
+SEEN = 1 << 17
+#: Rows of one bucket that meet in one task on either side of the exact round.
+ROWS_A_CELL = 512
 
 
 class Shingles:
@@ -155,7 +162,7 @@ def prefixes(source: DataFrame, size: int, percent: int, texts_size: int) -> Dat
                 for d, key in enumerate(zip(s1, s2, n.tolist(), strict=True)):
                     first[d] = key not in seen
                     seen.add(key)
-                if len(seen) > 1 << 20:
+                if len(seen) > SEEN:
                     seen.clear()
                 inside = pos < length[text]
                 central = np.bincount(text[inside], weights=estimate[inside], minlength=len(n)).astype(np.int32)
@@ -259,16 +266,21 @@ def links(source: DataFrame, sets: DataFrame, members: DataFrame, size: int, per
 
     def placed() -> DataFrame:
         """Rows of buckets with several components: token, id (first of its class), n, pos, before, central, c."""
-        group = components(found).withColumnsRenamed({"id": "first", "component": "c"})
-        home = members.distinct().join(group, "first", "left").select("id", "first", F.coalesce("c", "first").alias("c"))
+        group = components(found)
+        home = members.distinct().join(group.withColumnsRenamed({"id": "first", "component": "c"}), "first", "left").select("id", "first", F.coalesce("c", "first").alias("c"))
         here = staged(rows.select("token", "id", "n", "pos", "central").join(home, "id").drop("id").withColumnRenamed("first", "id"))
         mixed = staged(here.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token"))
+        every = here
         here = here.join(mixed, "token", "left_semi").groupBy("token", "id", "n", "pos", "c").agg(F.max("central").alias("central"))
         # only shingles of mixed buckets can be common to two components
         here = staged(here.withColumn("before", F.row_number().over(Window.partitionBy("id").orderBy("pos")) - 1))
         sizes = here.groupBy("token", "c").agg(F.count("*").alias("count"), hub)
-        main = staged(sizes.groupBy("token").agg(F.max(F.struct("count", "c", "h")).alias("m")).select("token", F.col("m.c").alias("main"), F.col("m.h").alias("h")))
-        return staged(here.join(main, "token"))
+        main = sizes.groupBy("token").agg(F.max(F.struct("count", "c", "h")).alias("m"), F.sum("count").alias("all"))
+        parts = [F.ceil(n / ROWS_A_CELL).cast("int").alias(name) for n, name in ((F.col("m.count"), "in_parts"), (F.col("all") - F.col("m.count"), "out_parts"))]
+        main = staged(main.select("token", F.col("m.c").alias("main"), F.col("m.h").alias("h"), *parts))
+        out = staged(join_spread(here, main, ["token"]))
+        unstage(group, mixed, every, here, main)
+        return out
 
     rows = placed()
     outside = rows.where("c <> main").select("token", "id", "n", "pos", (-F.col("h.i")).alias("id_hub"), F.col("h.n").alias("n_hub"), F.col("h.pos").alias("pos_hub"), F.col("h.central").alias("central_hub"))
@@ -280,13 +292,16 @@ def links(source: DataFrame, sets: DataFrame, members: DataFrame, size: int, per
     # the suffix filter belongs to the join: a pair that it drops makes no row for each shared shingle
     rows = staged(placed().join(with_parts, "id"))
     columns = ("id", "n", "pos", "before", "c", "parts")
-    x = rows.where("c <> main").select("token", *[F.col(c).alias(f"{c}_x") for c in columns])
-    largest = rows.where("c = main").select("token", *[F.col(c).alias(f"{c}_y") for c in columns])
-    other = x.withColumnsRenamed({f"{c}_x": f"{c}_y" for c in columns})
+    own = lambda of: F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
+    all_of = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    x = rows.where("c <> main").withColumn("p", own("out_parts")).select("token", "p", "in_parts", "out_parts", *[F.col(c).alias(f"{c}_x") for c in columns])
+    largest = rows.where("c = main").withColumn("q", own("in_parts")).select("token", all_of("out_parts").alias("p"), "q", *[F.col(c).alias(f"{c}_y") for c in columns])
+    other = x.withColumnsRenamed({f"{c}_x": f"{c}_y" for c in columns} | {"p": "q"}).withColumn("p", all_of("out_parts"))
     ends = ["id_x", "id_y", "n_x", "n_y"]
     fits = _fits(percent, "x", "y", "before") & _overlap_possible(percent, "x", "y")
-    across = x.join(largest, "token").where(fits).select(*ends, "pos_x", "pos_y")
-    rest = x.join(other, "token").where((F.col("c_x") < F.col("c_y")) & fits).select(*ends, "pos_x", "pos_y")
+    cell = ["token", "p", "q"]
+    across = x.withColumn("q", all_of("in_parts")).join(largest, cell).where(fits).select(*ends, "pos_x", "pos_y")
+    rest = x.withColumn("q", all_of("out_parts")).join(other.drop("in_parts", "out_parts"), cell).where((F.col("c_x") < F.col("c_y")) & fits).select(*ends, "pos_x", "pos_y")
     # nothing common lies before the first common shingle of two prefixes
     pairs = across.unionByName(rest).groupBy(*ends).agg(F.min("pos_x").alias("px"), F.min("pos_y").alias("py"))
     most = F.least(F.col("n_x") - F.col("px"), F.col("n_y") - F.col("py"))
@@ -296,14 +311,15 @@ def links(source: DataFrame, sets: DataFrame, members: DataFrame, size: int, per
 
 
 def similar_components(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """Per document: id, ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
-    key = F.col(id_column).cast("long")
-    source = documents.where(key.isNotNull()).select(key.alias("id"), F.col(text_column).alias("text"))
-    sets = staged(document_sets(source, size))
+    """Per document: id, ``n_shingles`` and ``component_id``, the smallest id reachable by links (null without an id)."""
+    every = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    source = every.where("id IS NOT NULL")
+    everything = staged(document_sets(every, size))
+    sets = everything.where("id IS NOT NULL")
     classes = staged(sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("first")))
     members = staged(sets.where("n > 0").select("id", "s1", "s2", "n").join(classes, ["s1", "s2", "n"]).select("id", "first"))
     found = links(source, sets.where("n > 0"), members, size, percent)
     same = members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
     group = components(found.unionByName(same))
-    out = sets.select("id", "n").join(group, "id", "left")
+    out = sets.select("id", "n").join(group, "id", "left").unionByName(everything.where("id IS NULL").select("id", "n", F.lit(None).cast("long").alias("component")))
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import arrow_map, crc_mod, strings
+from gridloom.llm.common import arrow_map, crc_mod, kept_columns, strings
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 UNKNOWN = "und"
+#: Labels that can be learned; of more, as in a dirty column, those with most documents.
+MOST_LANGUAGES = 1000
 _LETTER = re.compile(r"[^\W\d_]")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -138,16 +140,18 @@ def train(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "te
 
     The sample holds about ``per_language`` documents of each language, chosen by
     a hash of the id, and ``train_bytes`` bytes of each from a place that the hash
-    sets.  These two bounds keep it small whatever the table's size.
+    sets, for ``MOST_LANGUAGES`` labels at most.  These bounds keep it small whatever
+    the table's size.
     """
     rows = labelled.where(F.col(label_column).isNotNull() & F.col(text_column).rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in rows.groupBy(label_column).count().collect()}
+    each = rows.groupBy(label_column).count().orderBy(F.desc("count"), label_column)
+    counts = {r[0]: r[1] for r in each.limit(MOST_LANGUAGES).collect()}
     if not counts:
         return ByteCnn([]).compiled()
-    draw = F.pmod(F.xxhash64(F.col(id_column).cast("string"), F.lit("langid")), F.lit(1 << 20))
+    draw = F.pmod(F.xxhash64(F.col(id_column).cast("string"), F.lit("langid")), F.lit(1 << 40))
     share = F.lit(0)
     for language, n in counts.items():
-        share = F.when(F.col(label_column) == language, min(1 << 20, -(-(1 << 20) * per_language // n))).otherwise(share)
+        share = F.when(F.col(label_column) == language, min(1 << 40, -(-(1 << 40) * per_language // n))).otherwise(share)
     length = F.length(text_column)
     start = F.pmod(F.xxhash64(F.col(id_column).cast("string")), F.greatest(F.lit(1), length - train_bytes)).cast("int") + 1
     sample = rows.where(draw < share).select(F.col(label_column), F.substring(F.col(text_column), start, F.lit(train_bytes))).collect()
@@ -167,15 +171,15 @@ def identify(documents: DataFrame, net: ByteCnn, text_column: str = "text", keep
     """``keep`` of every document, ``lang_pred`` and ``score``; one pass without a shuffle."""
     spark: SparkSession = documents.sparkSession
     shared = spark.sparkContext.broadcast(net)  # a few MB, set by the widths and filters
-    source = documents.select(*[F.col(c).alias(f"__{c}") for c in keep], F.col(text_column).alias("__of"))
+    keep = kept_columns(keep, "lang_pred", "score")
+    source = documents.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(text_column).alias("of"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         named, scores = shared.value.predict(strings(batch.column(len(keep))))
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(named, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
-    types = dict(source.dtypes)
-    schema = ", ".join(f"`__{c}` {types[f'__{c}']}" for c in keep) + ", lang_pred string, score double"
-    return arrow_map(source, "__of", run, schema, 1 << 20).withColumnsRenamed({f"__{c}": c for c in keep})
+    schema = ", ".join([*(f"{c} {t}" for c, t in source.dtypes[:-1]), "lang_pred string, score double"])
+    return arrow_map(source, "of", run, schema, 1 << 20).withColumnsRenamed({f"c{i}": c for i, c in enumerate(keep)})
 
 
 def language_of_documents(documents: DataFrame) -> DataFrame:

@@ -8,13 +8,18 @@ and goes on upwards until it meets a bin whose bitmaps hold neither the piece's
 source nor its duplicate cluster: the tightest compatible bin.  Without one, a new
 bin is opened.
 
+A duplicate cluster is a set of texts that are equal but for case, unless
+``cluster_column`` names a column with clusters, such as the components of the n-gram
+Jaccard join, in which near copies conflict as well.
+
 A block is a bounded number of documents, chosen by a hash of the document, so a
 source or a group of copies that holds a third of all rows is spread over all
 blocks.  Blocks are packed independently of each other and in parallel; the cost
 against one global packing is at most the half-empty bins of each block.
 
 Defined results: one row per piece; a null or empty text is one piece of no words,
-which takes a place in a bin; a null source conflicts with no other null source;
+which takes a place in a bin (all of them are one cluster); a null source conflicts
+with no other null source;
 an empty table gives no rows.
 """
 
@@ -71,6 +76,7 @@ def pack(
     text_column: str = "text",
     source_column: str = "source",
     documents_a_block: int = DOCUMENTS_A_BLOCK,
+    cluster_column: str | None = None,
 ) -> DataFrame:
     """Per piece: id, ``piece``, ``first_word``, ``n_words``, ``block``, ``bin`` and ``place``.
 
@@ -78,7 +84,7 @@ def pack(
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
     words = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    cluster = F.xxhash64(F.lower(text))
+    cluster = F.xxhash64(F.lower(text) if cluster_column is None else F.col(cluster_column))
     rows = documents.select(F.col(id_column).cast("long").alias("id"), words.alias("n"), F.xxhash64(F.col(source_column)).alias("source"), F.col(source_column).isNull().alias("nosource"), cluster.alias("cluster"))
     blocks = max(1, -(-documents.count() // documents_a_block))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "cluster", "source"), F.lit(blocks)).cast("int"))

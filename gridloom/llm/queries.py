@@ -17,7 +17,7 @@ def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in bins of 2048 words without two of a source or of a cluster of copies."""
+    """All documents in bins of 2048 words without two of a source or of a cluster of equal texts (but for case)."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 

@@ -1,7 +1,7 @@
 """Sharding by k-d tree partitioning.
 
-Documents are points in a space of metadata: length in characters, size in bytes,
-language and source.  The space is split recursively.  Each split takes the node
+Documents are points in a space of metadata: length in characters, language and
+source.  The space is split recursively.  Each split takes the node
 above the target bytes, its widest dimension (the largest spread of values, by
 the share of that dimension's whole range), and the weighted median along it,
 found over all rows by narrowing histograms: a few aggregations that return at
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import staged
+from gridloom.operators.relational import join_spread
 
 BINS = 1 << 10
 #: Digits of the split key: 20 bits of the dimension's value, 20 of the group, 20 of the row.
@@ -57,8 +58,7 @@ def kd_shards(
     total, rows = whole["size"] or 0, whole["n"]
     large = max(1, int(total / shards * TOLERANCE))
     groups = staged(points.groupBy("crc", "g1").agg(F.sum("size").alias("bytes"), *[F.min(d).alias(f"g_{d}") for d in dims[1:]]))
-    g = groups.withColumnsRenamed({"crc": "g_crc", "g1": "g_g1"})
-    points = points.join(g, (points.crc == g.g_crc) & (points.g1 == g.g_g1))
+    points = join_spread(points, groups, ["crc", "g1"])  # a third of all rows may have one text
     # of a group above the tolerance, every row is a group of its own
     key = F.when(F.col("bytes") > large, F.xxhash64("g1", "id")).otherwise(F.xxhash64("g1", F.lit(0)))
     tie = F.pmod(key, F.lit(1 << 40))

@@ -19,8 +19,8 @@ If the sketch is too small for the data, more windows reach the second pass; non
 is ever lost.
 
 Defined results: a null text has no words; a document shorter than a window keeps
-all its words; rows without an id take no part and are left out; of rows with one
-id, none is smaller than the other; an empty table gives no rows.
+all its words; a row without an id is compared with nothing and keeps all its words;
+of rows with one id, none is smaller than the other; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import arrow_map
+from gridloom.llm.common import arrow_map, kept_columns
 from gridloom.llm.sketch import at_least_two, bits_for, marked, merged_sketch
 from gridloom.llm.textops import Words, chunks
 
@@ -70,7 +70,7 @@ def _settled(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
 
     Both kinds have columns k0, k1, id, tid, pos, more.  A window has its first
     place in ``pos`` and further ones of its document in ``more``; repeats found
-    here are listed in ``more`` by document, without an id.
+    here are listed in ``more`` by document, with -1 in ``pos``.
     """
     k0, k1, ids, tid, pos = (np.concatenate(x) for x in zip(*rows, strict=True))
     order = np.lexsort((pos, tid, ids, k0))
@@ -89,13 +89,13 @@ def _settled(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         for part in np.split(np.arange(len(extra)), cuts):
             more[owner[part[0]]] = pos[extra[part]].astype(np.int32).tobytes()
     here = np.flatnonzero(~smallest)
-    here = here[np.lexsort((pos[here], tid[here]))]
-    groups = np.split(here, np.flatnonzero(np.diff(tid[here].view(np.int64))) + 1) if len(here) else []
+    here = here[np.lexsort((pos[here], tid[here], ids[here]))]
+    groups = np.split(here, np.flatnonzero(np.diff(tid[here]) | np.diff(ids[here])) + 1) if len(here) else []
     owners = np.array([tid[g[0]] for g in groups], np.int64)
     columns = [
         pa.array(np.concatenate([k0[send].view(np.int64), owners])),
         pa.array(np.concatenate([k1[send].view(np.int64), np.zeros(len(groups), np.int64)])),
-        pa.array([*ids[send].tolist(), *[None] * len(groups)], pa.int64()),
+        pa.array(np.concatenate([ids[send], np.array([ids[g[0]] for g in groups], np.int64)])),
         pa.array(np.concatenate([tid[send], owners])),
         pa.array(np.concatenate([pos[send].astype(np.int32), np.full(len(groups), -1, np.int32)])),
         pa.array([*more, *[pos[g].astype(np.int32).tobytes() for g in groups]], pa.binary()),
@@ -111,9 +111,10 @@ def _source(documents: DataFrame, id_column: str, text_column: str) -> DataFrame
 
 
 def repeated_windows(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, most_bits: int = MOST_BITS) -> DataFrame:
-    """(tid, places, more): by document the first words of windows that a smaller document has too.
+    """(id, tid, places, more): by document the first words of windows that a smaller document has too.
 
-    ``tid`` is a hash of id and text; ``more`` holds further places as packed int32.
+    ``tid`` is a hash of id and text, which tells rows with one id apart; ``more`` holds
+    further places as packed int32.
     """
     source = _source(documents, id_column, text_column)
     anchor = max(1, window // 2)
@@ -155,9 +156,9 @@ def repeated_windows(documents: DataFrame, id_column: str = "doc_id", text_colum
             yield from _settled(held)
 
     rows = source.mapInArrow(candidates, "k0 long, k1 long, id long, tid long, pos int, more binary")
-    least = F.min("id").over(Window.partitionBy("k0", "k1"))
-    found = rows.withColumn("least", least).where(F.col("id").isNull() | (F.col("id") > F.col("least")))
-    return found.groupBy("tid").agg(F.collect_list("pos").alias("places"), F.collect_list("more").alias("more"))
+    least = F.min(F.when(F.col("pos") >= 0, F.col("id"))).over(Window.partitionBy("k0", "k1"))
+    found = rows.withColumn("least", least).where((F.col("pos") < 0) | (F.col("id") > F.col("least")))
+    return found.groupBy("id", "tid").agg(F.collect_list("pos").alias("places"), F.collect_list("more").alias("more"))
 
 
 def _kept(text: str | None, places: list[int] | None, more: list[bytes] | None, window: int) -> tuple[list[bytes], int]:
@@ -181,12 +182,15 @@ def remove_repeats(documents: DataFrame, id_column: str = "doc_id", text_column:
     words joined by one space.  With ``digest`` there is ``kept_sha256`` instead,
     of the remaining words joined by one space.
     """
+    keep = kept_columns(keep, id_column.lower(), "n_words", "n_removed", "kept", "kept_sha256")
     found = repeated_windows(documents, id_column, text_column, window, most_bits)
     text, key = F.col(text_column), F.col(id_column).cast("long")
-    source = documents.where(key.isNotNull()).select(
-        key.alias("__id"), *[F.col(c).alias(f"__{k}") for k, c in enumerate(keep)], text.alias("__text"), F.xxhash64(key, text).alias("tid")
+    source = documents.select(
+        key.alias("id"), *[F.col(c).alias(f"__{k}") for k, c in enumerate(keep)], text.alias("__text"), F.xxhash64(key, text).alias("tid")
     )
-    joined = source.join(found, "tid", "left").drop("tid")
+    joined = source.where("id IS NOT NULL").join(found, ["id", "tid"], "left")
+    alone = source.where("id IS NULL").withColumns({c: F.lit(None).cast(t) for c, t in found.dtypes if c in ("places", "more")})
+    joined = joined.unionByName(alone).drop("tid")
     names = [n for n in joined.columns if n not in ("__text", "places", "more")]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -207,4 +211,4 @@ def remove_repeats(documents: DataFrame, id_column: str = "doc_id", text_column:
     types = dict(joined.dtypes)
     schema = ", ".join(f"{n} {types[n]}" for n in names) + ", n_words long, n_removed long, kept string"
     out = arrow_map(joined, "__text", run, schema)
-    return out.withColumnsRenamed({"__id": id_column, **{f"__{k}": c for k, c in enumerate(keep)}, "kept": "kept_sha256" if digest else "kept"})
+    return out.withColumnsRenamed({"id": id_column, **{f"__{k}": c for k, c in enumerate(keep)}, "kept": "kept_sha256" if digest else "kept"})

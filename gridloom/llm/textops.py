@@ -29,6 +29,8 @@ WORD_BASE = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 _MASK = (1 << 64) - 1
 _powers: dict[int, np.ndarray] = {}
+#: Powers that a worker keeps of each base: 8 MB.  Those of longer texts are made anew.
+MOST_POWERS = 1 << 20
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -38,7 +40,9 @@ def powers(base: int, n: int) -> np.ndarray:
         size = 1 << max(12, (n - 1).bit_length())
         out = np.full(size, np.uint64(base), dtype=np.uint64)
         out[0] = 1
-        _powers[base] = have = np.cumprod(out, dtype=np.uint64)
+        have = np.cumprod(out, dtype=np.uint64)
+        if size <= MOST_POWERS:
+            _powers[base] = have
     return have[:n]
 
 

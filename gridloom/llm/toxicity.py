@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import arrow_map, bounded_sample, crc_mod, strings
+from gridloom.llm.common import arrow_map, bounded_sample, crc_mod, kept_columns, strings
 
 WORDS = 3
 FRAGMENT = 5
@@ -303,7 +303,8 @@ def train(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "te
 def score_documents(documents: DataFrame, model: DistanceClassifier, text_column: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
     """``keep`` of every document, ``score`` and ``predicted``; one pass without a shuffle."""
     shared = documents.sparkSession.sparkContext.broadcast(model)  # a few kB
-    source = documents.select(*[F.col(c).alias(f"__{c}") for c in keep], F.col(text_column).alias("__of"))
+    keep = kept_columns(keep, "score", "predicted")
+    source = documents.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(text_column).alias("of"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         scores = [shared.value.score(t) for t in strings(batch.column(len(keep)))]
@@ -311,9 +312,8 @@ def score_documents(documents: DataFrame, model: DistanceClassifier, text_column
             [*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=[*batch.schema.names[:-1], "score", "predicted"]
         )
 
-    types = dict(source.dtypes)
-    schema = ", ".join(f"`__{c}` {types[f'__{c}']}" for c in keep) + ", score double, predicted int"
-    return arrow_map(source, "__of", run, schema, 1 << 20).withColumnsRenamed({f"__{c}": c for c in keep})
+    schema = ", ".join([*(f"{c} {t}" for c, t in source.dtypes[:-1]), "score double, predicted int"])
+    return arrow_map(source, "of", run, schema, 1 << 20).withColumnsRenamed({f"c{i}": c for i, c in enumerate(keep)})
 
 
 def learn_toxicity(documents: DataFrame, labels: DataFrame) -> DistanceClassifier:

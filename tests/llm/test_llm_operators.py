@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -111,6 +112,25 @@ def test_html_wrappers_and_loose_text():
     assert text(f"<body><div hidden>{body}</div></body>") == ""
 
 
+def test_html_inside_an_article():
+    long = "long text here " * 30
+    links = "".join(f"<li><a href=/story/{i}/>Another story of the day</a></li>" for i in range(8))
+    page = f"<body><article><h1>Head</h1><p>{long}</p><p>See <a href=x>this</a> too.</p><p>Short.</p><div><p>Read on</p><ul>{links}</ul></div><p>{long}</p></article></body>"
+    assert html_extract.main_text(page) == " ".join(f"Head {long} See this too. Short. {long}".split())
+    assert html_extract.main_text("<body><div/>one<p>two</p></div></body>") == "one two"
+
+
+def test_html_of_a_megabyte(spark):
+    """No page costs more than in proportion to its length, whatever its tags."""
+    n = 60_000
+    pages = ["<div>" * n + "</i>" * n + "x", "<b>" * n + "<div>a</div>" * n, "<div>" * n + "<li>a</li>" * n, "<table>" + "<td>" * n + "</b>" * n + "x", "<form>" * n + "x y", "<p>long text</p>" * n]
+    start = time.process_time()
+    assert [html_extract.main_text(p)[:3] for p in pages] == ["x", "a a", "a a", "x", "x y", "lon"]
+    assert time.process_time() - start < 60
+    df = spark.createDataFrame([(1, "u", pages[5])] * 3, "page_id long, url string, html string")
+    assert [r.n_chars for r in html_extract.extract_main_text(df).collect()] == [10 * n - 1] * 3
+
+
 def brute_substring(rows):
     first = {}
     for i, t, *_ in rows:
@@ -134,7 +154,8 @@ def brute_substring(rows):
 def test_substring(spark, docs, rows, bits):
     got = substring.remove_repeats(docs, digest=True, most_bits=bits)
     assert got.columns == ["doc_id", "n_words", "n_removed", "kept_sha256"]
-    assert Counter(tuple(r) for r in got.collect()) == brute_substring([r for r in rows if r[0] is not None])
+    alone = Counter((None, len(words_of(r[1])), 0, hashlib.sha256(b" ".join(words_of(r[1]))).hexdigest()) for r in rows if r[0] is None)
+    assert Counter(tuple(r) for r in got.collect()) == brute_substring([r for r in rows if r[0] is not None]) + alone
     assert substring.remove_repeats(docs.where("false"), digest=True).count() == 0
 
 
@@ -168,7 +189,8 @@ def brute_jaccard(rows):
 def test_jaccard(spark, docs, rows):
     got = jaccard.similar_components(docs)
     assert got.columns == ["doc_id", "n_shingles", "component_id"]
-    assert Counter(tuple(r) for r in got.collect()) == brute_jaccard([r for r in rows if r[0] is not None])
+    alone = Counter((None, n, None) for r in rows if r[0] is None for (_, n, _) in brute_jaccard([(0, r[1])]))
+    assert Counter(tuple(r) for r in got.collect()) == brute_jaccard([r for r in rows if r[0] is not None]) + alone
     assert jaccard.similar_components(docs.where("false")).count() == 0
 
 
@@ -225,9 +247,19 @@ def test_packing(spark, docs, rows):
         assert sorted(r.place for r in members) == list(range(len(members)))
         sources = [text[r.doc_id][0][3] for r in members if text[r.doc_id][0][3] is not None]
         assert len(sources) == len(set(sources))
+        copies = [(text[r.doc_id][0][1] or "").lower() for r in members]
+        assert len(copies) == len(set(copies))
     assert packing.pack(docs.where("false")).count() == 0
 
 
+def test_packing_keeps_given_clusters_apart(spark):
+    df = spark.createDataFrame([(i, f"a b {i}", f"s{i}", i % 3) for i in range(60)], "doc_id long, text string, source string, near long")
+    bins = defaultdict(list)
+    for r in packing.pack(df, capacity=64, cluster_column="near").collect():
+        bins[r.block, r.bin].append(r.doc_id % 3)
+    assert all(len(v) == len(set(v)) for v in bins.values()) and len(bins) == 20
+
+
 def test_best_fit_equals_a_scan_of_all_bins():
     rng = random.Random(1)
     lengths = sorted((rng.randrange(0, 60) for _ in range(300)), reverse=True)
@@ -308,6 +340,29 @@ def test_nearest_neighbours(spark):
     assert ann.nearest(df.where("vec_id in (0, 1, 2)")).count() == 2 and ann.nearest(df.where("false")).count() == 0
 
 
+def test_recall_and_ties_of_the_lists(spark):
+    """More vectors than the sample holds, in clusters, with copies, and some of another length."""
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(300, 16))[rng.integers(300, size=20_000)] + 0.5 * rng.normal(size=(20_000, 16))).astype(np.float32)
+    x[100:140] = x[100]
+    short = rng.normal(size=(60, 3)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(100_000 + i, v.tolist()) for i, v in enumerate(short)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    found = defaultdict(list)
+    for r in ann.nearest(df).orderBy("query_id", "rank").collect():
+        found[r.query_id].append((-r.score, r.vec_id))
+    assert set(found) == {i for i, _ in rows if i % 20 == 0} and {len(v) for v in found.values()} == {20}
+    assert all(v == sorted(v) for v in found.values())
+    hits = 0
+    wide, asked = x.astype(float), np.arange(0, 20_000, 20)
+    for q, s in zip(asked, wide[asked] @ wide.T, strict=True):
+        s[q] = -np.inf
+        best = np.lexsort((np.arange(len(s)), -np.round(s, 9)))[:20]
+        hits += len(set(best.tolist()) & {i for _, i in found[q]})
+    assert hits >= 0.9 * 20 * len(asked)
+    assert all({i for _, i in found[q]} <= set(range(100_000, 100_060)) for q in found if q >= 100_000)
+
+
 def test_centroid_graph_finds_the_nearest():
     rng = np.random.default_rng(0)
     c, x = rng.normal(size=(900, 8)), rng.normal(size=(50, 8))
@@ -341,6 +396,33 @@ def test_all_lists_within_the_ratio_are_visited_and_hold_the_nearest():
     assert len(index.visits(q, x[q])[0]) == 700 * len(q)
 
 
+def test_network_equals_a_naive_convolution():
+    net = langid.ByteCnn(["a", "b", "c"], seed=3)
+    net.out += 0.5
+    net.compiled()
+    raw = bytes(range(256)) + "Ünï lower UPPER".encode() * 20
+    x = langid.windows_of(raw)
+    for w, p in zip(x, net.probabilities(x), strict=True):
+        peaks = []
+        for table, width in zip(net.tables, langid.WIDTHS, strict=True):
+            peaks += [max(sum(float(table[j][w[i + j]][f]) for j in range(width)) for i in range(len(w) - width + 1)) for f in range(langid.FILTERS)]
+        z = np.maximum(peaks, 0) @ net.out + net.bias
+        assert np.allclose(p, np.exp(z - z.max()) / np.exp(z - z.max()).sum(), atol=1e-4)
+
+
+def test_gains_equal_compressing_every_window():
+    """Windows that are not compressed could not have gained."""
+    rng = random.Random(2)
+    words = [f"{a}{b}{c}" for a in ("ka", "lo", "mi") for b in ("ren", "tas", "vul") for c in ("do", "si", "pe")]
+    prose = lambda bad: " ".join(rng.choice(words) if rng.random() > bad else f"grimfoul{rng.choice(words)}" for _ in range(90))
+    model = toxicity.fit([(prose(0.2 * (i % 2)), i % 2) for i in range(90)])
+    assert len(model.toxic) > 20 and model.score(prose(0.3)) > 0.9 > 0.1 > model.score(prose(0))
+    for text in (prose(0.3), prose(0), "", "grimfoul"):
+        parts = toxicity.windows(text)
+        naive = [len(model._under_ordinary(w)) - len(model._under_toxic(w)) for w in (toxicity.PREAMBLE + p + b" " for p in parts)]
+        assert sorted(g for g in naive if g > 0) == sorted(g for g in model.gains(parts) if g > 0)
+
+
 def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = langid.language_of_documents(docs).join(docs, "doc_id").where("held_out").collect()
@@ -357,23 +439,14 @@ def test_language_of_awkward_rows(spark, docs):
 
 
 def test_toxicity_of_held_out_documents(spark):
-    """Of English documents; in these small tables the others are labelled without any sign in the text."""
+    """All held-out labels of the table, together and by language."""
     read = lambda t: spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet")
     out = toxicity.toxicity_of_documents(read("documents"), read("labels")).join(read("labels"), "doc_id").join(read("documents").select("doc_id", "lang"), "doc_id")
-    out = out.where("held_out AND lang = 'en'").collect()
-    hit = sum(r.predicted == 1 and r.toxic == 1 for r in out)
-    assert hit >= 0.8 * sum(r.toxic for r in out) and hit >= 0.9 * sum(r.predicted for r in out)
-
-
-def test_toxicity_of_held_out_documents_in_all_languages(spark):
-    """A sign that other documents hold by chance, but at a far lower rate, is found as well."""
-    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet")
-    out = toxicity.toxicity_of_documents(read("documents"), read("labels")).join(read("labels"), "doc_id").join(read("documents").select("doc_id", "lang"), "doc_id")
-    out = out.where("held_out AND lang <> 'en'").collect()
-    for lang in ("de", "es", "fr"):
-        some = [r for r in out if r.lang == lang]
+    out = out.where("held_out").collect()
+    for langs, least in ((("en", "de", "es", "fr"), 0.9), (("en",), 0.85), (("de",), 0.85), (("es",), 0.85), (("fr",), 0.85)):
+        some = [r for r in out if r.lang in langs]
         hit = sum(r.predicted == 1 and r.toxic == 1 for r in some)
-        assert hit >= 0.75 * sum(r.toxic for r in some) and hit >= 0.75 * sum(r.predicted for r in some), lang
+        assert hit >= least * sum(r.toxic for r in some) and hit >= least * sum(r.predicted for r in some), langs
 
 
 def test_toxicity_of_awkward_rows(spark, docs, rows):
@@ -410,3 +483,33 @@ def test_pipeline(spark):
         before = after
     packed = corpus_pipeline.STAGES[-1][1](spark, before, SF)
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in before.collect()}
+
+
+def test_stages_on_awkward_rows(spark, rows, tmp_path):
+    """Nulls, empty texts, shared ids, repeated rows, clashing names and empty tables in every stage."""
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(10, 40)] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    clash = "doc_id long, text string, lang string, source string, n_chars int, score double, predicted int, n_words int, lang_pred string, n_removed int, kept string, stay int, nth int, digest int, `__nth` int, tid int, id int, c0 int, k0 int"
+    given = [(*r, len(r[1] or ""), *range(14)) for r in [*rows, (300, "another text with one id", "en", "b")]]
+    given = [(*r[:5], float(r[5]), *r[6:8], str(r[8]), r[9], str(r[10]), *r[11:]) for r in given]
+    docs = spark.createDataFrame(given, clash)
+    key = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    before = key(docs)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, str(tmp_path))
+        assert after.columns == docs.columns, name
+        got = after.collect()
+        assert all((r.score, r.predicted, r.tid, r.k0) == (0.0, 1, 10, 13) for r in got), name
+        if name in ("language_id", "toxicity"):
+            assert not Counter((r.doc_id, r.text) for r in got) - before, name
+        if name == "language_id":
+            assert all(r.text and any(c.isalpha() for c in r.text) for r in got)
+        if name == "ngram_jaccard_join":
+            stay = {c for _, _, c in brute_jaccard([r for r in rows if r[0] is not None] + [(300, "another text with one id")])}
+            assert Counter((r.doc_id, r.text) for r in got) == Counter({k: n if k[0] is None else 1 for k, n in before.items() if k[0] is None or k[0] in stay})
+        if name == "substring_dedup":
+            assert len(got) == len(given) and all(r.n_chars == len(r.text) for r in got if r.text is not None)
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0, name
+    assert {r.doc_id for r in corpus_pipeline.packed(spark, docs, "").collect()} == {r[0] for r in rows}
