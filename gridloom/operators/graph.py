@@ -68,21 +68,24 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(vertex, component): a component is named by its smallest vertex.
 
     ``vertices`` has column vertex, ``edges`` has source and target.  Each round maps
-    every vertex to its smallest neighbour, follows the pointers, and contracts; the
-    members of a large component, which point to one vertex, are not gathered.
+    every vertex to the neighbour that comes first in an order by hashes, follows the
+    pointer once, and contracts.  In that order long roads shrink by a share of their
+    length in each round, however their vertices are numbered; members of a large
+    component, which point to one vertex, are not gathered.
     """
     links = cut(edges.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).where("a < b").distinct())
-    names = vertices.select("vertex", F.col("vertex").alias("component"))
+    names = cut(vertices.select("vertex", F.col("vertex").alias("component")))
     while not links.isEmpty():
         both = links.union(links.select("b", "a"))
-        step = both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("a"), F.min("b")).alias("to"))
-        ahead = step.select(F.col("v").alias("to"), F.col("to").alias("further"))
-        step = cut(join_spread(cut(step), ahead, ["to"]).select("v", F.col("further").alias("to")))
+        first = F.least(*[F.min(F.struct(F.xxhash64(c), F.col(c).alias("v"))) for c in ("a", "b")])
+        near = cut(both.groupBy(F.col("a").alias("v")).agg(first.alias("f")).select("v", F.col("f.v").alias("to")))
+        step = cut(join_spread(near, near.select(F.col("v").alias("to"), F.col("to").alias("further")), ["to"]).select("v", F.col("further").alias("to")))
         names = cut(join_spread(names, step.withColumnRenamed("v", "component"), ["component"], "left").select("vertex", F.coalesce("to", "component").alias("component")))
         for end in ("a", "b"):
-            links = join_spread(links, step.select(F.col("v").alias(end), F.col("to").alias(f"to_{end}")), [end])
+            links = cut(join_spread(links, step.select(F.col("v").alias(end), F.col("to").alias(f"to_{end}")), [end]))
         links = cut(links.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).where("a < b").distinct())
-    return names
+    least = names.groupBy("component").agg(F.min("vertex").alias("least"))
+    return join_spread(names, least, ["component"]).select("vertex", F.col("least").alias("component"))
 
 
 def reachable(seeds: DataFrame, edges: DataFrame, admits: Column | None = None) -> DataFrame:
