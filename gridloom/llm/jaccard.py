@@ -43,7 +43,6 @@ from gridloom.llm.common import staged, unstage
 from gridloom.llm.components import components
 from gridloom.llm.sketch import at_least_one, bits_for, level_of, levels, marked, merged_sketch
 from gridloom.llm.textops import WORD_BASE, Words, chunks, mix, spans_hash
-from gridloom.operators.relational import join_spread
 
 SIZE = 5
 PERCENT = 80
@@ -278,7 +277,7 @@ def links(source: DataFrame, sets: DataFrame, members: DataFrame, size: int, per
         main = sizes.groupBy("token").agg(F.max(F.struct("count", "c", "h")).alias("m"), F.sum("count").alias("all"))
         parts = [F.ceil(n / ROWS_A_CELL).cast("int").alias(name) for n, name in ((F.col("m.count"), "in_parts"), (F.col("all") - F.col("m.count"), "out_parts"))]
         main = staged(main.select("token", F.col("m.c").alias("main"), F.col("m.h").alias("h"), *parts))
-        out = staged(join_spread(here, main, ["token"]))
+        out = staged(here.join(main, "token"))
         unstage(group, mixed, every, here, main)
         return out
 
