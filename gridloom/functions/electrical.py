@@ -22,6 +22,8 @@ VOLTS = 400.0
 LOWER_VOLTAGE_BAND = 0.95
 VOLTAGE_DROP = 0.045
 BRANCH_LIMIT_KA = 0.313
+#: Volts that a house connection may lose: up to 100 kW, and above.
+HOUSE_DROP_VOLTS = (2.0, 4.0)
 
 #: Cables for streets: name, ohm per km, reactance per km, kA, mm2.
 STREET_CABLES = (
@@ -36,6 +38,9 @@ STREET_CABLES = (
     ("NYY 4x70 SE", 0.268, 0.082, 0.232, 70),
 )
 
+#: Cables for house connections.
+HOUSE_CABLES = tuple(c for c in STREET_CABLES if c[0] in ("NAYY 4x120 SE", "NAYY 4x95 SE", "NAYY 4x50 SE", "NYY 4x16 SE", "NYY 4x35 SE", "NYY 4x70 SE"))
+
 
 def consumer_class(kind: Column) -> Column:
     """Residential for the residential building types, else the type itself."""

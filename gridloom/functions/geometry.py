@@ -170,6 +170,22 @@ def line_meets_ring(line: Column, ring: Column) -> Column:
     return inside | crossing
 
 
+def wkt_line(line: Column) -> Column:
+    """A line as well-known text."""
+    return F.concat(F.lit("LINESTRING ("), F.array_join(F.transform(line, lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))), ", "), F.lit(")"))
+
+
+def wkt_polygon(ring: Column) -> Column:
+    """A ring as well-known text of a polygon, closed."""
+    return F.concat(F.lit("POLYGON (("), F.array_join(F.transform(closed(ring), lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))), ", "), F.lit("))"))
+
+
+def from_wkt(text: Column) -> Column:
+    """The points of a line, or of the only ring of a polygon, in well-known text."""
+    inside = F.regexp_extract(text, r"\(+([^()]*)\)+", 1)
+    return F.transform(F.split(inside, r"\s*,\s*"), lambda p: point(F.split(F.trim(p), r"\s+")[0], F.split(F.trim(p), r"\s+")[1]))
+
+
 def laea_europe(lon: Column, lat: Column) -> Column:
     """Lambert azimuthal equal-area coordinates around 10 E, 52 N on the GRS80 ellipsoid, in metres."""
     a, e2 = 6378137.0, 0.00669438002290

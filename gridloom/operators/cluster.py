@@ -41,13 +41,16 @@ def component_clusters(components: DataFrame, consumers: DataFrame, first: int =
 
 
 def coincident_load(kinds: list[str], powers: list[float], counts: list[float]) -> float:
-    """Simultaneous load of consumers, by class: the form of the column expression for kernels."""
+    """Simultaneous load of consumers, by class: the form of the column expression for kernels.
+
+    As there, a class without a share of simultaneous use carries no load.
+    """
     total: dict[str, list[float]] = {}
     for kind, power, count in zip(kinds, powers, counts, strict=True):
         of = total.setdefault("Residential" if kind in RESIDENTIAL_TYPES else kind, [0.0, 0.0])
         of[0] += power
         of[1] += count
-    return sum(p * (SIMULTANEITY[c] + (1 - SIMULTANEITY[c]) * n**-0.75) for c, (p, n) in total.items() if n)
+    return sum(p * (SIMULTANEITY[c] + (1 - SIMULTANEITY[c]) * n**-0.75) for c, (p, n) in total.items() if n and c in SIMULTANEITY)
 
 
 def halves(distances: np.ndarray) -> np.ndarray:
@@ -89,7 +92,8 @@ def halves(distances: np.ndarray) -> np.ndarray:
 def bisect_by_capacity(points: DataFrame, key: str, capacities: tuple[int, ...] = SYNTHESISED_CAPACITIES, costs: DataFrame | None = None) -> DataFrame:
     """(key, point, cluster, load, size_kva): points of each area in clusters that a transformer can serve.
 
-    ``points`` has the key, point, x, y, kind, power and count; distances are straight
+    ``points`` has the key, point, x, y, kind, power and count, and one row for every
+    class of consumer at a point; an area of one point is one cluster.  Distances are straight
     or, with ``costs`` (key, i, j, cost), those of the network.  A cluster whose
     coincident load reaches the largest capacity is cut in two by average linkage,
     the oldest first, until it is served or has fewer than five points.
@@ -102,7 +106,9 @@ def bisect_by_capacity(points: DataFrame, key: str, capacities: tuple[int, ...]
         return single if double > single else double
 
     def area(group: pd.DataFrame, network: pd.DataFrame | None = None) -> pd.DataFrame:
-        group = group.sort_values("point").reset_index(drop=True)
+        at_point = {p: rows for p, rows in group.groupby("point", sort=True)}
+        group = group.drop_duplicates("point").sort_values("point").reset_index(drop=True)
+        users = [[at_point[p][c].tolist() for c in ("kind", "power", "count")] for p in group["point"]]
         if network is None:
             x, y = group["x"].to_numpy(float), group["y"].to_numpy(float)
             distances = np.hypot(x[:, None] - x[None, :], y[:, None] - y[None, :])
@@ -113,14 +119,12 @@ def bisect_by_capacity(points: DataFrame, key: str, capacities: tuple[int, ...]
             distances = np.full((len(group), len(group)), network["cost"].sum() + 1.0)
             distances[i[known].astype(int), j[known].astype(int)] = network["cost"][known]
             distances = np.minimum(distances, distances.T)
-        kinds, powers, counts = (group[c].tolist() for c in ("kind", "power", "count"))
-        queue, out = [np.arange(len(group))] if len(group) > 1 else [], []
+        queue, out = [np.arange(len(group))], []
         while queue:
             at = queue.pop(0)
             labels = halves(distances[np.ix_(at, at)])
-            for side in (0, 1):
-                part = at[labels == side]
-                load = coincident_load(*[[v[i] for i in part] for v in (kinds, powers, counts)])
+            for part in (at[labels == side] for side in np.unique(labels)):
+                load = coincident_load(*[[x for i in part for x in users[i][c]] for c in range(3)])
                 if load >= top and len(part) >= SMALLEST_SPLIT:
                     queue.append(part)
                 else:

@@ -104,27 +104,31 @@ def reachable(seeds: DataFrame, edges: DataFrame, admits: Column | None = None)
     return found
 
 
-def shortest_paths(sources: DataFrame, edges: DataFrame, limit: float | None = None) -> DataFrame:
-    """(source, vertex, cost, via): cheapest undirected paths from every source.
+def shortest_paths(sources: DataFrame, edges: DataFrame, limit: float | None = None, within: tuple[str, ...] = ()) -> DataFrame:
+    """(within..., source, vertex, cost, via): cheapest undirected paths from every source.
+
+    ``within`` names columns of both tables, such as an area: paths use the edges of
+    their source's area only.
 
     ``via`` is the vertex before on the path, the smallest of equals.  Rounds relax
     only the vertices whose cost has just fallen, for all sources at once.
     """
-    both = cut(edges.select(F.col("source").alias("u"), F.col("target").alias("w"), "cost").union(edges.select("target", "source", "cost")).groupBy("u", "w").agg(F.min("cost").alias("c")))
-    start = sources.select(F.col("vertex").alias("source"), "vertex", F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("via"))
+    both = cut(edges.select(*within, F.col("source").alias("u"), F.col("target").alias("w"), "cost").union(edges.select(*within, "target", "source", "cost")).groupBy(*within, "u", "w").agg(F.min("cost").alias("c")))
+    start = sources.select(*within, F.col("vertex").alias("source"), "vertex", F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("via"))
     best = cut(start)
     changed = best
     while not changed.isEmpty():
-        offers = changed.join(both, F.col("vertex") == F.col("u")).select("source", F.col("w").alias("vertex"), (F.col("cost") + F.col("c")).alias("cost"), F.col("u").cast("long").alias("via"))
+        offers = changed.withColumnRenamed("vertex", "u").join(both, [*within, "u"]).select(*within, "source", F.col("w").alias("vertex"), (F.col("cost") + F.col("c")).alias("cost"), F.col("u").cast("long").alias("via"))
         if limit is not None:
             offers = offers.where(F.col("cost") < limit)
         cheapest = F.min(F.struct("cost", "via"))
-        offers = offers.groupBy("source", "vertex").agg(cheapest.alias("o"))
-        known = best.select("source", "vertex", F.col("cost").alias("old"), F.col("via").alias("old_via"))
-        merged = cut(known.join(offers, ["source", "vertex"], "full"))
+        offers = offers.groupBy(*within, "source", "vertex").agg(cheapest.alias("o"))
+        known = best.select(*within, "source", "vertex", F.col("cost").alias("old"), F.col("via").alias("old_via"))
+        merged = cut(known.join(offers, [*within, "source", "vertex"], "full"))
         better = F.col("old").isNull() | (F.col("o.cost") < F.col("old"))
-        changed = merged.where(F.col("o").isNotNull() & better).select("source", "vertex", F.col("o.cost").alias("cost"), F.col("o.via").alias("via"))
+        changed = merged.where(F.col("o").isNotNull() & better).select(*within, "source", "vertex", F.col("o.cost").alias("cost"), F.col("o.via").alias("via"))
         best = merged.select(
+            *within,
             "source",
             "vertex",
             F.when(F.col("o").isNotNull() & better, F.col("o.cost")).otherwise(F.col("old")).alias("cost"),
@@ -133,26 +137,39 @@ def shortest_paths(sources: DataFrame, edges: DataFrame, limit: float | None = N
     return best
 
 
-def tree_paths(edges: DataFrame, root: int | str, length: str = "length") -> DataFrame:
-    """(vertex, depth, distance, branch, path) of a radial network of (parent, child, length).
+def tree_paths(edges: DataFrame, root: int | str, length: str = "length", within: tuple[str, ...] = ()) -> DataFrame:
+    """(within..., vertex, depth, distance, branch, path) of radial networks of (within..., parent, child, length).
 
-    ``branch`` is the first vertex after the root; ``path`` lists the vertices from
+    All networks have the same ``root``; ``within`` names columns that tell them apart.  ``branch`` is the first vertex after the root; ``path`` lists the vertices from
     the root on.  One round a level.
     """
-    steps = cut(edges.select("parent", "child", F.col(length).cast("double").alias("l")))
-    level = steps.where(F.col("parent") == root).select(F.col("child").alias("vertex"), F.lit(1).alias("depth"), F.col("l").alias("distance"), F.col("child").alias("branch"), F.array("parent", "child").alias("path"))
+    steps = cut(edges.select(*within, "parent", "child", F.col(length).cast("double").alias("l")))
+    level = steps.where(F.col("parent") == root).select(*within, F.col("child").alias("vertex"), F.lit(1).alias("depth"), F.col("l").alias("distance"), F.col("child").alias("branch"), F.array("parent", "child").alias("path"))
     level = cut(level)
     out = level
     while not level.isEmpty():
         level = cut(
-            level.join(steps, F.col("vertex") == F.col("parent")).select(
-                F.col("child").alias("vertex"), (F.col("depth") + 1).alias("depth"), (F.col("distance") + F.col("l")).alias("distance"), "branch", F.concat("path", F.array("child")).alias("path")
+            level.withColumnRenamed("vertex", "parent").join(steps, [*within, "parent"]).select(
+                *within, F.col("child").alias("vertex"), (F.col("depth") + 1).alias("depth"), (F.col("distance") + F.col("l")).alias("distance"), "branch", F.concat("path", F.array("child")).alias("path")
             )
         )
         out = out.union(level)
     return out
 
 
+def degrees(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(vertex, degree, loose, alone): how many edges each vertex has, whether it is a dead end, and whether it has none."""
+    ends = edges.select(F.col("source").alias("vertex")).union(edges.select("target")).groupBy("vertex").agg(F.count("*").alias("n"))
+    n = F.coalesce("n", F.lit(0).cast("long"))
+    return vertices.join(ends, "vertex", "left").select("vertex", n.alias("degree"), (n == 1).alias("loose"), (n == 0).alias("alone"))
+
+
+def least_targets(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """Vertices with the smallest ``target`` of the edges from them, null without one."""
+    least = edges.groupBy(F.col("source").alias("vertex")).agg(F.min("target").alias("target"))
+    return vertices.join(least, "vertex", "left")
+
+
 def descendant_sums(paths: DataFrame, values: DataFrame, measure: str) -> DataFrame:
     """(vertex, total): ``measure`` of ``values`` (vertex, measure) summed over each subtree.
 

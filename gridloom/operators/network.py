@@ -18,18 +18,20 @@ def cables(spark: SparkSession, rows: tuple = E.STREET_CABLES) -> DataFrame:
     return spark.createDataFrame([(n, float(r), float(x), float(i), int(q)) for n, r, x, i, q in rows], "cable string, r double, x double, max_i_ka double, q_mm2 int")
 
 
-def choose_cable(lines: DataFrame, key: str, current_ka: Column, distance_m: Column, catalogue: tuple = E.STREET_CABLES, most: int = MOST_PARALLEL) -> DataFrame:
+def choose_cable(lines: DataFrame, key: str, current_ka: Column, distance_m: Column, catalogue: tuple = E.STREET_CABLES, most: int = MOST_PARALLEL, drop_volts: Column | None = None) -> DataFrame:
     """``lines`` with ``cable`` and ``parallel``: the fewest parallel cables that carry the current and keep the voltage.
 
+    ``drop_volts`` is the voltage that a line may lose, by default a share of the network's.
+
     Of those that do, the smallest cross-section, then the smaller name.  Numbers
     needed follow in closed form for each cable, so the choice is one expression
     over a catalogue of fixed size, without a join.
     """
-    limit = E.VOLTS * E.VOLTAGE_DROP
+    limit = F.lit(E.VOLTS * E.VOLTAGE_DROP) if drop_volts is None else drop_volts
     options = []
     for name, r, x, most_ka, q in catalogue:
         by_current = F.ceil(current_ka / most_ka - 1e-12)
-        by_voltage = F.ceil(F.lit(math.hypot(r, x) / limit) * current_ka * distance_m - 1e-12)
+        by_voltage = F.ceil(F.lit(math.hypot(r, x)) / limit * current_ka * distance_m - 1e-12)
         n = F.greatest(by_current, F.when(distance_m != 0, by_voltage).otherwise(0), F.lit(1)).cast("int")
         options.append(F.struct(n.alias("n"), F.lit(q).alias("q"), F.lit(name).alias("cable")))
     best = F.array_min(F.array(*options))
@@ -58,7 +60,8 @@ def lay_branches(nodes: DataFrame, key: str, limit_ka: float = E.BRANCH_LIMIT_KA
     """(key, branch, nth, node, next, length, load, current_ka): the feeders of each network.
 
     ``nodes`` has the key, node, parent (towards the transformer; null at it),
-    distance, and the consumers at the node as lists kinds, powers and counts.  The
+    distance, and the consumers at the node as lists kinds, powers and counts; these
+    are empty at junctions, which a feeder passes.  The
     farthest node that is not connected starts a branch, which takes up the nodes
     on its way to the transformer while its current stays below the limit.
     """
@@ -67,7 +70,7 @@ def lay_branches(nodes: DataFrame, key: str, limit_ka: float = E.BRANCH_LIMIT_KA
         from gridloom.operators.cluster import coincident_load
 
         at = {r.node: r for r in group.itertuples(index=False)}
-        left = set(at)
+        left = {v for v, r in at.items() if len(r.kinds)}
         out, branch = [], 0
         while left:
             far = max(left, key=lambda v: (at[v].distance, -v))
@@ -96,6 +99,18 @@ def lay_branches(nodes: DataFrame, key: str, limit_ka: float = E.BRANCH_LIMIT_KA
     return nodes.groupBy(key).applyInPandas(lay, f"{key} {kind}, branch int, nth int, node long, next long, length double, load double, current_ka double")
 
 
+def house_connections(houses: DataFrame, key: str, kind: str, power: str, count: str, length_m: str, catalogue: tuple = E.HOUSE_CABLES) -> DataFrame:
+    """``houses`` with the ``load`` of their connection, its ``current_ka``, ``cable`` and ``parallel``.
+
+    The cable may lose HOUSE_DROP_VOLTS, more above 100 kW.
+    """
+    share = E.simultaneity(E.consumer_class(F.col(kind)))
+    rows = houses.withColumn("load", E.simultaneous_load(F.col(power).cast("double"), F.col(count), share)).withColumn("current_ka", E.branch_current_ka(F.col("load")))
+    small, large = E.HOUSE_DROP_VOLTS
+    drop = F.when(F.col("load") <= E.LARGE_CONSUMER_KW, F.lit(small)).otherwise(F.lit(large))
+    return choose_cable(rows, key, F.col("current_ka"), F.col(length_m), catalogue, drop_volts=drop)
+
+
 def buses(grids: DataFrame, connections: DataFrame, consumers: DataFrame) -> DataFrame:
     """(grid, bus, kind, zone, vn_kv): low- and medium-voltage, connection and consumer buses of every grid."""
     none = F.lit(None).cast("string")

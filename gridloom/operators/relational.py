@@ -44,6 +44,42 @@ def unfinished(all_rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return all_rows.join(done.where(F.col(key).isNotNull()).select(key), key, "left_anti")
 
 
+def required(rows: DataFrame, what: str) -> DataFrame:
+    """``rows``, or an error that names ``what`` if there are none."""
+    if rows.isEmpty():
+        raise ValueError(f"there are no {what}")
+    return rows
+
+
+def only_ones(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys no other row has."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n = 1").drop("__n")
+    return df.join(counts, keys, "left_semi")
+
+
+def sampled(df: DataFrame, percent: float, seed: int = 0) -> DataFrame:
+    """About ``percent`` of the rows, chosen at random: a sampling operator."""
+    return df.sample(percent / 100, seed)
+
+
+def replaced(sample: DataFrame, key: str, value: object, population: DataFrame, alike: list[str]) -> DataFrame:
+    """``sample`` with the row of ``value`` exchanged for the first of ``population`` that is like it in ``alike`` and not in the sample.
+
+    The row stays if there is none.
+    """
+    gone = sample.where(F.col(key) == F.lit(value))
+    free = population.join(sample.select(key), key, "left_anti").join(gone.select(*alike).distinct(), alike, "left_semi")
+    new = free.orderBy(key).limit(1).select(*sample.columns)
+    lonely = gone.join(F.broadcast(new.select(F.lit(True).alias("__found"))), how="left").where("__found IS NULL").drop("__found")
+    return sample.where(F.col(key) != F.lit(value)).unionByName(new).unionByName(lonely)
+
+
+def sorted_entries(entries: Column, descending: bool = False) -> Column:
+    """A map from text to values as an array of (key, value), in the order of its keys as whole numbers."""
+    numbered = F.transform(F.map_entries(entries), lambda e: F.struct(e["key"].cast("long").alias("k"), e["key"].alias("key"), e["value"].alias("value")))
+    return F.transform(F.sort_array(numbered, not descending), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+
+
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     """(bin, low, high, n): equal-width bins from the least to the largest value, empty ones too.
 

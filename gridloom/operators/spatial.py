@@ -109,21 +109,37 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, xy: tuple[str, st
     return cells.join(boxes, ["__cx", "__cy"]).where(G.contains(F.col(ring), G.point(F.col(xy[0]), F.col(xy[1])))).drop("__cx", "__cy")
 
 
-def lines_meeting_polygons(lines: DataFrame, polygons: DataFrame, line: str, ring: str) -> DataFrame:
-    """Pairs of a line and a polygon that it enters or crosses, after a test of their bounding boxes."""
+def lines_meeting_polygons(lines: DataFrame, polygons: DataFrame, line: str, ring: str, size: float = 1000.0) -> DataFrame:
+    """Pairs of a line and a polygon that it enters or crosses.
+
+    Both are copied into the cells that their boxes meet.  A pair counts in one cell
+    only: the first that both boxes have.
+    """
     low = lambda c, axis: F.array_min(F.transform(F.col(c), lambda p: p[axis]))
     high = lambda c, axis: F.array_max(F.transform(F.col(c), lambda p: p[axis]))
-    boxes = (low(line, "x") <= high(ring, "x")) & (high(line, "x") >= low(ring, "x")) & (low(line, "y") <= high(ring, "y")) & (high(line, "y") >= low(ring, "y"))
-    return lines.join(polygons, boxes & G.line_meets_ring(F.col(line), F.col(ring)))
+    first = F.lit(True)
+    for axis in ("x", "y"):
+        cells = lambda c: F.explode(F.sequence(_cell(low(c, axis), size), _cell(high(c, axis), size)))  # noqa: B023, E731
+        lines, polygons = lines.withColumn(f"__c{axis}", cells(line)), polygons.withColumn(f"__c{axis}", cells(ring))
+        first = first & (F.col(f"__c{axis}") == F.greatest(_cell(low(line, axis), size), _cell(low(ring, axis), size)))
+    met = lines.join(polygons, ["__cx", "__cy"]).where(first & G.line_meets_ring(F.col(line), F.col(ring)))
+    return met.drop("__cx", "__cy")
 
 
-def touching(rings: DataFrame, id_column: str, ring: str, tolerance: float = 0.01) -> DataFrame:
-    """Pairs (a, b), a < b, of rings that share a corner within the tolerance."""
-    corners = rings.select(F.col(id_column).alias("id"), F.explode(ring).alias("p")).select(
-        "id", F.round(F.col("p.x") / tolerance).cast("long").alias("cx"), F.round(F.col("p.y") / tolerance).cast("long").alias("cy")
-    )
-    a, b = corners.withColumnRenamed("id", "a"), corners.withColumnRenamed("id", "b")
-    return a.join(b, ["cx", "cy"]).where("a < b").select("a", "b").distinct()
+def touching(rings: DataFrame, id_column: str, ring: str, tolerance: float = 0.01, size: float = 50.0) -> DataFrame:
+    """Pairs (a, b), a < b, of rings whose borders come within the tolerance of each other.
+
+    Sides are put into the cells that their boxes, wider by the tolerance, meet.
+    """
+    sides = rings.select(F.col(id_column).alias("a"), F.explode(G.segments(G.closed(F.col(ring)))).alias("s"))
+    for axis in ("x", "y"):
+        low, high = F.least(f"s.a.{axis}", f"s.b.{axis}") - tolerance, F.greatest(f"s.a.{axis}", f"s.b.{axis}") + tolerance
+        sides = sides.withColumn(f"c{axis}", F.explode(F.sequence(_cell(low, size), _cell(high, size))))
+    other = sides.withColumnsRenamed({"a": "b", "s": "o"})
+    p, q, u, v = (F.col(c) for c in ("s.a", "s.b", "o.a", "o.b"))
+    near = lambda x, y, at: G.distance(G.between(x, y, G.foot_fraction(x, y, at)), at) <= tolerance
+    meet = G.segments_cross(p, q, u, v) | near(p, q, u) | near(p, q, v) | near(u, v, p) | near(u, v, q)
+    return sides.join(other, ["cx", "cy"]).where((F.col("a") < F.col("b")) & meet).select("a", "b").distinct()
 
 
 def convex_hull(points: DataFrame, key: str, xy: tuple[str, str]) -> DataFrame:

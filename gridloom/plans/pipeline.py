@@ -17,9 +17,12 @@ from gridloom.operators import cluster as C
 from gridloom.operators import graph as R
 from gridloom.operators import network as N
 from gridloom.operators import spatial as S
+from gridloom.operators.relational import required
 
 #: Longest and shortest way of a building to its street, and how near an end counts as the end, in metres.
 STREET_REACH, STREET_LEAST, SNAP = 2000.0, 0.1, 0.1
+#: How far outside the box of its points the paths of a part of a large component may lead, in metres.
+ZONE_MARGIN = 1000.0
 #: Classes of ways that are house connections, and of parts of split streets.
 HOUSE_CLASS, SPLIT_CLASS = 110, 103
 
@@ -33,6 +36,7 @@ class Networks:
     clusters: DataFrame
     sites: DataFrame
     lines: DataFrame
+    houses: DataFrame
 
 
 def served_buildings(buildings: DataFrame, areas: DataFrame, cell: float = 1000.0) -> DataFrame:
@@ -76,8 +80,8 @@ def street_graph(buildings: DataFrame, ways: DataFrame, cell: float = 200.0) ->
     return edges, vertices, consumers
 
 
-def supply_zones(buildings: DataFrame, edges: DataFrame, vertices: DataFrame, consumers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(points, costs): connection points with their consumers by zone, and the network distances inside each zone.
+def supply_zones(buildings: DataFrame, edges: DataFrame, vertices: DataFrame, consumers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(points, costs, edges): connection points with their consumers by zone and class, the network distances inside each zone, and its edges.
 
     A zone is a component with more than one consumer; a large component is dealt
     into several by place before any distances are taken, so a zone has a bounded
@@ -89,39 +93,64 @@ def supply_zones(buildings: DataFrame, edges: DataFrame, vertices: DataFrame, co
     place = users.join(vertices.select(F.col("vertex").alias("connection"), "x", "y"), "connection")
     share = F.percent_rank().over(Window.partitionBy("cluster").orderBy("x", "y"))
     place = place.withColumn("zone", F.col("cluster") + F.least(F.floor(share * F.col("parts")), F.col("parts") - 1))
-    points = place.groupBy("zone", F.col("connection").alias("point")).agg(F.first("x").alias("x"), F.first("y").alias("y"), F.max_by("kind", "peak").alias("kind"), F.sum("peak").alias("power"), F.sum("units").alias("count"))
+    of_class = E.consumer_class(F.col("kind")).alias("kind")
+    points = place.groupBy("zone", "component", F.col("connection").alias("point"), of_class).agg(F.first("x").alias("x"), F.first("y").alias("y"), F.sum("peak").alias("power"), F.sum("units").alias("count"))
     points = R.cut(points)
-    ends = points.select("zone", F.col("point").alias("i"))
-    paths = R.shortest_paths(points.select(F.col("point").alias("vertex")).distinct(), edges.select("source", "target", "cost"))
-    costs = paths.select(F.col("source").alias("i"), F.col("vertex").alias("j"), "cost").join(ends, "i")
-    other = ends.select(F.col("zone").alias("of"), F.col("i").alias("j"))
-    return points, R.cut(costs.join(other, "j").where("zone = of").select("zone", "i", "j", "cost"))
+    inner = R.cut(_zone_edges(points, edges, vertices, components))
+    points = points.drop("component")
+    ends = points.select("zone", F.col("point").alias("vertex")).distinct()
+    paths = R.shortest_paths(ends, inner, within=("zone",))
+    costs = paths.join(ends, ["zone", "vertex"], "left_semi").select("zone", F.col("source").alias("i"), F.col("vertex").alias("j"), "cost")
+    return points, R.cut(costs), inner
+
+
+def _zone_edges(points: DataFrame, edges: DataFrame, vertices: DataFrame, components: DataFrame) -> DataFrame:
+    """(zone, source, target, cost): the edges that paths of each zone may use.
+
+    A component that is one zone gives all its edges.  Of one that is dealt into several,
+    a zone has the edges with an end in the box of its points, wider by ZONE_MARGIN, so
+    that searches stay local on a network as large as a country.
+    """
+    box = points.groupBy("component", "zone").agg(*[f(c).alias(f"{n}{c}") for c in ("x", "y") for n, f in (("min_", F.min), ("max_", F.max))])
+    several = box.groupBy("component").agg((F.count("*") > 1).alias("several"))
+    place = vertices.join(components, "vertex").select(F.col("vertex").alias("end"), "component", "x", "y")
+    near = F.lit(True)
+    for c in ("x", "y"):
+        near = near & F.col(c).between(F.col(f"min_{c}") - ZONE_MARGIN, F.col(f"max_{c}") + ZONE_MARGIN)
+    inside = place.join(several, "component").join(box, "component").where(~F.col("several") | near).select("zone", "end")
+    touching = [edges.join(inside.withColumnRenamed("end", c), c).select("zone", "source", "target", "cost") for c in ("source", "target")]
+    return touching[0].union(touching[1]).distinct()
 
 
 def generate(buildings: DataFrame, ways: DataFrame, areas: DataFrame) -> Networks:
     """Networks of all areas: clusters, transformer sites, and lines with their cables."""
     served = R.cut(served_buildings(buildings, areas))
     edges, vertices, consumers = street_graph(served, ways)
-    points, costs = supply_zones(served, edges, vertices, consumers)
+    required(consumers, "buildings near a street")
+    points, costs, inner = supply_zones(served, edges, vertices, consumers)
     parts = R.cut(C.bisect_by_capacity(points, "zone", costs=costs))
     names = R.numbered(parts.select("zone", "cluster").distinct(), ["zone", "cluster"], "grid")
-    clusters = R.cut(parts.join(names, ["zone", "cluster"]).join(points.select("zone", "point", "kind", "power", "count"), ["zone", "point"]).drop("zone", "cluster"))
-    ends = clusters.select("grid", F.col("point").alias("i"))
-    other = ends.select(F.col("grid").alias("of"), F.col("i").alias("j"))
-    within = costs.drop("zone").join(ends, "i").join(other, "j").where("grid = of").select("grid", "i", "j", "cost")
-    sites = R.cut(C.weighted_median_site(within, clusters.select("grid", F.col("point").alias("j"), F.col("power").alias("load")), ["grid"]))
-    return Networks(served, edges, clusters, sites, _lines(clusters, sites, edges))
+    clusters = R.cut(parts.join(names, ["zone", "cluster"]).join(points.select("zone", "point", "kind", "power", "count"), ["zone", "point"]).drop("cluster"))
+    ends = clusters.select("zone", "grid", F.col("point").alias("i"))
+    other = ends.select("zone", F.col("grid").alias("of"), F.col("i").alias("j"))
+    within = costs.join(ends.distinct(), ["zone", "i"]).join(other.distinct(), ["zone", "j"]).where("grid = of").select("grid", "i", "j", "cost")
+    loads = clusters.groupBy("grid", F.col("point").alias("j")).agg(F.sum("power").alias("load"))
+    sites = R.cut(C.weighted_median_site(within, loads, ["grid"]))
+    houses = consumers.join(served.where("peak <> 0").select(F.col("id").cast("string").alias("id"), "kind", "peak", "units"), "id")
+    houses = houses.join(edges.where(F.col("id").startswith("b/")).select(F.substring("id", 3, 1 << 30).alias("id"), "cost"), "id")
+    houses = N.house_connections(houses, "id", "kind", "peak", "units", "cost").select("id", "connection", "vertex", "kind", "units", "peak", (F.col("cost") / 1000).alias("length_km"), "cable", "parallel")
+    of_zone = clusters.select("grid", "zone").distinct()
+    return Networks(served, edges, clusters.drop("zone"), sites, _lines(clusters, sites.join(of_zone, "grid"), inner), houses)
 
 
 def _lines(clusters: DataFrame, sites: DataFrame, edges: DataFrame) -> DataFrame:
-    """Feeders of each grid with their cables."""
-    paths = R.shortest_paths(sites.select(F.col("site").alias("vertex")).distinct(), edges.select("source", "target", "cost"))
-    reach = sites.select("grid", "site").join(paths.withColumnRenamed("source", "site"), "site")
-    mine = clusters.select("grid", F.col("point").alias("vertex"), "kind", "power", "count")
-    nodes = reach.join(mine, ["grid", "vertex"]).select(
-        "grid", F.col("vertex").alias("node"), F.col("via").alias("parent"), F.col("cost").alias("distance"),
-        F.array("kind").alias("kinds"), F.array(F.col("power").cast("double")).alias("powers"), F.array(F.col("count").cast("double")).alias("counts"),
-    )
+    """Feeders of each grid with their cables, along paths inside its zone."""
+    paths = R.shortest_paths(sites.select("zone", F.col("site").alias("vertex")).distinct(), edges, within=("zone",))
+    reach = sites.select("grid", "zone", "site").join(paths.withColumnRenamed("source", "site"), ["zone", "site"])
+    list_of = lambda c: F.collect_list(F.col(c).cast("double"))
+    mine = clusters.groupBy("grid", F.col("point").alias("vertex")).agg(F.collect_list("kind").alias("kinds"), list_of("power").alias("powers"), list_of("count").alias("counts"))
+    none = {c: F.coalesce(c, F.array().cast(f"array<{t}>")).alias(c) for c, t in (("kinds", "string"), ("powers", "double"), ("counts", "double"))}
+    nodes = reach.join(mine, ["grid", "vertex"], "left").select("grid", F.col("vertex").alias("node"), F.col("via").alias("parent"), F.col("cost").alias("distance"), *none.values())
     feeders = N.lay_branches(nodes, "grid")
     first = Window.partitionBy("grid", "branch")
     feeders = feeders.withColumns({"ka": F.max("current_ka").over(first), "far": F.sum("length").over(first)})

@@ -48,6 +48,7 @@ class Catalog:
 
     def read(self, name: str) -> DataFrame:
         """A table, empty if it has not been written."""
+        self.recover(name)
         if not self.exists(name):
             return self.spark.createDataFrame([], SCHEMAS[name])
         return self.spark.read.schema(T.StructType.fromDDL(SCHEMAS[name])).parquet(self.path(name))
@@ -68,19 +69,40 @@ class Catalog:
     def delete(self, name: str, **where: object) -> None:
         """Drop the rows whose columns equal the given values; rows with nulls there stay.
 
-        The rest is written beside the table and then takes its place.
+        The rest is written beside the table and then takes its place.  The old rows are
+        moved aside and deleted last, so no moment is without them: ``recover`` puts
+        them back after a crash.
         """
         doomed = F.lit(True)
         for column, value in where.items():
             doomed = doomed & F.col(column).eqNullSafe(F.lit(value))
+        self.recover(name)
         if not self.exists(name):
             return
         target = self.path(name)
         self.read(name).where(~doomed).write.mode("overwrite").parquet(f"{target}.next")
         fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
         fs = fs_path(target).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.delete(fs_path(target), True)
+        fs.rename(fs_path(target), fs_path(f"{target}.old"))
         fs.rename(fs_path(f"{target}.next"), fs_path(target))
+        fs.delete(fs_path(f"{target}.old"), True)
+
+    def recover(self, name: str) -> None:
+        """Finish a ``delete`` that was cut off: a table moved aside comes back if nothing has taken its place."""
+        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
+        target, aside = fs_path(self.path(name)), fs_path(f"{self.path(name)}.old")
+        fs = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if fs.exists(aside):
+            if fs.exists(target):
+                fs.delete(aside, True)
+            else:
+                fs.rename(aside, target)
+
+    def delete_everywhere(self, **where: object) -> None:
+        """Drop the rows with the given values from every table that has all of these columns."""
+        for name in self.tables():
+            if set(where) <= set(T.StructType.fromDDL(SCHEMAS[name]).names):
+                self.delete(name, **where)
 
     def tables(self) -> list[str]:
         """Names of the tables that exist."""
