@@ -8,9 +8,11 @@ DataFrames: each round is one aggregation that returns a few rows a cluster.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -247,38 +249,137 @@ def k_medoids(rows: DataFrame, columns: list[str], key: str, k: int, rounds: int
     return with_label(rows, columns, medoids), medoids
 
 
-def gaussian_mixture_tied(rows: DataFrame, columns: list[str], key: str, k: int, rounds: int = 20) -> DataFrame:
-    """Rows with ``cluster`` by a Gaussian mixture with one shared covariance.
+def gaussian_mixture(rows: DataFrame, columns: list[str], key: str, k: int, shape: str = "tied", rounds: int = 100, tolerance: float = 1e-3) -> DataFrame:
+    """Rows with ``cluster`` by a Gaussian mixture whose covariances have a ``shape``.
 
-    Each round of expectation and maximisation is one aggregation of k * (d + d * d)
-    sums; only these reach the driver.
+    Shapes are full (one matrix a component), tied (one for all), diag (variances) and
+    spherical (one variance a component).  A round adds up, in every partition, the
+    weights, sums and products of rows by component; Spark adds the partitions, and
+    k * (1 + d + d * d) numbers reach the driver.  Rounds end when the mean likelihood
+    grows by less than ``tolerance``, at the latest after ``rounds``.
     """
+    if shape not in ("full", "tied", "diag", "spherical"):
+        raise ValueError(f"no shape named {shape!r}")
     rows = cut(rows)
     d = len(columns)
     means = np.array(_spread_start(rows, columns, key, k))
     stats = rows.agg(*[F.var_pop(c).alias(c) for c in columns]).first()
-    inverse, weights = np.diag([1 / max(stats[c] or 0.0, 1e-9) for c in columns]), np.full(k, 1 / k)
+    covariances = np.repeat(np.diag([max(stats[c] or 0.0, 1e-9) for c in columns])[None], k, axis=0)
+    weights, last = np.full(k, 1 / k), -np.inf
+    packed = rows.select(F.col(key).alias("key"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
     for _ in range(rounds):
-        scored = _responsibilities(rows, columns, means, inverse, weights)
-        sums = [F.sum(f"r{j}").alias(f"n{j}") for j in range(k)] + [F.sum(F.col(f"r{j}") * F.col(c)).alias(f"m{j}_{i}") for j in range(k) for i, c in enumerate(columns)]
-        sums += [F.sum(F.col(columns[i]) * F.col(columns[j])).alias(f"s{i}_{j}") for i in range(d) for j in range(i, d)] + [F.count("*").alias("n")]
-        t = scored.agg(*sums).first()
-        size = np.array([t[f"n{j}"] for j in range(k)])
-        means = np.array([[t[f"m{j}_{i}"] / max(size[j], 1e-12) for i in range(d)] for j in range(k)])
-        second = np.array([[t[f"s{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)])
-        covariance = (second - (means * size[:, None]).T @ means) / t["n"] + 1e-6 * np.eye(d)
-        inverse, weights = np.linalg.inv(covariance), size / t["n"]
-    scored = _responsibilities(rows, columns, means, inverse, weights)
-    best = F.array_max(F.array(*[F.struct(F.col(f"r{j}").alias("r"), F.lit(-j).alias("j")) for j in range(k)]))
-    return scored.withColumn("cluster", -best["j"]).drop(*[f"r{j}" for j in range(k)])
-
-
-def _responsibilities(rows: DataFrame, columns: list[str], means: np.ndarray, inverse: np.ndarray, weights: np.ndarray) -> DataFrame:
-    logs = []
-    for m, w in zip(means, weights, strict=True):
-        diff = [F.col(c) - float(v) for c, v in zip(columns, m, strict=True)]
-        form = sum((diff[i] * diff[j] * float(inverse[i, j]) for i in range(len(columns)) for j in range(len(columns))), F.lit(0.0))
-        logs.append(form * -0.5 + float(np.log(max(w, 1e-12))))
-    rows = rows.withColumn("__l", F.array(*logs)).withColumn("__m", F.array_max("__l"))
-    rows = rows.withColumn("__t", F.aggregate("__l", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("__m"))))
-    return rows.withColumns({f"r{j}": F.exp(F.col("__l")[j] - F.col("__m")) / F.col("__t") for j in range(len(means))}).drop("__l", "__m", "__t")
+        likelihood, size, first, second = _mixture_sums(packed, means, covariances, weights)
+        weights, means = size / size.sum(), first / np.maximum(size, 1e-12)[:, None]
+        covariances = second / np.maximum(size, 1e-12)[:, None, None] - means[:, :, None] * means[:, None, :]
+        if shape == "tied":
+            covariances = np.repeat((covariances * weights[:, None, None]).sum(axis=0)[None], k, axis=0)
+        elif shape != "full":
+            variances = np.einsum("kii->ki", covariances)
+            variances = np.repeat(variances.mean(axis=1)[:, None], d, axis=1) if shape == "spherical" else variances
+            covariances = variances[:, :, None] * np.eye(d)
+        covariances = covariances + 1e-6 * np.eye(d)
+        if likelihood - last < tolerance:
+            break
+        last = likelihood
+    scores = _mixture_scores(means, covariances, weights)
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best = scores(_points(batch)).argmax(axis=1) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best.astype(np.int32))], names=["key", "cluster"])
+
+    kind = dict(packed.dtypes)["key"]
+    return rows.join(packed.mapInArrow(label, f"key {kind}, cluster int").withColumnRenamed("key", key), key)
+
+
+def _points(batch: pa.RecordBatch) -> np.ndarray:
+    return np.asarray(batch.column(1).flatten(), float).reshape(batch.num_rows, -1)
+
+
+def _mixture_scores(means: np.ndarray, covariances: np.ndarray, weights: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """A function from points to the logarithm of each component's weighted density."""
+    factors = np.linalg.cholesky(np.linalg.inv(covariances))
+    constant = np.log(np.maximum(weights, 1e-12)) + np.log(np.einsum("kii->ki", factors)).sum(axis=1) - means.shape[1] / 2 * np.log(2 * np.pi)
+
+    def scores(x: np.ndarray) -> np.ndarray:
+        return np.column_stack([c - 0.5 * (((x - m) @ f) ** 2).sum(axis=1) for m, f, c in zip(means, factors, constant, strict=True)])
+
+    return scores
+
+
+def _mixture_sums(packed: DataFrame, means: np.ndarray, covariances: np.ndarray, weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """(mean log likelihood, weights, sums and products by component) over all rows."""
+    k, d = means.shape
+    scores = _mixture_scores(means, covariances, weights)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 + k * (1 + d + d * d))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _points(batch)
+            z = scores(x)
+            top = z.max(axis=1, keepdims=True)
+            share = np.exp(z - top)
+            sums = share.sum(axis=1, keepdims=True)
+            share /= sums
+            products = np.stack([(x * r[:, None]).T @ x for r in share.T])
+            total += np.concatenate([[(np.log(sums) + top).sum(), len(x)], share.sum(axis=0), (share.T @ x).ravel(), products.ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["s"])
+
+    parts = packed.mapInArrow(add, "s array<double>").select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
+    total = np.array([r["v"] for r in parts.orderBy("i").collect()])
+    size, rest = total[2 : 2 + k], total[2 + k :]
+    return total[0] / max(total[1], 1), size, rest[: k * d].reshape(k, d), rest[k * d :].reshape(k, d, d)
+
+
+def place_clusters(points: DataFrame, group: str, parts: str, rounds: int = 5) -> DataFrame:
+    """``points`` (group, id, x, y, parts, ...) with ``part``: k-means of each group into its number of parts.
+
+    Start centres come from halving at medians along the wider side, which no task has
+    to sort a group for; each of the ``rounds`` gives points to their nearest centre by
+    cells and moves the centres.
+    """
+    from gridloom.operators.spatial import nearest
+
+    rows = cut(points.withColumns({"__node": F.lit(1).cast("long"), "__todo": F.col(parts).cast("long")}))
+    while not rows.where("__todo > 1").isEmpty():
+        open_nodes = rows.where("__todo > 1").groupBy(group, "__node").agg(
+            ((F.max("x") - F.min("x")) >= (F.max("y") - F.min("y"))).alias("__wide"), F.percentile_approx("x", 0.5, 10_000).alias("__mx"), F.percentile_approx("y", 0.5, 10_000).alias("__my")
+        )
+        right = F.when(F.col("__wide"), F.col("x") > F.col("__mx")).otherwise(F.col("y") > F.col("__my"))
+        half = F.when(right, F.floor(F.col("__todo") / 2)).otherwise(F.ceil(F.col("__todo") / 2))
+        moved = rows.join(open_nodes, [group, "__node"], "left").withColumn("__right", right)
+        rows = cut(
+            moved.withColumns(
+                {
+                    "__node": F.when(F.col("__wide").isNull(), F.col("__node")).otherwise(F.col("__node") * 2 + F.col("__right").cast("long")),
+                    "__todo": F.when(F.col("__wide").isNull(), F.col("__todo")).otherwise(half).cast("long"),
+                }
+            ).drop("__wide", "__mx", "__my", "__right")
+        )
+    rows = rows.drop("__todo")
+    for _ in range(rounds):
+        centres = cut(rows.groupBy(F.col(group).alias("__of"), F.col("__node").alias("__c")).agg(F.avg("x").alias("__x"), F.avg("y").alias("__y")))
+        found = nearest(rows.drop("__node"), centres.withColumn("__name", F.struct("__of", "__c")), 1, 1000.0, "id", "__name", ("x", "y"), ("__x", "__y"), F.col(group) == F.col("__of"))
+        rows = cut(found.withColumn("__node", F.col("__c")).select(*points.columns, "__node"))
+    number = rows.select(group, "__node").distinct().withColumn("part", F.row_number().over(Window.partitionBy(group).orderBy("__node")) - 1)  # one row a part
+    return rows.join(number, [group, "__node"]).drop("__node")
+
+
+def index_sweep(rows: DataFrame, columns: list[str], key: str, numbers: range = range(3, 8), algorithms: tuple[str, ...] = ("kmeans", "kmedoids", "full", "tied", "diag", "spherical")) -> DataFrame:
+    """(algorithm, k, ch, db): both indices of each clustering of the rows; a large ch and a small db are good."""
+    from gridloom.operators.metrics import calinski_harabasz, davies_bouldin
+
+    out = None
+    for k in numbers:
+        for name in algorithms:
+            if name in ("kmeans", "kmedoids"):
+                labelled = (k_means if name == "kmeans" else k_medoids)(rows, columns, key, k)[0]
+            else:
+                labelled = gaussian_mixture(rows, columns, key, k, name)
+            labelled = cut(labelled.select(*columns, "cluster"))
+            both = calinski_harabasz(labelled, columns, "cluster").select("ch").crossJoin(davies_bouldin(labelled, columns, "cluster"))
+            both = both.select(F.lit(name).alias("algorithm"), F.lit(k).alias("k"), "ch", "db")
+            out = both if out is None else out.unionByName(both)
+    return out

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import electrical as E
+from gridloom.functions import geometry as G
 from gridloom.operators import cluster as C
 from gridloom.operators import metrics as M
 from gridloom.operators import network as N
+from gridloom.operators import radial as P
 from gridloom.operators import relational as R
 from gridloom.operators import spatial as S
+from gridloom.operators import transformers as T
 from gridloom.plans.base import BUILDINGS_SQL, buildings, query, sites, table
 
 _CABLES_SQL = ", ".join(f"('{n}', {r}, {x}, {i}, {q})" for n, r, x, i, q in E.STREET_CABLES)
@@ -100,61 +103,69 @@ def q63_lay_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.lay_branches(nodes, "area")
 
 
-def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = [F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)]
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label", *columns)
+#: Components of a vector of the table.
+DIMENSIONS = 64
+_E = [f"e{i}" for i in range(DIMENSIONS)]
 
 
-_E4 = [f"e{i}" for i in range(4)]
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = [F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(_E)]
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", *columns)
 
 
 @query()
 def q40_kmeans_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The row nearest to the centre of each of five clusters."""
-    rows = R.z_scores(_vectors(spark, sf_dir), _E4)
-    labelled, _ = C.k_means(rows, _E4, "vec_id", 5)
+    labelled, _ = C.k_means(R.z_scores(_vectors(spark, sf_dir), _E), _E, "vec_id", 5)
     return C.representatives(labelled, "vec_id", "label").select("cluster", "representative")
 
 
 @query()
 def q41_kmedoids_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five medoids, clusters renumbered by their label."""
-    rows = R.z_scores(_vectors(spark, sf_dir), _E4)
-    labelled, _ = C.k_medoids(rows, _E4, "vec_id", 5)
+    labelled, _ = C.k_medoids(R.z_scores(_vectors(spark, sf_dir), _E), _E, "vec_id", 5)
     return C.representatives(labelled, "vec_id", "label").select("cluster", "representative")
 
 
 @query()
 def q42_gmm_tied_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters by a Gaussian mixture with one covariance."""
-    rows = R.z_scores(_vectors(spark, sf_dir), _E4)
-    return C.gaussian_mixture_tied(rows, _E4, "vec_id", 4, rounds=8).select("vec_id", "cluster")
+    return C.gaussian_mixture(R.z_scores(_vectors(spark, sf_dir), _E), _E, "vec_id", 4).select("vec_id", "cluster")
+
 
+@query()
+def q67_index_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both indices of two algorithms for three to five clusters of the numbers of parts."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
+    columns = ["p_size", "p_retailprice"]
+    return C.index_sweep(R.z_scores(rows, columns), columns, "p_partkey", range(3, 6), ("kmeans", "tied"))
 
-_MEANS = ", ".join(f"avg(e{i}) AS m{i}" for i in range(4))
-_ROWS = "SELECT vec_id, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(4)) + " FROM embeddings"
+
+_MEANS = ", ".join(f"avg(e{i}) AS m{i}" for i in range(DIMENSIONS))
+_ROWS = "SELECT vec_id, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(DIMENSIONS)) + " FROM embeddings"
+_SQUARES = lambda a, b: " + ".join(f"({a}{i} - {b}{i}) ** 2" for i in range(DIMENSIONS))
 
 
 @query(f"""
     WITH v AS ({_ROWS}), c AS (SELECT label, count(*) AS n, {_MEANS} FROM v GROUP BY 1), g AS (SELECT {_MEANS} FROM v),
-    w AS (SELECT sum({" + ".join(f"(e{i} - m{i}) ** 2" for i in range(4))}) AS w FROM v JOIN c USING (label)),
-    b AS (SELECT sum(n * ({" + ".join(f"(c.m{i} - g.m{i}) ** 2" for i in range(4))})) AS b, count(*) AS k, sum(n) AS n FROM c, g)
+    w AS (SELECT sum({_SQUARES("e", "m")}) AS w FROM v JOIN c USING (label)),
+    b AS (SELECT sum(n * ({_SQUARES("c.m", "g.m")})) AS b, count(*) AS k, sum(n) AS n FROM c, g)
     SELECT CAST(k AS BIGINT) AS k, CAST(n AS BIGINT) AS n, round((b / (k - 1)) / (w / (n - k)), 6) AS ch FROM w, b
 """)
 def q43_ch_index_of_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calinski-Harabasz index of the labels."""
-    return M.calinski_harabasz(_vectors(spark, sf_dir), _E4, "label").select("k", "n", F.round("ch", 6).alias("ch"))
+    return M.calinski_harabasz(_vectors(spark, sf_dir), _E, "label").select("k", "n", F.round("ch", 6).alias("ch"))
 
 
 @query(f"""
     WITH v AS ({_ROWS}), c AS (SELECT label, {_MEANS} FROM v GROUP BY 1),
-    s AS (SELECT label, avg(sqrt({" + ".join(f"(e{i} - m{i}) ** 2" for i in range(4))})) AS s FROM v JOIN c USING (label) GROUP BY 1), a AS (SELECT * FROM c JOIN s USING (label)),
-    r AS (SELECT a.label, max((a.s + b.s) / sqrt({" + ".join(f"(a.m{i} - b.m{i}) ** 2" for i in range(4))})) AS r FROM a JOIN a b ON a.label <> b.label GROUP BY 1)
+    s AS (SELECT label, avg(sqrt({_SQUARES("e", "m")})) AS s FROM v JOIN c USING (label) GROUP BY 1), a AS (SELECT * FROM c JOIN s USING (label)),
+    r AS (SELECT a.label, max((a.s + b.s) / sqrt({_SQUARES("a.m", "b.m")})) AS r FROM a JOIN a b ON a.label <> b.label GROUP BY 1)
     SELECT round(avg(r), 6) AS db FROM r
 """)
 def q44_db_index_of_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Davies-Bouldin index of the labels."""
-    return M.davies_bouldin(_vectors(spark, sf_dir), _E4, "label").select(F.round("db", 6).alias("db"))
+    return M.davies_bouldin(_vectors(spark, sf_dir), _E, "label").select(F.round("db", 6).alias("db"))
 
 
 @query("""
@@ -222,3 +233,74 @@ def q66_buses(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = s.select(F.col("nation").alias("grid"), F.col("site").alias("vertex"), "kind")
     return N.buses(grids, points.where("vertex % 5 = 0"), points)
 
+
+
+_HOUSE_SQL = ", ".join(f"('{n}', {r}, {x}, {i}, {q})" for n, r, x, i, q in E.HOUSE_CABLES)
+
+
+@query(f"""
+    WITH c(cable, r, x, i, q) AS (VALUES {_HOUSE_SQL}),
+    b AS (SELECT site, CAST(1 + site % 60 AS DOUBLE) AS m, CASE WHEN units = 0 THEN 0 ELSE CAST(peak AS DOUBLE) * (g + (1 - g) * pow(units, -0.75)) END AS load
+          FROM (SELECT *, CASE kind WHEN 'Commercial' THEN 0.5 WHEN 'Public' THEN 0.6 ELSE 0.07 END::DOUBLE AS g FROM ({BUILDINGS_SQL}) b) k),
+    l AS (SELECT *, load / (400 * 0.95 * sqrt(3)) AS ka, CASE WHEN load <= 100 THEN 2.0 ELSE 4.0 END::DOUBLE AS volts FROM b),
+    o AS (SELECT site, load, cable, q, CAST(greatest(ceil(ka / i - 1e-12), ceil(sqrt(r * r + x * x) / volts * ka * m - 1e-12), 1) AS INTEGER) AS n FROM l, c)
+    SELECT site, round(min(load), 6) AS load, arg_min(cable, (n, q, cable)) AS cable, min(n) AS parallel FROM o GROUP BY 1
+""")
+def q68_house_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cable and parallel number of the connection of every site."""
+    rows = buildings(spark, sf_dir).select("site", "kind", "peak", "units", (1 + F.col("site") % 60).cast("double").alias("m"))
+    return N.house_connections(rows, "site", "kind", "peak", "units", "m").select("site", F.round("load", 6).alias("load"), "cable", "parallel")
+
+
+@query("""
+    WITH p AS (SELECT 'way/' || s_suppkey AS id, CAST(s_suppkey AS BIGINT) AS nth, CASE s_suppkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'unknown' WHEN 2 THEN '20000' WHEN 3 THEN '110000' ELSE '400' END AS voltage,
+          CAST((s_suppkey * 37) % 211 AS DOUBLE) AS x, CAST((s_suppkey * 53) % 199 AS DOUBLE) AS y FROM supplier),
+    a AS (SELECT 'node/' || n_nationkey AS id, CAST(1000000 + n_nationkey AS BIGINT) AS nth, 8.0 * n_nationkey + 0.5 AS x0, 7.0 * n_nationkey + 0.5 AS y0, 5.0 + n_nationkey % 5 AS s FROM nation),
+    m AS (SELECT 40.0 * r_regionkey + 0.25 AS x0, 20.25 AS y0, 12.0 AS s FROM region),
+    r AS (SELECT id, nth, x, y, voltage, 0.0 AS m2 FROM p WHERE NOT EXISTS (SELECT 1 FROM a WHERE p.x > x0 AND p.x < x0 + s AND p.y > y0 AND p.y < y0 + s)
+          UNION ALL SELECT id, nth, x0 + s / 2, y0 + s / 2, NULL, s * s FROM a),
+    k AS (SELECT * FROM r WHERE m2 < 60 AND coalesce(coalesce(try_cast(coalesce(voltage, '1') AS DOUBLE), 0) < 110000, true)),
+    u AS (SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM k b WHERE b.nth > k.nth AND (b.x - k.x) * (b.x - k.x) + (b.y - k.y) * (b.y - k.y) < 64))
+    SELECT regexp_replace(id, '^[waynode/]+', '') || CASE WHEN nth >= 1000000 THEN 'a' ELSE 'p' END AS osm_id, CAST(round(x, 6) AS DOUBLE) AS x, CAST(round(y, 6) AS DOUBLE) AS y FROM u
+    WHERE NOT EXISTS (SELECT 1 FROM m WHERE u.x > x0 AND u.x < x0 + s AND u.y > y0 AND u.y < y0 + s)
+""")
+def q69_clean_transformers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates for transformers, as points and footprints, of which those that are none are dropped."""
+    key = F.col("s_suppkey")
+    square = lambda x, y, s: F.array(G.point(x, y), G.point(x + s, y), G.point(x + s, y + s), G.point(x, y + s))
+    voltage = F.when(key % 5 == 1, "unknown").when(key % 5 == 2, "20000").when(key % 5 == 3, "110000").when(key % 5 == 4, "400")
+    points = table(spark, sf_dir, "supplier").select(F.concat(F.lit("way/"), key).alias("id"), key.cast("long").alias("nth"), voltage.alias("voltage"), F.array(G.point(key * 37 % 211, key * 53 % 199)).alias("ring"))
+    n = F.col("n_nationkey")
+    areas = table(spark, sf_dir, "nation").select(F.concat(F.lit("node/"), n).alias("id"), (n + 1_000_000).cast("long").alias("nth"), F.lit(None).cast("string").alias("voltage"), square(n * 8 + 0.5, n * 7 + 0.5, n % 5 + 5.0).alias("ring"))
+    malls = table(spark, sf_dir, "region").select(square(F.col("r_regionkey") * 40 + 0.25, F.lit(20.25), F.lit(12.0)).alias("ring"))
+    out = T.clean_candidates(points.unionByName(areas), malls)
+    kind = F.when(F.col("id").startswith("node"), "a").otherwise("p")
+    return out.select(F.concat(T.map_id(F.col("id")), kind).alias("osm_id"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query(f"""
+    WITH s AS (SELECT b.*, n_regionkey AS grid, CAST(CASE WHEN kind IN ('SFH', 'MFH', 'AB') THEN 'Residential' ELSE kind END AS VARCHAR) AS class, CAST(peak AS DOUBLE) / 1000 AS p, CAST(1 + n_nationkey % 7 AS DOUBLE) / 10 AS ln, CAST(1 + site % 13 AS DOUBLE) / 100 AS lc
+               FROM ({BUILDINGS_SQL}) b JOIN nation ON nation = n_nationkey WHERE peak > 0),
+    c AS (SELECT grid, nation, class, sum(p) AS p, sum(units) AS n, CASE class WHEN 'Commercial' THEN 0.5 WHEN 'Public' THEN 0.6 ELSE 0.07 END::DOUBLE AS g FROM s GROUP BY 1, 2, 3),
+    f AS (SELECT grid, nation, sum(p * (g + (1 - g) * pow(n, -0.75))) / sum(p) AS factor FROM c GROUP BY 1, 2),
+    o AS (SELECT s.*, CASE class WHEN 'Commercial' THEN 0.5 WHEN 'Public' THEN 0.6 ELSE 0.07 END::DOUBLE AS g FROM s),
+    v AS (SELECT o.grid, o.nation, sum(p * 1000 / 30) AS h, sum(p * 1000 / 30 * (ln * 0.2 * factor + lc * 0.5 * (g + (1 - g) * pow(units, -0.75)))) AS r, sum(p * 1000 / 30 * (ln + lc) * 0.08) AS x FROM o JOIN f ON o.grid = f.grid AND o.nation = f.nation GROUP BY 1, 2),
+    t AS (SELECT grid, max(h) AS most, sum(r) AS r, sum(x) AS x, max(r) AS worst, count(*) AS branches FROM v GROUP BY 1),
+    k AS (SELECT grid, count(*) AS houses, max(ln + lc) AS far, avg(ln + lc) AS mean, sum(lc) AS leaves, sum(units) AS households, sum(p) AS mw FROM s GROUP BY 1),
+    b AS (SELECT grid, sum(ln) AS trunk FROM (SELECT DISTINCT grid, nation, ln FROM s) d GROUP BY 1)
+    SELECT CAST(grid AS INTEGER) AS grid, CAST(branches AS BIGINT) AS no_branches, CAST(houses AS BIGINT) AS no_house_connections, CAST(branches AS BIGINT) AS no_connection_buses, CAST(households AS BIGINT) AS no_households, round(most, 4) AS max_no_of_households_of_a_branch,
+           round(mw, 6) AS max_power_mw, round(leaves + trunk, 6) AS cable_length_km, round(far, 6) AS max_trafo_dis, round(mean, 6) AS avg_trafo_dis, round(r, 4) AS resistance, round(x, 4) AS reactance, round(r / x, 6) AS ratio, round(worst, 4) AS max_vsw_of_a_branch
+    FROM t JOIN k USING (grid) JOIN b USING (grid)
+""")
+def q70_grid_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classification parameters of one network a region: its nations as branches, their sites as houses."""
+    of = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("grid"))
+    s = buildings(spark, sf_dir).where("peak > 0").join(of, "nation")
+    trunk = s.select("grid", F.lit("root").alias("parent"), F.concat(F.lit("n"), "nation").alias("child"), ((1 + F.col("nation") % 7).cast("double") / 10).alias("length_km"), F.lit(0.2).alias("r")).distinct()
+    house = F.concat(F.lit("c"), "site")
+    leaves = s.select("grid", F.concat(F.lit("n"), "nation").alias("parent"), house.alias("child"), ((1 + F.col("site") % 13).cast("double") / 100).alias("length_km"), F.lit(0.5).alias("r"))
+    lines = trunk.unionByName(leaves).withColumns({"x": F.lit(0.08), "parallel": F.lit(1)})
+    loads = s.select("grid", house.alias("vertex"), "kind", (F.col("peak").cast("double") / 1000).alias("max_p_mw"), F.col("units").cast("long").alias("n"))
+    out = P.grid_parameters(lines, loads, "root")
+    rounded = {"max_no_of_households_of_a_branch": 4, "max_power_mw": 6, "cable_length_km": 6, "max_trafo_dis": 6, "avg_trafo_dis": 6, "resistance": 4, "reactance": 4, "ratio": 6, "max_vsw_of_a_branch": 4}
+    return out.select("grid", "no_branches", "no_house_connections", "no_connection_buses", "no_households", *[F.round(c, n).alias(c) for c, n in rounded.items()])

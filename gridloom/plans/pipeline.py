@@ -84,15 +84,15 @@ def supply_zones(buildings: DataFrame, edges: DataFrame, vertices: DataFrame, co
     """(points, costs, edges): connection points with their consumers by zone and class, the network distances inside each zone, and its edges.
 
     A zone is a component with more than one consumer; a large component is dealt
-    into several by place before any distances are taken, so a zone has a bounded
-    number of points.
+    into several by k-means of its places before any distances are taken.
     """
     components = R.connected_components(vertices.select("vertex"), edges)
     fate = C.component_clusters(components, consumers.select("vertex")).where("action <> 'drop'")
     users = consumers.join(buildings.where("peak <> 0").select(F.col("id").cast("string").alias("id"), "kind", "peak", "units"), "id").join(components, "vertex").join(fate, "component")
     place = users.join(vertices.select(F.col("vertex").alias("connection"), "x", "y"), "connection")
-    share = F.percent_rank().over(Window.partitionBy("cluster").orderBy("x", "y"))
-    place = place.withColumn("zone", F.col("cluster") + F.least(F.floor(share * F.col("parts")), F.col("parts") - 1))
+    spots = place.where("action = 'split'").select("component", F.col("connection").alias("id"), "x", "y", "parts").distinct()
+    dealt = C.place_clusters(spots, "component", "parts").select("component", F.col("id").alias("connection"), "part")
+    place = place.join(dealt, ["component", "connection"], "left").withColumn("zone", F.col("cluster") + F.coalesce("part", F.lit(0)))
     of_class = E.consumer_class(F.col("kind")).alias("kind")
     points = place.groupBy("zone", "component", F.col("connection").alias("point"), of_class).agg(F.first("x").alias("x"), F.first("y").alias("y"), F.sum("peak").alias("power"), F.sum("units").alias("count"))
     points = R.cut(points)

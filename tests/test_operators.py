@@ -143,6 +143,89 @@ def test_feeders_cover_every_node_once(spark):
     assert all(r.current_ka < E.BRANCH_LIMIT_KA or sum(x.branch == b for x in out) == 1 for b, r in first.items())
 
 
+def test_feeders_pass_junctions(spark):
+    """Four consumers in line with junctions between them are one feeder."""
+    rows = [(1, i, i - 1 if i else None, float(i), *((["SFH"], [30.0], [1.0]) if i % 2 else ([], [], []))) for i in range(9)]
+    out = network.lay_branches(spark.createDataFrame(rows, "grid int, node long, parent long, distance double, kinds array<string>, powers array<double>, counts array<double>"), "grid").collect()
+    assert sorted((r.branch, r.nth, r.node, r.next, r.length) for r in out) == [(0, 0, 7, 5, 2.0), (0, 1, 5, 3, 2.0), (0, 2, 3, 1, 2.0), (0, 3, 1, None, 1.0)]
+
+
+def test_areas_of_one_point_and_mixed_points(spark):
+    rows = [(1, 7, 0.0, 0.0, "SFH", 30.0, 1), (2, 1, 0.0, 0.0, "MFH", 300.0, 10), (2, 1, 0.0, 0.0, "Commercial", 50.0, 1), (2, 2, 5.0, 0.0, "Industrial", 90.0, 1)]
+    out = {(r.area, r.point): r for r in cluster.bisect_by_capacity(spark.createDataFrame(rows, "area int, point int, x double, y double, kind string, power double, count int"), "area").collect()}
+    assert set(out) == {(1, 7), (2, 1), (2, 2)} and out[1, 7].load == pytest.approx(30) and out[1, 7].size_kva == 100
+    assert out[2, 1].load == pytest.approx(300 * (0.07 + 0.93 * 10**-0.75) + 50) and out[2, 2].load == 0
+
+
+def test_borders_touch_without_common_corners(spark):
+    box = lambda x, y, w, h: [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+    rings = [(0, box(0.0, 0.0, 60.0, 10.0)), (1, box(20.0, 10.0, 5.0, 5.0)), (2, box(60.004, 3.0, 5.0, 2.0)), (3, box(61.0, 20.0, 5.0, 5.0)), (4, box(30.0, 5.0, 2.0, 30.0))]
+    df = spark.createDataFrame(rings, f"id int, {LINE.replace('line', 'ring', 1)}")
+    assert {(r.a, r.b) for r in spatial.touching(df, "id", "ring").collect()} == {(0, 1), (0, 2), (0, 4)}
+    lines = spark.createDataFrame([(10, [(-5.0, 4.5), (100.0, 4.5)]), (13, [(-5.0, 6.0), (100.0, 6.0)]), (11, [(22.0, 12.0), (23.0, 13.0)]), (12, [(0.0, 50.0), (9.0, 50.0)])], f"way int, {LINE}")
+    met = spatial.lines_meeting_polygons(lines, df, "line", "ring", 7.0).select("way", "id").collect()
+    assert sorted((r.way, r.id) for r in met) == [(10, 0), (10, 2), (11, 1), (13, 0), (13, 4)]
+
+
+@pytest.mark.parametrize("shape", ["full", "tied", "diag", "spherical"])
+def test_mixtures_find_clouds(spark, shape):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(c, 0.4, (60, 2)) for c in ((0, 0), (4, 0), (0, 5))])
+    rows = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "id int, a double, b double")
+    of = {r.id: r.cluster for r in cluster.gaussian_mixture(rows, ["a", "b"], "id", 3, shape).collect()}
+    assert len(of) == 180 and [len({of[i] for i in range(60 * k, 60 * k + 60)}) for k in range(3)] == [1, 1, 1] and len(set(of.values())) == 3
+
+
+def test_places_in_parts(spark):
+    rng = np.random.default_rng(4)
+    spots = [(0, i, float(x), float(y), 4) for i, (x, y) in enumerate(np.concatenate([rng.normal(c, 30, (40, 2)) for c in ((0, 0), (5000, 0), (0, 5000), (5000, 5000))]))]
+    spots += [(1, 1000 + i, float(i), 0.0, 1) for i in range(5)]
+    out = {r.id: r.part for r in cluster.place_clusters(spark.createDataFrame(spots, "g int, id long, x double, y double, parts int"), "g", "parts", rounds=2).collect()}
+    assert len(out) == len(spots) and [len({out[i] for i in range(40 * k, 40 * k + 40)}) for k in range(4)] == [1] * 4
+    assert {out[i] for i in range(160)} == {0, 1, 2, 3} and {out[1000 + i] for i in range(5)} == {0}
+
+
+def test_small_relational_operators(spark):
+    df = spark.createDataFrame([("a", 1, 7), ("a", 2, 7), ("b", 3, 8)], "k string, v int, g int")
+    assert [r.v for r in relational.only_ones(df, ["k"]).collect()] == [3]
+    with pytest.raises(ValueError, match="no ways"):
+        relational.required(df.where("false"), "ways")
+    assert relational.required(df, "ways").count() == 3 and relational.sampled(df, 100.0).count() == 3
+    pool = spark.createDataFrame([("x", 1, 7), ("y", 9, 7), ("z", 10, 8)], "k string, v int, g int")
+    assert sorted(r.v for r in relational.replaced(df, "v", 1, pool, ["g"]).collect()) == [2, 3, 9]
+    assert sorted(r.v for r in relational.replaced(df, "v", 3, pool.where("g = 7"), ["g"]).collect()) == [1, 2, 3]
+    m = spark.sql("SELECT map('630', 1, '1000', 2, '400', 3) AS m").select(relational.sorted_entries(F.col("m")).alias("up"), relational.sorted_entries(F.col("m"), True).alias("down")).first()
+    assert [e.key for e in m.up] == ["400", "630", "1000"] and [e.value for e in m.down] == [2, 1, 3]
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_spread_join(spark, how):
+    left = spark.createDataFrame([(i % 3 if i < 900 else i, i) for i in range(1000)] + [(None, 5000)], "k int, v int")
+    right = spark.createDataFrame([(k, f"r{k}") for k in (0, 1, 950)], "k int, w string")
+    got = sorted(map(repr, relational.join_spread(left, right, ["k"], how, share=10).collect()))
+    assert got == sorted(map(repr, left.join(right, "k", how).collect()))
+
+
+def test_degrees_targets_and_text(spark):
+    v = spark.range(4).withColumnRenamed("id", "vertex")
+    e = spark.createDataFrame([(0, 2), (0, 1), (1, 2)], "source long, target long")
+    assert sorted(tuple(r) for r in graph.degrees(v, e).collect()) == [(0, 2, False, False), (1, 2, False, False), (2, 2, False, False), (3, 0, False, True)]
+    assert sorted((r.vertex, r.target) for r in graph.least_targets(v, e).where("target IS NOT NULL").collect()) == [(0, 1), (1, 2)]
+    line = spark.createDataFrame([([(0.0, 1.5), (2.0, 0.0), (2.0, 2.0)],)], LINE)
+    r = line.select(G.wkt_line(F.col("line")).alias("l"), G.wkt_polygon(F.col("line")).alias("p")).select("*", G.from_wkt(F.col("l")).alias("a"), G.from_wkt(F.col("p")).alias("b")).first()
+    assert r.l == "LINESTRING (0.0 1.5, 2.0 0.0, 2.0 2.0)" and r.p == "POLYGON ((0.0 1.5, 2.0 0.0, 2.0 2.0, 0.0 1.5))"
+    assert [tuple(p) for p in r.a] == [(0.0, 1.5), (2.0, 0.0), (2.0, 2.0)] and len(r.b) == 4
+
+
+def test_indoor_transformers(spark):
+    from gridloom.operators.transformers import without_indoor
+
+    square = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]
+    homes = spark.createDataFrame([(0.0, square), (30.0, [(x + 20, y) for x, y in square])], f"peak double, {LINE.replace('line', 'ring', 1)}")
+    t = spark.createDataFrame([(1, 5.0, 5.0), (2, 25.0, 5.0), (3, 50.0, 5.0)], "id int, x double, y double")
+    assert sorted(r.id for r in without_indoor(t, homes).collect()) == [2, 3]
+
+
 def test_nearest_equals_brute_force(spark):
     rng = random.Random(5)
     pts = [(i, rng.randrange(10_000), rng.randrange(10_000)) for i in range(300)]
@@ -198,6 +281,11 @@ def test_catalog(spark, tmp_path):
     assert sorted((r.plz, r.size_kva) for r in store.read("grids").collect()) == [(1, 250.0), (2, 160.0)]
     store.delete("grids", plz=1)
     assert [r.plz for r in store.read("grids").collect()] == [2]
+    (tmp_path / "store" / "grids").rename(tmp_path / "store" / "grids.old")  # a delete that was cut off
+    assert [r.plz for r in store.read("grids").collect()] == [2]
+    store.write("ledger", spark.createDataFrame([(9, None)], "ags int, at timestamp"))
+    store.delete_everywhere(plz=2)
+    assert store.read("grids").isEmpty() and store.read("ledger").count() == 1
     store.append("grids", grids, ("plz",))
     assert sorted(r.plz for r in store.read("grids").collect()) == [1, 2]
     with pytest.raises(ValueError, match="no table"):

@@ -30,3 +30,9 @@ def test_two_streets(spark):
     lines = out.lines.collect()
     assert sorted(r.node for r in lines) == sorted(r.point for r in clusters)
     assert all(r.cable and r.parallel == 1 for r in lines)
+    homes = out.houses.collect()
+    assert {r.id for r in homes} == {str(r.id) for r in out.buildings.where("peak <> 0").collect()} - {"50"} | {"50"} and all(r.parallel >= 1 for r in homes)
+    longest = max(lines, key=lambda r: -r.nth)
+    assert {r.node for r in lines if r.branch == longest.branch and r.grid == longest.grid} >= {longest.node}
+    # junctions do not end a feeder: all points of the street share few branches
+    assert len({(r.grid, r.branch) for r in lines}) < len(lines)
