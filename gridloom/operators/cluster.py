@@ -183,6 +183,51 @@ def weighted_median_site(distances: DataFrame, loads: DataFrame, keys: list[str]
     return moments.groupBy(*keys).agg(F.min(F.struct("moment", "i")).alias("m")).select(*keys, F.col("m.i").alias("site"), F.col("m.moment").alias("moment"))
 
 
+#: Sites of an area that are probed in one round of ``weighted_median_point``, as the side of a square of cells.
+PROBES = 4
+
+
+def weighted_median_point(points: DataFrame, key: str, tolerance: float = 1e-3) -> DataFrame:
+    """(key, site, moment): of each area the point with the least load-weighted straight distance to all its points.
+
+    ``points`` has the key, id, x, y and load.  The moment is convex, so its slope at a
+    probed site bounds it from below everywhere.  A round probes at most PROBES * PROBES
+    sites of what is left of each area, spread over its cells, and drops all sites whose
+    bound is above the best moment found; it reads each point once a probe and emits no pairs.
+    The moment is exact, rounded to ``tolerance``; among equals the smaller id is taken.
+    Null coordinates take no part; null and negative loads count as none; an area
+    without load gives its smallest id and a moment of 0.
+    """
+    digits = max(0, round(-math.log10(tolerance)))
+    load = F.greatest(F.coalesce(F.col("load").cast("double"), F.lit(0.0)), F.lit(0.0))
+    known = points.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    at = cut(known.groupBy(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).agg(F.min("id").alias("id"), F.sum(load).alias("load")))
+    loaded = at.groupBy(key).agg(F.sum("load").alias("all"), F.min("id").alias("id"))
+    found = cut(loaded.where("all <= 0").select(key, "id", F.lit(0.0).alias("moment")))
+    left = cut(at.join(loaded.where("all > 0").select(key), key, "left_semi").select(key, "id", "x", "y"))
+    best = found
+    dx, dy = F.col("px") - F.col("x"), F.col("py") - F.col("y")
+    distance = F.sqrt(dx * dx + dy * dy)
+    slope = lambda d: F.sum(F.when(distance > 0, F.col("load") * d / distance).otherwise(0.0))
+    while not left.isEmpty():
+        box = left.groupBy(key).agg(*[f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("low", F.min), ("high", F.max))])
+        cell = [F.least(F.floor((F.col(c) - F.col(f"low_{c}")) / F.greatest(F.col(f"high_{c}") - F.col(f"low_{c}"), F.lit(1e-9)) * PROBES), F.lit(PROBES - 1)).alias(f"cell_{c}") for c in "xy"]
+        picked = left.join(box, key).groupBy(key, *cell).agg(F.min(F.struct("id", "x", "y")).alias("p"))
+        probes = cut(picked.select(key, F.col("p.id").alias("probe"), F.col("p.x").alias("px"), F.col("p.y").alias("py")))
+        # the points of an area meet its few probes; partial sums leave one row a probe and task
+        measured = cut(
+            at.join(probes, key).groupBy(key, "probe", "px", "py").agg(F.sum(F.col("load") * distance).alias("moment"), slope(dx).alias("gx"), slope(dy).alias("gy"))
+        )
+        tried = best.unionByName(measured.select(key, F.col("probe").alias("id"), F.round("moment", digits).alias("moment")))
+        best = cut(tried.groupBy(key).agg(F.min(F.struct("moment", "id")).alias("m")).select(key, F.col("m.id").alias("id"), F.col("m.moment").alias("moment")))
+        planes = measured.groupBy(key).agg(F.collect_list(F.struct("probe", "moment", "px", "py", "gx", "gy")).alias("planes"))  # at most PROBES * PROBES
+        plane = lambda p: p["moment"] + p["gx"] * (F.col("x") - p["px"]) + p["gy"] * (F.col("y") - p["py"])
+        bound = F.array_max(F.transform("planes", plane))
+        open_ = (bound <= F.col("moment") * (1 + 1e-9) + tolerance) & ~F.exists("planes", lambda p: p["probe"] == F.col("id"))
+        left = cut(left.join(planes, key).join(best.select(key, "moment"), key).where(open_).select(key, "id", "x", "y"))
+    return best.select(key, F.col("id").alias("site"), "moment")
+
+
 def _squared(columns: list[str], centre: list[float]) -> Column:
     return sum(((F.col(c) - float(v)) ** 2 for c, v in zip(columns, centre, strict=True)), F.lit(0.0))
 
@@ -333,15 +378,8 @@ def _mixture_sums(packed: DataFrame, means: np.ndarray, covariances: np.ndarray,
     return total[0] / max(total[1], 1), size, rest[: k * d].reshape(k, d), rest[k * d :].reshape(k, d, d)
 
 
-def place_clusters(points: DataFrame, group: str, parts: str, rounds: int = 5) -> DataFrame:
-    """``points`` (group, id, x, y, parts, ...) with ``part``: k-means of each group into its number of parts.
-
-    Start centres come from halving at medians along the wider side, which no task has
-    to sort a group for; each of the ``rounds`` gives points to their nearest centre by
-    cells and moves the centres.
-    """
-    from gridloom.operators.spatial import nearest
-
+def halved(points: DataFrame, group: str, parts: str) -> DataFrame:
+    """``points`` (group, x, y, parts, ...) with ``__node``: each group cut at medians along its wider side into its number of parts."""
     rows = cut(points.withColumns({"__node": F.lit(1).cast("long"), "__todo": F.col(parts).cast("long")}))
     while not rows.where("__todo > 1").isEmpty():
         open_nodes = rows.where("__todo > 1").groupBy(group, "__node").agg(
@@ -358,7 +396,33 @@ def place_clusters(points: DataFrame, group: str, parts: str, rounds: int = 5) -
                 }
             ).drop("__wide", "__mx", "__my", "__right")
         )
-    rows = rows.drop("__todo")
+    return rows.drop("__todo")
+
+
+def bounded_areas(points: DataFrame, group: str, most: int = PART) -> DataFrame:
+    """``points`` (group, x, y, ...) with ``area``, the part of its group that a point is in.
+
+    Groups are cut at medians, so that a kernel gets about ``most`` points at once however
+    large the group is.  Points at one place stay together; a column
+    named area is replaced.
+    """
+    parts = points.groupBy(group).agg(F.ceil(F.count("*") / F.lit(most)).cast("long").alias("__parts"))
+    rows = halved(points.join(parts, group), group, "__parts")
+    rows = rows.drop("area")
+    number = rows.select(group, "__node").distinct().withColumn("area", F.dense_rank().over(Window.orderBy(group, "__node")).cast("long"))  # one row an area
+    return rows.join(number, [group, "__node"]).drop("__node", "__parts")
+
+
+def place_clusters(points: DataFrame, group: str, parts: str, rounds: int = 5) -> DataFrame:
+    """``points`` (group, id, x, y, parts, ...) with ``part``: k-means of each group into its number of parts.
+
+    Start centres come from halving at medians along the wider side, which no task has
+    to sort a group for; each of the ``rounds`` gives points to their nearest centre by
+    cells and moves the centres.
+    """
+    from gridloom.operators.spatial import nearest
+
+    rows = halved(points, group, parts)
     for _ in range(rounds):
         centres = cut(rows.groupBy(F.col(group).alias("__of"), F.col("__node").alias("__c")).agg(F.avg("x").alias("__x"), F.avg("y").alias("__y")))
         found = nearest(rows.drop("__node"), centres.withColumn("__name", F.struct("__of", "__c")), 1, 1000.0, "id", "__name", ("x", "y"), ("__x", "__y"), F.col(group) == F.col("__of"))

@@ -24,17 +24,9 @@ _CABLES_SQL = ", ".join(f"('{n}', {r}, {x}, {i}, {q})" for n, r, x, i, q in E.ST
     SELECT nation, arg_min(i, (round(m, 3), i)) AS site, round(min(m), 3) AS moment FROM d GROUP BY 1
 """)
 def q24_weighted_one_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per nation the site with the least load-weighted distance to all its sites.
-
-    The distances of a supply area are a matrix by nature; areas are of bounded
-    size in the model, and the matrix is spread over all tasks by pairs.
-    """
-    b = buildings(spark, sf_dir)
-    i = b.select("nation", F.col("site").alias("i"), F.col("x").alias("ix"), F.col("y").alias("iy"))
-    j = b.select("nation", F.col("site").alias("j"), F.col("x").alias("jx"), F.col("y").alias("jy"))
-    d = i.join(j, "nation").select("nation", "i", "j", F.hypot((F.col("ix") - F.col("jx")).cast("double"), (F.col("iy") - F.col("jy")).cast("double")).alias("cost"))
-    moments = d.join(b.select("nation", F.col("site").alias("j"), F.col("peak").alias("load")), ["nation", "j"]).groupBy("nation", "i").agg(F.round(F.sum(F.col("cost") * F.col("load")), 3).alias("moment"))
-    return moments.groupBy("nation").agg(F.min(F.struct("moment", "i")).alias("m")).select("nation", F.col("m.i").alias("site"), F.col("m.moment").alias("moment"))
+    """Per nation the site with the least load-weighted distance to all its sites."""
+    b = buildings(spark, sf_dir).select("nation", F.col("site").alias("id"), "x", "y", F.col("peak").alias("load"))
+    return C.weighted_median_point(b, "nation")
 
 
 @query()
@@ -50,8 +42,9 @@ def q25_greedy_capacity_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q26_capacity_bisection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sites of each nation in clusters that a transformer can serve."""
-    b = buildings(spark, sf_dir).select(F.pmod(F.xxhash64("nation", F.floor(F.col("x") / 2000), F.floor(F.col("y") / 2000)), F.lit(1 << 40)).alias("area"), F.col("site").alias("point"), "x", "y", "kind", F.col("peak").alias("power"), F.col("units").alias("count"))
+    """Sites of each nation, in areas of bounded size, in clusters that a transformer can serve."""
+    b = buildings(spark, sf_dir).select("nation", F.col("site").alias("point"), "x", "y", "kind", F.col("peak").alias("power"), F.col("units").alias("count"))
+    b = C.bounded_areas(b, "nation").select("area", "point", "x", "y", "kind", "power", "count")
     return C.bisect_by_capacity(b, "area")
 
 
@@ -93,8 +86,8 @@ def q28_branch_running_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q63_lay_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feeders of one network per nation: its sites along a line of streets."""
-    b = buildings(spark, sf_dir).where("peak > 0").withColumn("area", F.col("nation") * 100_000 + F.floor(F.col("x") / 500).cast("long"))
+    """Feeders of one network for each area of bounded size of a nation: its sites along a line of streets."""
+    b = C.bounded_areas(buildings(spark, sf_dir).where("peak > 0"), "nation", 50)
     w = Window.partitionBy("area").orderBy("y", "site")
     nodes = b.select(
         "area", F.col("site").alias("node"), F.lag("site").over(w).alias("parent"), (F.col("y") / 1000).alias("distance"),

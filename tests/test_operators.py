@@ -123,6 +123,30 @@ def test_bisection_serves_every_point_once(spark):
         assert r.size_kva > r.load or len(members) < cluster.SMALLEST_SPLIT
 
 
+@pytest.mark.parametrize("size", [1, 3, 400])
+def test_weighted_median_equals_brute_force(spark, size):
+    rng = np.random.default_rng(size)
+    rows = [(g, g * 1000 + i, float(x), float(y), float(w)) for g in range(3) for i, (x, y, w) in enumerate(rng.integers(0, 60, (size, 3)))]
+    rows += [(7, 1, 0.0, 0.0, 0.0), (7, 2, 9.0, 9.0, None), (8, 1, None, 0.0, 5.0), (8, 2, 1.0, 1.0, 5.0)]
+    rows += [(9, i, float(i), 0.0, 1.0) for i in range(40)] + [(9, 100, 3.0, 0.0, 1.0)]  # on a line, with a tie
+    df = spark.createDataFrame(rows, "g int, id long, x double, y double, load double")
+    got = {r["g"]: (r["site"], r["moment"]) for r in cluster.weighted_median_point(df, "g").collect()}
+    for g in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == g and r[2] is not None]
+        moments = [(round(sum((q[4] or 0.0) * np.hypot(p[2] - q[2], p[3] - q[3]) for q in own), 3), p[1]) for p in own]
+        assert got[g][0] == min(moments)[1]
+        assert got[g][1] == pytest.approx(min(moments)[0], abs=2e-3)
+    assert cluster.weighted_median_point(df.limit(0), "g").count() == 0
+
+
+def test_areas_are_bounded_and_whole(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, g * 10_000 + i, float(x), float(y)) for g, n in ((1, 900), (2, 30), (3, 1)) for i, (x, y) in enumerate(rng.random((n, 2)))]
+    out = cluster.bounded_areas(spark.createDataFrame(rows, "g int, id long, x double, y double"), "g", 50).toPandas()
+    assert sorted(out["id"]) == sorted(r[1] for r in rows)
+    assert out.groupby("area").size().max() <= 60 and out.groupby("area")["g"].nunique().max() == 1
+
+
 def test_greedy_assignment_respects_reach_and_capacity(spark):
     costs = [(1, c, t, float(10 * c + 50 * t)) for c in range(40) for t in (0, 1)]
     users = [(1, c, "Commercial", 90.0, 1) for c in range(40)]
