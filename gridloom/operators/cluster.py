@@ -16,8 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions import electrical as E
 from gridloom.functions.electrical import MAPPED_CAPACITIES, RESIDENTIAL_TYPES, SIMULTANEITY, SYNTHESISED_CAPACITIES
 from gridloom.operators.graph import cut
+from gridloom.operators.metrics import simultaneous_load_by
 
 #: Points of a component above which it is split by k-means, and points of a part.
 LARGE_COMPONENT, PART = 2000, 1000
@@ -147,31 +149,35 @@ def assign_to_transformers(costs: DataFrame, consumers: DataFrame, key: str) ->
 
     ``costs`` has the key, consumer, transformer and cost; ``consumers`` the key,
     consumer, kind, power and count.  Pairs below ``REACH`` are taken from the
-    cheapest on; a transformer that would reach 630 kVA is full from then on.
+    cheapest on (then by consumer and transformer); a transformer that would reach
+    630 kVA is full from then on.
+
+    A pair can be decided once it is the cheapest left of its consumer and so are all
+    cheaper ones of its transformer.  A round decides all such pairs of all areas by running sums
+    over each transformer's pairs; consumers taken and transformers full leave the
+    others.  The overall cheapest pair can always be decided, so the rounds end; no
+    task holds an area.
     """
-    rows = costs.where(F.col("cost") < REACH).join(consumers, [key, "consumer"])
-
-    def area(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["cost", "consumer", "transformer"])
-        sums: dict[object, dict[str, list[float]]] = {}
-        full, given = set(), {}
-        for r in group.itertuples(index=False):
-            if r.consumer in given or r.transformer in full:
-                continue
-            of = "Residential" if r.kind in RESIDENTIAL_TYPES else r.kind
-            own = sums.setdefault(r.transformer, {})
-            trial = {**own, of: [own.get(of, [0, 0])[0] + r.power, own.get(of, [0, 0])[1] + r.count_]}
-            if coincident_load(list(trial), [v[0] for v in trial.values()], [v[1] for v in trial.values()]) >= FULL_KVA:
-                full.add(r.transformer)
-            else:
-                sums[r.transformer], given[r.consumer] = trial, r.transformer
-        size = {
-            t: min((c for c in MAPPED_CAPACITIES if c > coincident_load(list(s), [v[0] for v in s.values()], [v[1] for v in s.values()])), default=None) for t, s in sums.items() if s
-        }
-        return pd.DataFrame([(group[key].iloc[0], c, t, size[t]) for c, t in given.items()], columns=[key, "consumer", "transformer", "size_kva"])
-
-    kind = dict(rows.dtypes)
-    return rows.withColumnRenamed("count", "count_").groupBy(key).applyInPandas(area, f"{key} {kind[key]}, consumer {kind['consumer']}, transformer {kind['transformer']}, size_kva long")
+    pairs = cut(costs.where(F.col("cost") < REACH).join(consumers, [key, "consumer"]).select(key, "consumer", "transformer", "cost", "kind", "power", "count"))
+    of_class, rest = E.consumer_class(F.col("kind")), ["kind", "power", "count"]
+    own = Window.partitionBy(key, "consumer")
+    before = Window.partitionBy(key, "transformer").orderBy("cost", "consumer", *rest).rowsBetween(Window.unboundedPreceding, 0)
+    load = F.lit(0.0)
+    for name, share in E.SIMULTANEITY.items():
+        power, count = (F.sum(F.when(of_class == name, F.col(c).cast("double")).otherwise(0.0)).over(before) for c in ("power", "count"))
+        load = load + E.simultaneous_load(power, count, F.lit(share))
+    while True:
+        ranked = pairs.withColumn("nth", F.row_number().over(own.orderBy("cost", "transformer", *rest)))
+        summed = ranked.withColumns({"waits": F.max(F.col("nth") > 1).over(before), "load": load})
+        full = F.max(~F.col("waits") & (F.col("load") >= FULL_KVA)).over(before)
+        open_ = summed.withColumn("full", full).where(~F.col("full")).withColumn("given", ~F.col("waits"))
+        pairs = cut(open_.withColumn("taken", F.max("given").over(own)).where(F.col("given") | ~F.col("taken")).select(key, "consumer", "transformer", "cost", *rest, "given"))
+        if pairs.where(~F.col("given")).isEmpty():
+            break
+        pairs = pairs.drop("given")
+    loads = simultaneous_load_by(pairs, [key, "transformer"], "kind", "power", "count")
+    sizes = loads.select(key, "transformer", E.next_capacity(F.col("load"), MAPPED_CAPACITIES).cast("long").alias("size_kva"))
+    return pairs.join(sizes, [key, "transformer"]).select(key, "consumer", "transformer", "size_kva")
 
 
 def weighted_median_site(distances: DataFrame, loads: DataFrame, keys: list[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from gridloom.operators import radial as P
 from gridloom.operators import relational as R
 from gridloom.operators import spatial as S
 from gridloom.operators import transformers as T
-from gridloom.plans.base import BUILDINGS_SQL, buildings, query, sites, table
+from gridloom.plans.base import BUILDINGS_SQL, SITES_SQL, buildings, query, sites, table
 
 _CABLES_SQL = ", ".join(f"('{n}', {r}, {x}, {i}, {q})" for n, r, x, i, q in E.STREET_CABLES)
 
@@ -79,7 +79,9 @@ _KIND = "CASE l_linenumber % 3 WHEN 0 THEN 'Commercial' WHEN 1 THEN 'SFH' ELSE '
 def q28_branch_running_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running current along each order's lines, and where the branch ends."""
     n = F.col("l_linenumber") % 3
-    rows = R.keep_first(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"])
+    columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    lines = table(spark, sf_dir, "lineitem").select(columns).repartition("l_orderkey")  # one shuffle for both windows
+    rows = R.keep_first(lines, columns[:2], columns[2:])
     rows = rows.select("l_orderkey", "l_linenumber", F.when(n == 0, "Commercial").when(n == 1, "SFH").otherwise("Public").alias("kind"), (F.col("l_quantity") * 4).alias("p"), F.lit(1).alias("one"))
     return N.branch_cut(rows, ["l_orderkey"], "l_linenumber", "kind", "p", "one").select("l_orderkey", "l_linenumber", F.round("current_ka", 6).alias("current_ka"), "on_branch")
 
@@ -218,7 +220,13 @@ def q65_transformer_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return buildings(spark, sf_dir).select("site", E.next_capacity(peak).alias("single"), F.array_min(F.filter(doubles, lambda c: c > peak * 1.15)).alias("double"))
 
 
-@query()
+@query(f"""
+    WITH s AS ({SITES_SQL})
+    SELECT DISTINCT nation AS grid, 'LV' AS bus, 'lv' AS kind, CAST(NULL AS VARCHAR) AS zone, 0.4::DOUBLE AS vn_kv FROM s
+    UNION ALL SELECT DISTINCT nation, 'MV', 'mv', NULL, 20.0::DOUBLE FROM s
+    UNION ALL SELECT nation, 'Connection Nodebus ' || site, 'connection', NULL, 0.4::DOUBLE FROM s WHERE site % 5 = 0
+    UNION ALL SELECT nation, 'Consumer Nodebus ' || site, 'consumer', kind, 0.4::DOUBLE FROM s
+""")
 def q66_buses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All buses of one network per nation."""
     s = sites(spark, sf_dir)

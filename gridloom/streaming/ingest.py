@@ -15,11 +15,18 @@ from gridloom.sources.catalog import Catalog
 
 
 def load_once(catalog: Catalog, name: str, rows: DataFrame, key: str = "ags") -> None:
-    """Append rows of units that the ledger does not list, and list them."""
+    """Append rows of units that the ledger does not list, and list them.
+
+    Rows come before the ledger.  A load that was cut off between the two is finished by
+    the next one: units whose rows the table holds already are listed and not appended
+    again.  A table without the column ``key`` cannot tell, so there the rows would
+    come twice.
+    """
     new = rows.join(catalog.read("ledger").select(F.col("ags").alias(key)).distinct(), key, "left_anti")
     units = new.select(F.col(key).alias("ags")).distinct().select("ags", F.current_timestamp().alias("at"))
     units = catalog.spark.createDataFrame(units.collect(), "ags int, at timestamp")  # one row a municipality of this load
-    catalog.append(name, new.drop(key) if key not in catalog.read(name).columns else new)
+    held = key in catalog.read(name).columns
+    catalog.append(name, new if held else new.drop(key), (key,) if held else ())
     catalog.append("ledger", units, ("ags",))
 
 

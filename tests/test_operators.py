@@ -159,6 +159,32 @@ def test_greedy_assignment_respects_reach_and_capacity(spark):
         assert n * 90 * (0.5 + 0.5 * n**-0.75) < 630
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_greedy_assignment_equals_taking_pairs_in_order(spark, seed):
+    """Ties, large and idle consumers, all classes, an area with most of the rows, and copies of pairs."""
+    rng = random.Random(seed)
+    areas = [1] * 60 + [2] * 20 + [3]
+    users = [(a, c, rng.choice(["SFH", "AB", "Commercial", "Public", "Industrial"]), float(rng.choice([0, 30, 90, 400, 900])), rng.choice([0, 1, 1, 12])) for c, a in enumerate(areas)]
+    costs = [(a, c, t, float(rng.randint(1, 33) * 10)) for c, a in enumerate(areas) for t in range(6) if rng.random() < 0.7]
+    costs += costs[::7] + [(1, 0, 9, None)]
+    by_consumer, sums, full, given = {(u[0], u[1]): u for u in users}, {}, set(), {}
+    for a, c, t, cost in sorted((p for p in costs if p[3] is not None and p[3] < cluster.REACH), key=lambda p: (p[3], p[1], p[2])):
+        if (a, c) in given or (a, t) in full:
+            continue
+        trial = [*sums.get((a, t), []), by_consumer[a, c][2:]]
+        if cluster.coincident_load(*map(list, zip(*trial, strict=True))) >= cluster.FULL_KVA:
+            full.add((a, t))
+        else:
+            sums[a, t], given[a, c] = trial, t
+    size = {at: min(s for s in E.MAPPED_CAPACITIES if s > cluster.coincident_load(*map(list, zip(*rows, strict=True)))) for at, rows in sums.items()}
+    want = sorted((a, c, t, size[a, t]) for (a, c), t in given.items())
+    assert full and len(want) < len(users)
+    out = cluster.assign_to_transformers(
+        spark.createDataFrame(costs, "area int, consumer int, transformer int, cost double"), spark.createDataFrame(users, "area int, consumer int, kind string, power double, count int"), "area"
+    )
+    assert sorted(map(tuple, out.collect())) == want and out.where("false").count() == 0
+
+
 def test_feeders_cover_every_node_once(spark):
     rows = [(1, i, i - 1 if i else None, float(i), ["SFH"], [30.0 * (1 + i % 5)], [1.0 + i % 5]) for i in range(50)]
     out = network.lay_branches(spark.createDataFrame(rows, "grid int, node long, parent long, distance double, kinds array<string>, powers array<double>, counts array<double>"), "grid").collect()
@@ -323,6 +349,10 @@ def test_ledger_loads_a_unit_once(spark, tmp_path):
     ingest.load_once(store, "municipal_register", full)
     ingest.load_once(store, "municipal_register", full)
     assert store.read("municipal_register").count() == 2 and store.read("ledger").count() == 2
+    cut_off = full.limit(0).unionByName(spark.createDataFrame([(3, 30.0, 300, 3)], "plz int, pop double, ags int, fed_state int"), allowMissingColumns=True)
+    store.append("municipal_register", cut_off)  # a load that ended before the ledger was written
+    ingest.load_once(store, "municipal_register", cut_off)
+    assert store.read("municipal_register").count() == 3 and store.read("ledger").count() == 3
 
 
 def test_stream_follows_files(spark, tmp_path):
