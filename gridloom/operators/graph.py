@@ -118,25 +118,49 @@ def shortest_paths(sources: DataFrame, edges: DataFrame, limit: float | None = N
     best = cut(start)
     changed = best
     while not changed.isEmpty():
-        offers = changed.withColumnRenamed("vertex", "u").join(both, [*within, "u"]).select(*within, "source", F.col("w").alias("vertex"), (F.col("cost") + F.col("c")).alias("cost"), F.col("u").cast("long").alias("via"))
+        offers = changed.withColumnRenamed("vertex", "u").join(both, [*within, "u"]).select(*within, "source", F.col("w").alias("vertex"), (F.col("cost") + F.col("c")).alias("cost"), F.col("u").cast("long").alias("via"), (F.col("c") > 0).alias("longer"))
         if limit is not None:
             offers = offers.where(F.col("cost") < limit)
-        cheapest = F.min(F.struct("cost", "via"))
+        cheapest = F.min(F.struct("cost", "via", "longer"))
         offers = offers.groupBy(*within, "source", "vertex").agg(cheapest.alias("o"))
         known = best.select(*within, "source", "vertex", F.col("cost").alias("old"), F.col("via").alias("old_via"))
         merged = cut(known.join(offers, [*within, "source", "vertex"], "full"))
         better = F.col("old").isNull() | (F.col("o.cost") < F.col("old"))
+        # an equal offer over an edge of no length could close a circle of pointers
+        equal = F.coalesce((F.col("o.cost") == F.col("old")) & F.col("o.longer"), F.lit(False))
         changed = merged.where(F.col("o").isNotNull() & better).select(*within, "source", "vertex", F.col("o.cost").alias("cost"), F.col("o.via").alias("via"))
         best = merged.select(
             *within,
             "source",
             "vertex",
             F.when(F.col("o").isNotNull() & better, F.col("o.cost")).otherwise(F.col("old")).alias("cost"),
-            F.when(F.col("o").isNotNull() & better, F.col("o.via")).otherwise(F.col("old_via")).alias("via"),
+            F.when(F.col("o").isNotNull() & better, F.col("o.via")).when(equal, F.least("o.via", "old_via")).otherwise(F.col("old_via")).alias("via"),
         )
     return best
 
 
+def ordered_paths(paths: DataFrame, ends: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """(within..., source, vertex, nth, node): the vertices on the way from the source, which is 1, to each of ``ends``.
+
+    ``paths`` is the result of ``shortest_paths``; ``ends`` has (within..., source, vertex),
+    and those that are not reached give no rows.  Pointers to the vertex before double
+    their reach in each round, so a way of n vertices takes log n rounds.
+    """
+    keys = [*within, "source"]
+    ahead = cut(paths.where(F.col("via").isNotNull()).select(*keys, F.col("vertex").alias("node"), "via"))
+    asked = ends.select(*keys, "vertex").distinct().join(paths.select(*keys, "vertex"), [*keys, "vertex"], "left_semi")
+    on = cut(asked.select(*keys, "vertex", F.col("vertex").alias("node"), F.lit(0).cast("long").alias("back")))
+    reach = 1
+    while not ahead.isEmpty():
+        met = join_spread(on, ahead, [*keys, "node"]).select(*keys, "vertex", F.col("via").alias("node"), (F.col("back") + reach).alias("back"))
+        on = cut(on.unionByName(met))
+        further = ahead.select(*keys, F.col("node").alias("via"), F.col("via").alias("beyond"))
+        ahead = cut(join_spread(ahead, further, [*keys, "via"]).select(*keys, "node", F.col("beyond").alias("via")))
+        reach *= 2
+    nth = F.row_number().over(Window.partitionBy(*keys, "vertex").orderBy(F.desc("back")))
+    return on.select(*keys, "vertex", nth.alias("nth"), "node")
+
+
 def tree_paths(edges: DataFrame, root: int | str, length: str = "length", within: tuple[str, ...] = ()) -> DataFrame:
     """(within..., vertex, depth, distance, branch, path) of radial networks of (within..., parent, child, length).
 

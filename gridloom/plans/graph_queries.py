@@ -71,6 +71,18 @@ def q23_cost_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.where("source <> vertex").select(F.col("source").alias("i"), F.col("vertex").alias("j"), "cost")
 
 
+@query(f"""
+    WITH RECURSIVE {_PATHS_SQL}, d AS (SELECT source, vertex, min(cost) AS cost FROM p GROUP BY 1, 2),
+    v AS (SELECT d.source, d.vertex, min(b.u) AS via FROM d JOIN b ON b.w = d.vertex JOIN d a ON a.source = d.source AND a.vertex = b.u AND a.cost + b.cost = d.cost GROUP BY 1, 2),
+    w AS (SELECT source, vertex, vertex AS node, 0 AS back FROM d UNION ALL SELECT w.source, w.vertex, v.via, back + 1 FROM w JOIN v ON v.source = w.source AND v.vertex = w.node)
+    SELECT source, vertex, CAST(row_number() OVER (PARTITION BY source, vertex ORDER BY back DESC) AS INTEGER) AS nth, node FROM w
+""")
+def q71_ordered_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vertices in order on the cheapest way from every vertex to all that it reaches."""
+    paths = G.cut(G.shortest_paths(_vertices(spark, sf_dir), supplier_edges(spark, sf_dir)))
+    return G.ordered_paths(paths, paths)
+
+
 def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A radial network: root, regions, nations, and customers as leaves."""
     region = table(spark, sf_dir, "region").select(F.lit("root").alias("parent"), F.concat(F.lit("r"), "r_regionkey").alias("child"), (F.col("r_regionkey") + 1).cast("double").alias("length"))

@@ -95,6 +95,16 @@ def test_components_and_paths(spark, seed):
                 if p in best and best[p] + 1 + (a * b) % 7 < best.get(q, 1e9):
                     best[q] = best[p] + 1 + (a * b) % 7
     assert costs == best
+    paths = graph.cut(graph.shortest_paths(v.where("vertex = 41"), e))
+    ways = {}
+    for r in graph.ordered_paths(paths, paths).orderBy("nth").collect():
+        ways.setdefault(r.vertex, []).append(r.node)
+    linked = {(a, b): 1 + (a * b) % 7 for p, q in edges for a, b in ((p, q), (q, p))}
+    assert {end: sum(linked[s] for s in itertools.pairwise(way)) for end, way in ways.items()} == best
+    assert all(way[0] == 41 and way[-1] == end for end, way in ways.items())
+    for end, way in ways.items():  # the vertex before is the smallest of equals
+        before = [a for (a, b), c in linked.items() if b == end and a in best and best[a] + c == best[end]]
+        assert len(way) == 1 or way[-2] == min(before)
     reached = {r.vertex for r in graph.reachable(v.where("vertex = 41"), e).collect()}
     assert reached == set(best)
 
