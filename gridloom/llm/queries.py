@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import ann, bpe, html_extract, jaccard, langid, packing, sharding, substring, topk, toxicity
+from gridloom.llm import align, ann, bpe, html_extract, jaccard, langid, packing, pieces, runs, sharding, substring, topk, toxicity
 from gridloom.llm.common import table
 
 
@@ -62,10 +62,28 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_components(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the tokens of two vocabularies meet in every document, and how common its links are among all documents."""
+    aligner = align.broadcast_aligner(spark, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return align.align(table(spark, sf_dir, "documents"), aligner)
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's piece ids and of the text they decode to."""
+    codec = pieces.broadcast_codec(spark, public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces.encode_digests(table(spark, sf_dir, "documents"), codec)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every document, and its text without the repeats."""
+    return runs.periodic_runs(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
     found = (op1_html_main_text, op2_best_fit_packing, op3_byte_bpe, op4_nearest_neighbours, op5_substring_dedup, op6_kd_sharding)
     found += (op7_exact_top_k, op8_language_id, op9_toxicity, op10_jaccard_join)
+    found += (op11_token_alignment, op12_sentencepiece, op13_periodic_runs)
     return {f.__name__: f for f in found}
 
 
