@@ -6,12 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import geometry as G
 from gridloom.operators.relational import join_spread
+from gridloom.operators.spatial import within_distance
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,19 +38,27 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def topology(lines: DataFrame, id_column: str, line: str, tolerance: float = 0.01) -> tuple[DataFrame, DataFrame]:
-    """(edges, vertices): line ends snapped to a grid of ``tolerance`` become numbered vertices.
+    """(edges, vertices): line ends within ``tolerance`` of each other become one numbered vertex.
 
-    Edges have id, source, target and cost (the line's length).
+    Edges have id, source, target and cost (the line's length).  Ends meet through others
+    between them: a vertex is a component of the links of at most the tolerance.  It lies
+    at the least of its ends by x, then y, and vertices are numbered in this order.
     """
-    snap = lambda p, axis: F.round(p[axis] / tolerance).cast("long")
-    ends = lines.select(
-        F.col(id_column).alias("id"), G.length(F.col(line)).alias("cost"), *[snap(F.element_at(line, i), a).alias(f"{n}{a}") for i, n in ((1, "s"), (-1, "t")) for a in ("x", "y")]
-    )
-    spots = ends.select(F.col("sx").alias("x"), F.col("sy").alias("y")).union(ends.select("tx", "ty")).distinct()
-    vertices = numbered(spots, ["x", "y"], "vertex")
-    edges = ends.join(vertices.select(F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("vertex").alias("source")), ["sx", "sy"])
-    edges = edges.join(vertices.select(F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("vertex").alias("target")), ["tx", "ty"])
-    return edges.select("id", "source", "target", "cost"), vertices.select("vertex", (F.col("x") * tolerance).alias("x"), (F.col("y") * tolerance).alias("y"))
+    end = lambda i: F.element_at(line, i)
+    ends = lines.select(F.col(id_column).alias("id"), G.length(F.col(line)).alias("cost"), *[end(i)[a].alias(f"{n}{a}") for i, n in ((1, "s"), (-1, "t")) for a in ("x", "y")])
+    spots = cut(numbered(ends.select(F.col("sx").alias("x"), F.col("sy").alias("y")).union(ends.select("tx", "ty")).distinct(), ["x", "y"], "spot"))
+    other = spots.select(F.col("spot").alias("target"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    # a little more than the tolerance, as ends exactly that far apart shall meet whatever their rounding
+    links = cut(within_distance(spots.withColumnRenamed("spot", "source"), other, tolerance * (1 + 1e-9), ("x", "y"), ("ox", "oy")).where("source < target").select("source", "target"))
+    met = links.select(F.col("source").alias("vertex")).union(links.select("target")).distinct()
+    joined = connected_components(met, links).select(F.col("vertex").alias("spot"), "component")  # only ends that have others near
+    placed = cut(spots.join(joined, "spot", "left").withColumn("component", F.coalesce("component", "spot")))
+    first = numbered(placed.where("spot = component").select("component", F.col("x").alias("vx"), F.col("y").alias("vy")), ["component"], "vertex")
+    vertices = cut(placed.join(first, "component").select("x", "y", "vertex", "vx", "vy"))
+    edges = ends
+    for n, name in (("s", "source"), ("t", "target")):
+        edges = edges.join(vertices.select(F.col("x").alias(f"{n}x"), F.col("y").alias(f"{n}y"), F.col("vertex").alias(name)), [f"{n}x", f"{n}y"])
+    return edges.select("id", "source", "target", "cost"), first.select("vertex", F.col("vx").alias("x"), F.col("vy").alias("y"))
 
 
 def numbered(rows: DataFrame, order: list[str], name: str, start: int = 1) -> DataFrame:
@@ -104,39 +114,110 @@ def reachable(seeds: DataFrame, edges: DataFrame, admits: Column | None = None)
     return found
 
 
+#: Contraction ends when a round takes less than one in so many of the vertices that are left.
+WORTH = 32
+#: Rounds of a search after which the rows that have changed are merged.
+MERGED_AFTER = 8
+
+
 def shortest_paths(sources: DataFrame, edges: DataFrame, limit: float | None = None, within: tuple[str, ...] = ()) -> DataFrame:
     """(within..., source, vertex, cost, via): cheapest undirected paths from every source.
 
     ``within`` names columns of both tables, such as an area: paths use the edges of
-    their source's area only.
+    their source's area only.  With ``limit`` only costs below it are given.
+    ``via`` is the vertex before on the path, the smallest of equals.
 
-    ``via`` is the vertex before on the path, the smallest of equals.  Rounds relax
-    only the vertices whose cost has just fallen, for all sources at once.
+    Vertices with at most two neighbours that are no sources are taken out first, in
+    rounds of such as are not neighbours of each other; what is left is searched, and they
+    are put back in reverse.  So a road of n vertices takes log n rounds, not n, and the
+    search itself sees junctions only.
     """
-    both = cut(edges.select(*within, F.col("source").alias("u"), F.col("target").alias("w"), "cost").union(edges.select(*within, "target", "source", "cost")).groupBy(*within, "u", "w").agg(F.min("cost").alias("c")))
-    start = sources.select(*within, F.col("vertex").alias("source"), "vertex", F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("via"))
-    best = cut(start)
-    changed = best
-    while not changed.isEmpty():
-        offers = changed.withColumnRenamed("vertex", "u").join(both, [*within, "u"]).select(*within, "source", F.col("w").alias("vertex"), (F.col("cost") + F.col("c")).alias("cost"), F.col("u").cast("long").alias("via"), (F.col("c") > 0).alias("longer"))
+    directed = lambda a, b: edges.select(*within, F.col(a).alias("u"), F.col(b).alias("w"), F.col("cost").cast("double").alias("c"), F.col(a).cast("long").alias("via"))
+    core = _cheapest(directed("source", "target").union(directed("target", "source")).where("u <> w"), within)
+    starts = cut(sources.select(*within, F.col("vertex").alias("u")).distinct())
+    core, taken = contracted(core, starts, within)
+    found = _searched(starts, core, limit, within)
+    for step in reversed(taken):  # each holds (within..., u, w, c, via): how u, taken out, is reached from w
+        new = found.join(step, (found["vertex"] == step["w"]) & _same(found, step, within)).select(
+            *[found[c] for c in within], "source", F.col("u").alias("vertex"), (F.col("cost") + F.col("c")).alias("cost"), step["via"].alias("via")
+        )
+        if limit is not None:
+            new = new.where(F.col("cost") < limit)
+        found = found.unionByName(cut(_least_cost(new, within)))
+    return found
+
+
+def _same(a: DataFrame, b: DataFrame, columns: tuple[str, ...]) -> Column:
+    return reduce(lambda x, c: x & (a[c] == b[c]), columns, F.lit(True))
+
+
+def _cheapest(directed: DataFrame, within: tuple[str, ...]) -> DataFrame:
+    """One edge (u, w, c, via) for each pair: the cheapest, then with the smallest ``via``, which is the vertex before w."""
+    best = directed.groupBy(*within, "u", "w").agg(F.min(F.struct("c", "via")).alias("e"))
+    return cut(best.select(*within, "u", "w", "e.c", "e.via"))
+
+
+def _least_cost(rows: DataFrame, within: tuple[str, ...]) -> DataFrame:
+    best = rows.groupBy(*within, "source", "vertex").agg(F.min(F.struct("cost", "via")).alias("b"))
+    return best.select(*within, "source", "vertex", "b.cost", "b.via")
+
+
+def contracted(edges: DataFrame, kept: DataFrame, within: tuple[str, ...] = ()) -> tuple[DataFrame, list[DataFrame]]:
+    """(edges, taken): what is left of (within..., u, w, c, via), both directions, and what each round took out.
+
+    A round takes vertices with one or two neighbours that are not ``kept`` (within..., u),
+    have no edge without length, and come first by a hash among such neighbours.  One with two neighbours leaves an edge
+    between them.  Tables in ``taken`` have (within..., u, w, c, via): how u is reached from
+    each of its neighbours w at that time.
+    """
+    keys, taken = [*within, "u"], []
+    order = lambda c: F.xxhash64(F.col(c), F.lit(len(taken)))
+    while True:
+        # an edge of no length stays, or pointers to the vertex before could close a circle
+        several = edges.groupBy(*keys).agg(((F.count("*") <= 2) & (F.min("c") > 0)).alias("few"))
+        open_ = cut(several.join(kept.withColumn("__kept", F.lit(True)), keys, "left").select(*keys, (F.col("few") & F.col("__kept").isNull()).alias("open")))
+        counts = open_.agg(F.count("*").alias("n"), F.count_if("open").alias("open")).first()
+        if counts["open"] * WORTH < counts["n"] or not counts["open"]:
+            return edges, taken
+        free = open_.where("open").select(*keys)
+        inner = edges.join(free, keys).join(free.withColumnRenamed("u", "w"), [*within, "w"])
+        later = inner.where(F.struct(order("w"), "w") < F.struct(order("u"), "u")).select(*keys).distinct()
+        gone = free.join(later, keys, "left_anti")
+        marked = cut(edges.join(gone.withColumn("__from", F.lit(True)), keys, "left").join(gone.select(*within, F.col("u").alias("w"), F.lit(True).alias("__to")), [*within, "w"], "left"))
+        # edges to what goes, seen from it: u is taken out, w stays
+        out = cut(marked.where("__to").select(*within, F.col("w").alias("u"), F.col("u").alias("w"), "c", "via"))
+        back = marked.where("__from").select(*within, "u", F.col("w").alias("other"), F.col("c").alias("back"), F.col("via").alias("last"))
+        through = out.select(*within, "u", "w", "c").join(back, keys).where("w <> other").select(*within, F.col("w").alias("u"), F.col("other").alias("w"), (F.col("c") + F.col("back")).alias("c"), F.col("last").alias("via"))
+        rest = marked.where(F.col("__from").isNull() & F.col("__to").isNull()).select(*within, "u", "w", "c", "via")
+        edges = _cheapest(rest.unionByName(through), within)
+        taken.append(out)
+
+
+def _searched(starts: DataFrame, edges: DataFrame, limit: float | None, within: tuple[str, ...]) -> DataFrame:
+    """(within..., source, vertex, cost, via) along (within..., u, w, c, via), for all sources at once.
+
+    Rounds relax only the vertices whose cost has just fallen, and write only rows that change.
+    """
+    keys = [*within, "source", "vertex"]
+    known = cut(starts.select(*within, F.col("u").alias("source"), F.col("u").alias("vertex"), F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("via")))
+    changed, rounds = known, 0
+    while True:
+        offers = changed.select(*within, "source", F.col("vertex").alias("u"), "cost").join(edges, [*within, "u"])
+        offers = offers.select(*within, "source", F.col("w").alias("vertex"), (F.col("cost") + F.col("c")).alias("cost"), "via", (F.col("c") > 0).alias("longer"))
         if limit is not None:
             offers = offers.where(F.col("cost") < limit)
-        cheapest = F.min(F.struct("cost", "via", "longer"))
-        offers = offers.groupBy(*within, "source", "vertex").agg(cheapest.alias("o"))
-        known = best.select(*within, "source", "vertex", F.col("cost").alias("old"), F.col("via").alias("old_via"))
-        merged = cut(known.join(offers, [*within, "source", "vertex"], "full"))
-        better = F.col("old").isNull() | (F.col("o.cost") < F.col("old"))
+        offers = offers.groupBy(*keys).agg(F.min(F.struct("cost", "via", "longer")).alias("o"))
+        old = known.groupBy(*keys).agg(F.min(F.struct("cost", "via")).alias("k"))
+        better = F.col("k").isNull() | (F.col("o.cost") < F.col("k.cost"))
         # an equal offer over an edge of no length could close a circle of pointers
-        equal = F.coalesce((F.col("o.cost") == F.col("old")) & F.col("o.longer"), F.lit(False))
-        changed = merged.where(F.col("o").isNotNull() & better).select(*within, "source", "vertex", F.col("o.cost").alias("cost"), F.col("o.via").alias("via"))
-        best = merged.select(
-            *within,
-            "source",
-            "vertex",
-            F.when(F.col("o").isNotNull() & better, F.col("o.cost")).otherwise(F.col("old")).alias("cost"),
-            F.when(F.col("o").isNotNull() & better, F.col("o.via")).when(equal, F.least("o.via", "old_via")).otherwise(F.col("old_via")).alias("via"),
-        )
-    return best
+        equal = (F.col("o.cost") == F.col("k.cost")) & F.col("o.longer") & (F.col("o.via") < F.col("k.via"))
+        new = cut(offers.join(old, keys, "left").where(better | equal).select(*keys, F.col("o.cost").alias("cost"), F.col("o.via").alias("via"), better.alias("better")))
+        changed, rounds = new.where("better").drop("better"), rounds + 1
+        if new.isEmpty():
+            return cut(_least_cost(known, within))
+        known = known.unionByName(new.drop("better"))
+        if rounds % MERGED_AFTER == 0:
+            known = cut(_least_cost(known, within))
 
 
 def ordered_paths(paths: DataFrame, ends: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
