@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from gridloom.functions import electrical as E
 from gridloom.functions.electrical import MAPPED_CAPACITIES, RESIDENTIAL_TYPES, SIMULTANEITY, SYNTHESISED_CAPACITIES
 from gridloom.operators.graph import cut
-from gridloom.operators.metrics import simultaneous_load_by
 
 #: Points of a component above which it is split by k-means, and points of a part.
 LARGE_COMPONENT, PART = 2000, 1000
@@ -145,10 +144,11 @@ def bisect_by_capacity(points: DataFrame, key: str, capacities: tuple[int, ...]
 
 
 def assign_to_transformers(costs: DataFrame, consumers: DataFrame, key: str) -> DataFrame:
-    """(key, consumer, transformer, size_kva): consumers of each area given to mapped transformers.
+    """(key, consumer, transformer, cost, load, size_kva): consumers of each area given to mapped transformers.
 
     ``costs`` has the key, consumer, transformer and cost; ``consumers`` the key,
-    consumer, kind, power and count.  Pairs below ``REACH`` are taken from the
+    consumer, kind, power and count, with one row for every class of user at a consumer.
+    Pairs below ``REACH`` are taken from the
     cheapest on (then by consumer and transformer); a transformer that would reach
     630 kVA is full from then on.
 
@@ -158,16 +158,21 @@ def assign_to_transformers(costs: DataFrame, consumers: DataFrame, key: str) ->
     others.  The overall cheapest pair can always be decided, so the rounds end; no
     task holds an area.
     """
-    pairs = cut(costs.where(F.col("cost") < REACH).join(consumers, [key, "consumer"]).select(key, "consumer", "transformer", "cost", "kind", "power", "count"))
-    of_class, rest = E.consumer_class(F.col("kind")), ["kind", "power", "count"]
+    of_class = E.consumer_class(F.col("kind"))
+    only = lambda name, c: F.sum(F.when(of_class == name, F.col(c).cast("double")).otherwise(0.0)).alias(f"__{c}_{name}")
+    users = consumers.groupBy(key, "consumer").agg(*[only(name, c) for name in E.SIMULTANEITY for c in ("power", "count")])
+    rest = users.columns[2:]
+    cheapest = costs.where(F.col("cost") < REACH).groupBy(key, "consumer", "transformer").agg(F.min("cost").alias("cost"))
+    pairs = cut(cheapest.join(users, [key, "consumer"]).select(key, "consumer", "transformer", "cost", *rest))
     own = Window.partitionBy(key, "consumer")
-    before = Window.partitionBy(key, "transformer").orderBy("cost", "consumer", *rest).rowsBetween(Window.unboundedPreceding, 0)
-    load = F.lit(0.0)
-    for name, share in E.SIMULTANEITY.items():
-        power, count = (F.sum(F.when(of_class == name, F.col(c).cast("double")).otherwise(0.0)).over(before) for c in ("power", "count"))
-        load = load + E.simultaneous_load(power, count, F.lit(share))
+    before = Window.partitionBy(key, "transformer").orderBy("cost", "consumer").rowsBetween(Window.unboundedPreceding, 0)
+
+    def load_of(total: Callable[[str], Column]) -> Column:
+        return sum((E.simultaneous_load(total(f"__power_{name}"), total(f"__count_{name}"), F.lit(share)) for name, share in E.SIMULTANEITY.items()), F.lit(0.0))
+
+    load = load_of(lambda c: F.sum(c).over(before))
     while True:
-        ranked = pairs.withColumn("nth", F.row_number().over(own.orderBy("cost", "transformer", *rest)))
+        ranked = pairs.withColumn("nth", F.row_number().over(own.orderBy("cost", "transformer")))
         summed = ranked.withColumns({"waits": F.max(F.col("nth") > 1).over(before), "load": load})
         full = F.max(~F.col("waits") & (F.col("load") >= FULL_KVA)).over(before)
         open_ = summed.withColumn("full", full).where(~F.col("full")).withColumn("given", ~F.col("waits"))
@@ -175,9 +180,9 @@ def assign_to_transformers(costs: DataFrame, consumers: DataFrame, key: str) ->
         if pairs.where(~F.col("given")).isEmpty():
             break
         pairs = pairs.drop("given")
-    loads = simultaneous_load_by(pairs, [key, "transformer"], "kind", "power", "count")
-    sizes = loads.select(key, "transformer", E.next_capacity(F.col("load"), MAPPED_CAPACITIES).cast("long").alias("size_kva"))
-    return pairs.join(sizes, [key, "transformer"]).select(key, "consumer", "transformer", "size_kva")
+    sizes = pairs.groupBy(key, "transformer").agg(load_of(F.sum).alias("load"))
+    sizes = sizes.select(key, "transformer", "load", E.next_capacity(F.col("load"), MAPPED_CAPACITIES).cast("long").alias("size_kva"))
+    return pairs.join(sizes, [key, "transformer"]).select(key, "consumer", "transformer", "cost", "load", "size_kva")
 
 
 def weighted_median_site(distances: DataFrame, loads: DataFrame, keys: list[str]) -> DataFrame:
