@@ -81,19 +81,28 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     every vertex to the neighbour that comes first in an order by hashes, follows the
     pointer once, and contracts.  In that order long roads shrink by a share of their
     length in each round, however their vertices are numbered; members of a large
-    component, which point to one vertex, are not gathered.
+    component, which point to one vertex, are not gathered.  The maps of the rounds, each
+    smaller than the one before, are put together at the end.
     """
     links = cut(edges.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).where("a < b").distinct())
-    names = cut(vertices.select("vertex", F.col("vertex").alias("component")))
+    steps = []
     while not links.isEmpty():
         both = links.union(links.select("b", "a"))
         first = F.least(*[F.min(F.struct(F.xxhash64(c), F.col(c).alias("v"))) for c in ("a", "b")])
         near = cut(both.groupBy(F.col("a").alias("v")).agg(first.alias("f")).select("v", F.col("f.v").alias("to")))
         step = cut(join_spread(near, near.select(F.col("v").alias("to"), F.col("to").alias("further")), ["to"]).select("v", F.col("further").alias("to")))
-        names = cut(join_spread(names, step.withColumnRenamed("v", "component"), ["component"], "left").select("vertex", F.coalesce("to", "component").alias("component")))
-        for end in ("a", "b"):
-            links = cut(join_spread(links, step.select(F.col("v").alias(end), F.col("to").alias(f"to_{end}")), [end]))
-        links = cut(links.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).where("a < b").distinct())
+        steps.append(step)
+        moved = cut(join_spread(links, step.select(F.col("v").alias("a"), F.col("to").alias("to_a")), ["a"]))
+        moved = join_spread(moved, step.select(F.col("v").alias("b"), F.col("to").alias("to_b")), ["b"])
+        links = cut(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).where("a < b").distinct())
+    names = vertices.select("vertex", F.col("vertex").alias("component"))
+    if steps:
+        last = steps.pop()
+        while steps:
+            step = steps.pop()
+            further = last.select(F.col("v").alias("to"), F.col("to").alias("end"))
+            last = cut(join_spread(step, further, ["to"], "left").select("v", F.coalesce("end", "to").alias("to")))
+        names = cut(names.join(last.select(F.col("v").alias("component"), "to"), "component", "left").select("vertex", F.coalesce("to", "component").alias("component")))
     least = names.groupBy("component").agg(F.min("vertex").alias("least"))
     return join_spread(names, least, ["component"]).select("vertex", F.col("least").alias("component"))
 
@@ -115,35 +124,50 @@ def reachable(seeds: DataFrame, edges: DataFrame, admits: Column | None = None)
 
 
 #: Contraction ends when a round takes less than one in so many of the vertices that are left.
-WORTH = 32
+WORTH = 8
 #: Rounds of a search after which the rows that have changed are merged.
 MERGED_AFTER = 8
 
 
-def shortest_paths(sources: DataFrame, edges: DataFrame, limit: float | None = None, within: tuple[str, ...] = ()) -> DataFrame:
+def shortest_paths(sources: DataFrame, edges: DataFrame, limit: float | None = None, within: tuple[str, ...] = (), many: bool = False) -> DataFrame:
     """(within..., source, vertex, cost, via): cheapest undirected paths from every source.
 
     ``within`` names columns of both tables, such as an area: paths use the edges of
     their source's area only.  With ``limit`` only costs below it are given.
     ``via`` is the vertex before on the path, the smallest of equals.
 
-    Vertices with at most two neighbours that are no sources are taken out first, in
-    rounds of such as are not neighbours of each other; what is left is searched, and they
-    are put back in reverse.  So a road of n vertices takes log n rounds, not n, and the
-    search itself sees junctions only.
+    Vertices with at most two neighbours are taken out first, in rounds of such as are not
+    neighbours of each other; what is left is searched, and they are put back in reverse.
+    So a road of n vertices takes log n rounds, not n, and the search itself sees
+    junctions only.  Sources stay unless there are ``many``, a large share of the vertices:
+    then they are taken out as well, paths also start at what they were linked to, and
+    are put back as sources too.
     """
-    directed = lambda a, b: edges.select(*within, F.col(a).alias("u"), F.col(b).alias("w"), F.col("cost").cast("double").alias("c"), F.col(a).cast("long").alias("via"))
-    core = _cheapest(directed("source", "target").union(directed("target", "source")).where("u <> w"), within)
+    core = _cheapest(_directed(edges, within), within)
     starts = cut(sources.select(*within, F.col("vertex").alias("u")).distinct())
-    core, taken = contracted(core, starts, within)
-    found = _searched(starts, core, limit, within)
-    for step in reversed(taken):  # each holds (within..., u, w, c, via): how u, taken out, is reached from w
-        new = found.join(step, (found["vertex"] == step["w"]) & _same(found, step, within)).select(
-            *[found[c] for c in within], "source", F.col("u").alias("vertex"), (F.col("cost") + F.col("c")).alias("cost"), step["via"].alias("via")
+    core, taken = contracted(core, starts, within, many)
+    begin = starts
+    for _, up in taken if many else ():
+        begin = begin.union(up.where("need").select(*within, F.col("w").alias("u")))
+    if many and taken:
+        gone = reduce(DataFrame.union, [up.select(*within, "u") for _, up in taken])
+        begin = cut(begin.distinct().join(gone, [*within, "u"], "left_anti"))
+    found = _searched(begin, core, limit, within)
+    below = lambda rows: rows if limit is None else rows.where(F.col("cost") < limit)
+    for down, up in reversed(taken):
+        new = found.join(down, (found["vertex"] == down["w"]) & _same(found, down, within)).select(
+            *[found[c] for c in within], "source", F.col("u").alias("vertex"), (F.col("cost") + F.col("c")).alias("cost"), down["via"].alias("via")
         )
-        if limit is not None:
-            new = new.where(F.col("cost") < limit)
-        found = found.unionByName(cut(_least_cost(new, within)))
+        found = found.unionByName(cut(_least_cost(below(new), within)))
+        if many:
+            up = up.where("need").withColumnRenamed("via", "last")
+            new = found.join(up, (found["source"] == up["w"]) & _same(found, up, within)).where("vertex <> u").select(
+                *[found[c] for c in within], F.col("u").alias("source"), "vertex", (F.col("cost") + F.col("c")).alias("cost"), F.coalesce("via", "last").alias("via")
+            )
+            own = up.select(*within, F.col("u").alias("source"), F.col("u").alias("vertex"), F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("via")).distinct()
+            found = found.unionByName(cut(_least_cost(below(new), within).unionByName(own)))
+    if many and taken:
+        found = found.join(starts.withColumnRenamed("u", "source"), [*within, "source"], "left_semi")
     return found
 
 
@@ -162,35 +186,57 @@ def _least_cost(rows: DataFrame, within: tuple[str, ...]) -> DataFrame:
     return best.select(*within, "source", "vertex", "b.cost", "b.via")
 
 
-def contracted(edges: DataFrame, kept: DataFrame, within: tuple[str, ...] = ()) -> tuple[DataFrame, list[DataFrame]]:
+def contracted(edges: DataFrame, starts: DataFrame, within: tuple[str, ...] = (), also_starts: bool = False) -> tuple[DataFrame, list[tuple[DataFrame, DataFrame]]]:
     """(edges, taken): what is left of (within..., u, w, c, via), both directions, and what each round took out.
 
-    A round takes vertices with one or two neighbours that are not ``kept`` (within..., u),
-    have no edge without length, and come first by a hash among such neighbours.  One with two neighbours leaves an edge
-    between them.  Tables in ``taken`` have (within..., u, w, c, via): how u is reached from
-    each of its neighbours w at that time.
+    A round takes vertices with one or two neighbours that have no edge without length and
+    come first by a hash among such neighbours; ``starts`` (within..., u) stay unless
+    ``also_starts``.  One with two neighbours leaves an edge between them.  Each of ``taken``
+    is (down, up): how u, taken out, is reached from each of its neighbours w at that time,
+    and how w is from u.  In ``up``, ``need`` marks starts and what starts before were linked to.
     """
     keys, taken = [*within, "u"], []
-    order = lambda c: F.xxhash64(F.col(c), F.lit(len(taken)))
+    order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(taken))), F.col(c))
+    own = Window.partitionBy(*keys)
+    edges = edges.join(starts.select(*keys, F.lit(True).alias("need")), keys, "left").withColumn("need", F.col("need").isNotNull())
     while True:
         # an edge of no length stays, or pointers to the vertex before could close a circle
-        several = edges.groupBy(*keys).agg(((F.count("*") <= 2) & (F.min("c") > 0)).alias("few"))
-        open_ = cut(several.join(kept.withColumn("__kept", F.lit(True)), keys, "left").select(*keys, (F.col("few") & F.col("__kept").isNull()).alias("open")))
-        counts = open_.agg(F.count("*").alias("n"), F.count_if("open").alias("open")).first()
+        few = (F.count("*").over(own) <= 2) & (F.min("c").over(own) > 0)
+        open_ = edges.withColumn("open", few if also_starts else few & ~F.col("need"))
+        other = open_.where("open").select(*within, F.col("u").alias("w"), F.lit(True).alias("w_open")).distinct()
+        beaten = F.max(F.col("w_open").isNotNull() & (order("w") < order("u"))).over(own)
+        first = F.row_number().over(own.orderBy("w")) == 1
+        judged = cut(open_.join(other, [*within, "w"], "left").withColumns({"goes": F.col("open") & ~beaten, "first": first}).drop("w_open"))
+        counts = judged.where("first").agg(F.count("*").alias("n"), F.count_if("open").alias("open")).first()
         if counts["open"] * WORTH < counts["n"] or not counts["open"]:
-            return edges, taken
-        free = open_.where("open").select(*keys)
-        inner = edges.join(free, keys).join(free.withColumnRenamed("u", "w"), [*within, "w"])
-        later = inner.where(F.struct(order("w"), "w") < F.struct(order("u"), "u")).select(*keys).distinct()
-        gone = free.join(later, keys, "left_anti")
-        marked = cut(edges.join(gone.withColumn("__from", F.lit(True)), keys, "left").join(gone.select(*within, F.col("u").alias("w"), F.lit(True).alias("__to")), [*within, "w"], "left"))
-        # edges to what goes, seen from it: u is taken out, w stays
-        out = cut(marked.where("__to").select(*within, F.col("w").alias("u"), F.col("u").alias("w"), "c", "via"))
-        back = marked.where("__from").select(*within, "u", F.col("w").alias("other"), F.col("c").alias("back"), F.col("via").alias("last"))
-        through = out.select(*within, "u", "w", "c").join(back, keys).where("w <> other").select(*within, F.col("w").alias("u"), F.col("other").alias("w"), (F.col("c") + F.col("back")).alias("c"), F.col("last").alias("via"))
-        rest = marked.where(F.col("__from").isNull() & F.col("__to").isNull()).select(*within, "u", "w", "c", "via")
-        edges = _cheapest(rest.unionByName(through), within)
-        taken.append(out)
+            return edges.drop("need"), taken
+        # a vertex that goes has two edges at most, and the edges back to it are the same turned round
+        gone = judged.where("goes").select(*within, F.col("u").alias("w"), F.lit(True).alias("w_goes"), F.col("need").alias("w_need")).distinct()
+        marked = judged.join(gone, [*within, "w"], "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("w_goes", "w_need")})
+        marked = cut(marked.withColumn("need", F.col("need") | F.max("w_need").over(own)) if also_starts else marked)
+        down = marked.where("w_goes").select(*within, F.col("w").alias("u"), F.col("u").alias("w"), "c", "via", "need")
+        up = marked.where("goes").select(*within, "u", "w", "c", "via", "need")
+        back = up.select(*keys, F.col("w").alias("other"), F.col("c").alias("back"), F.col("via").alias("last"))
+        through = down.drop("via").join(back, keys).where("w <> other").select(*within, F.col("w").alias("u"), F.col("other").alias("w"), (F.col("c") + F.col("back")).alias("c"), F.col("last").alias("via"), "need")
+        rest = marked.where(~F.col("goes") & ~F.col("w_goes")).select(*within, "u", "w", "c", "via", "need")
+        best = rest.unionByName(through).groupBy(*within, "u", "w").agg(F.min(F.struct("c", "via")).alias("e"), F.first("need").alias("need"))
+        edges = cut(best.select(*within, "u", "w", "e.c", "e.via", "need"))
+        taken.append((down.drop("need"), up))
+
+
+def simplified(edges: DataFrame, kept: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """(within..., source, target, cost): fewer edges with the same costs between all ``kept`` (within..., vertex).
+
+    Other vertices with at most two neighbours are taken out, as in ``shortest_paths``.
+    """
+    core, _ = contracted(_cheapest(_directed(edges, within), within), kept.select(*within, F.col("vertex").alias("u")).distinct(), within)
+    return core.where("u < w").select(*within, F.col("u").alias("source"), F.col("w").alias("target"), F.col("c").alias("cost"))
+
+
+def _directed(edges: DataFrame, within: tuple[str, ...]) -> DataFrame:
+    """Edges in both directions: (within..., u, w, c, via)."""
+    one = lambda a, b: edges.select(*within, F.col(a).alias("u"), F.col(b).alias("w"), F.col("cost").cast("double").alias("c"), F.col(a).cast("long").alias("via"))
+    return one("source", "target").union(one("target", "source")).where("u <> w")
 
 
 def _searched(starts: DataFrame, edges: DataFrame, limit: float | None, within: tuple[str, ...]) -> DataFrame:

@@ -61,13 +61,13 @@ _PATHS_SQL = f"""
 @query(f"WITH RECURSIVE {_PATHS_SQL} SELECT source, vertex, min(cost) AS cost FROM p GROUP BY 1, 2")
 def q22_shortest_path_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cheapest costs from every vertex to all that it reaches."""
-    return G.shortest_paths(_vertices(spark, sf_dir), supplier_edges(spark, sf_dir)).select("source", "vertex", "cost")
+    return G.shortest_paths(_vertices(spark, sf_dir), supplier_edges(spark, sf_dir), many=True).select("source", "vertex", "cost")
 
 
 @query(f"WITH RECURSIVE {_PATHS_SQL} SELECT source AS i, vertex AS j, min(cost) AS cost FROM p WHERE source <> vertex GROUP BY 1, 2")
 def q23_cost_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Costs between all pairs of different vertices, as a sparse matrix."""
-    paths = G.shortest_paths(_vertices(spark, sf_dir), supplier_edges(spark, sf_dir))
+    paths = G.shortest_paths(_vertices(spark, sf_dir), supplier_edges(spark, sf_dir), many=True)
     return paths.where("source <> vertex").select(F.col("source").alias("i"), F.col("vertex").alias("j"), "cost")
 
 
@@ -79,7 +79,7 @@ def q23_cost_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def q71_ordered_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vertices in order on the cheapest way from every vertex to all that it reaches."""
-    paths = G.cut(G.shortest_paths(_vertices(spark, sf_dir), supplier_edges(spark, sf_dir)))
+    paths = G.cut(G.shortest_paths(_vertices(spark, sf_dir), supplier_edges(spark, sf_dir), many=True))
     return G.ordered_paths(paths, paths)
 
 

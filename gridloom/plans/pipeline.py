@@ -99,7 +99,7 @@ def street_graph(buildings: DataFrame, ways: DataFrame, cell: float = 200.0, tra
 
 
 def supply_zones(buildings: DataFrame, edges: DataFrame, vertices: DataFrame, consumers: DataFrame, mapped: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(points, edges, mapped): connection points with their consumers by zone and class, the edges of each zone, and its transformers.
+    """(points, edges, mapped): connection points with their consumers by zone and class, the edges between these and the junctions of each zone, and its transformers.
 
     A zone is a component with more than one consumer; a large component is dealt
     into several by k-means of its places before any distances are taken.
@@ -115,8 +115,10 @@ def supply_zones(buildings: DataFrame, edges: DataFrame, vertices: DataFrame, co
     of_class = E.consumer_class(F.col("kind")).alias("kind")
     points = place.where(F.col("kind").isNotNull()).groupBy("zone", "component", F.col("connection").alias("point"), of_class)
     points = R.cut(points.agg(F.first("x").alias("x"), F.first("y").alias("y"), F.sum("peak").alias("power"), F.sum("units").alias("count"), F.count("*").alias("houses")))
-    inner = R.cut(_zone_edges(points, edges, vertices, components))
-    return points.drop("component"), inner, place.where(F.col("kind").isNull()).select("zone", "id", "vertex")
+    mapped = R.cut(place.where(F.col("kind").isNull()).select("zone", "id", "vertex"))
+    ends = points.select("zone", F.col("point").alias("vertex")).union(mapped.select("zone", "vertex"))
+    inner = R.cut(R.simplified(_zone_edges(points, edges, vertices, components), ends, ("zone",)))
+    return points.drop("component"), inner, mapped
 
 
 def supplied_by_mapped(points: DataFrame, edges: DataFrame, mapped: DataFrame) -> DataFrame:
@@ -160,7 +162,6 @@ def generate(buildings: DataFrame, ways: DataFrame, areas: DataFrame, transforme
     edges, vertices, consumers, mapped = street_graph(served, ways, transformers=known)
     required(consumers, "buildings near a street")
     points, inner, mapped = supply_zones(served, edges, vertices, consumers, mapped)
-    mapped = R.cut(mapped)
     given = R.cut(supplied_by_mapped(points, inner, mapped)) if known is not None else None
 
     rest = points
@@ -169,7 +170,7 @@ def generate(buildings: DataFrame, ways: DataFrame, areas: DataFrame, transforme
         alone = rest.groupBy("zone").agg(F.sum("houses").alias("n")).where("n <= 1").join(mapped, "zone", "left_semi").select("zone")
         rest = R.cut(rest.join(alone, "zone", "left_anti"))
     ends = R.cut(rest.select("zone", F.col("point").alias("vertex")).distinct())
-    paths = R.shortest_paths(ends, inner, within=("zone",))
+    paths = R.shortest_paths(ends, inner, within=("zone",), many=True)
     costs = R.cut(paths.join(ends, ["zone", "vertex"], "left_semi").select("zone", F.col("source").alias("i"), F.col("vertex").alias("j"), "cost"))
     parts = R.cut(C.bisect_by_capacity(rest, "zone", costs=costs)).withColumn("number", F.col("cluster") + 1).drop("cluster")
     parts = parts.withColumns({"mapped": F.lit(False), "site": F.lit(None).cast("long"), "cost": F.lit(None).cast("double")})
