@@ -42,7 +42,8 @@ def topology(lines: DataFrame, id_column: str, line: str, tolerance: float = 0.0
 
     Edges have id, source, target and cost (the line's length).  Ends meet through others
     between them: a vertex is a component of the links of at most the tolerance.  It lies
-    at the least of its ends by x, then y, and vertices are numbered in this order.
+    at the least of its ends by x, then y.  Vertices are numbered by x, then y, to the
+    nearest multiple of the tolerance.
     """
     end = lambda i: F.element_at(line, i)
     ends = lines.select(F.col(id_column).alias("id"), G.length(F.col(line)).alias("cost"), *[end(i)[a].alias(f"{n}{a}") for i, n in ((1, "s"), (-1, "t")) for a in ("x", "y")])
@@ -53,7 +54,9 @@ def topology(lines: DataFrame, id_column: str, line: str, tolerance: float = 0.0
     met = links.select(F.col("source").alias("vertex")).union(links.select("target")).distinct()
     joined = connected_components(met, links).select(F.col("vertex").alias("spot"), "component")  # only ends that have others near
     placed = cut(spots.join(joined, "spot", "left").withColumn("component", F.coalesce("component", "spot")))
-    first = numbered(placed.where("spot = component").select("component", F.col("x").alias("vx"), F.col("y").alias("vy")), ["component"], "vertex")
+    near = {f"r{a}": F.floor(F.col(f"v{a}") / tolerance + 0.5) for a in ("x", "y")}
+    first = placed.where("spot = component").select("component", F.col("x").alias("vx"), F.col("y").alias("vy")).withColumns(near)
+    first = numbered(first, ["rx", "ry", "component"], "vertex")
     vertices = cut(placed.join(first, "component").select("x", "y", "vertex", "vx", "vy"))
     edges = ends
     for n, name in (("s", "source"), ("t", "target")):

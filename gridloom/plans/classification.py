@@ -55,6 +55,17 @@ def parameters(networks: Networks, done: DataFrame | None = None) -> DataFrame:
     return P.grid_parameters(lines, loads, ROOT, sites.select("grid", "size_kva", "mapped"), house_distances(networks))
 
 
+#: Networks with a longer way, in km, or a building of more households are not classified.
+LONGEST_KM, MOST_HOUSEHOLDS = 2.5, 150
+
+
+def filtered(rows: DataFrame, buildings: DataFrame, longest_km: float = LONGEST_KM, most_households: int = MOST_HOUSEHOLDS) -> DataFrame:
+    """``rows`` (grid, max_trafo_dis, ...) with ``filtered``; ``buildings`` has grid and units."""
+    large = buildings.where(F.col("units") > most_households).select("grid", F.lit(True).alias("__large")).distinct()
+    long = F.coalesce(F.col("max_trafo_dis") > longest_km, F.lit(False))
+    return rows.join(large, "grid", "left").withColumn("filtered", long | F.col("__large").isNotNull()).drop("__large")
+
+
 def classes(rows: DataFrame, k: int, columns: tuple[str, ...] = COLUMNS, algorithm: str = "kmeans", key: str = "grid") -> tuple[DataFrame, DataFrame]:
     """(labels, representatives): every network with its ``cluster``, and of each cluster the network nearest to its centre.
 

@@ -157,6 +157,7 @@ def generate(buildings: DataFrame, ways: DataFrame, areas: DataFrame, transforme
     reach until they are full; those that serve nothing are left out.  What is left of a
     zone is clustered, unless it is a single building of a zone with transformers.
     """
+    required(ways.where(F.col("clazz") != HOUSE_CLASS), "streets")
     served = R.cut(served_buildings(buildings, areas))
     known = None if transformers is None else R.cut(mapped_transformers(transformers, served, areas))
     edges, vertices, consumers, mapped = street_graph(served, ways, transformers=known)

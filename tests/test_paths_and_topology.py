@@ -1,6 +1,7 @@
 """Paths by contraction and topology by tolerance, against searches without Spark."""
 
 import heapq
+import math
 import random
 
 import pytest
@@ -114,7 +115,8 @@ def test_topology_equals_brute_force(spark, seed):
             if (x - spots[j][0]) ** 2 + (y - spots[j][1]) ** 2 <= (0.01 * (1 + 1e-9)) ** 2:
                 a, b = root(i), root(j)
                 top[max(a, b)] = min(a, b)
-    number = {r: n + 1 for n, r in enumerate(sorted({root(i) for i in range(len(spots))}))}
+    near = lambda i: (*[math.floor(c / 0.01 + 0.5) for c in spots[i]], i)
+    number = {r: n + 1 for n, r in enumerate(sorted({root(i) for i in range(len(spots))}, key=near))}
     vertex = {p: number[root(i)] for i, p in enumerate(spots)}
     assert {r.id: (r.source, r.target) for r in edges.collect()} == {i: (vertex[line[0]], vertex[line[1]]) for i, line in lines}
     assert {r.vertex: (r.x, r.y) for r in vertices.collect()} == {number[r]: spots[r] for r in number}
