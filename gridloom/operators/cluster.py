@@ -8,16 +8,16 @@ DataFrames: each round is one aggregation that returns a few rows a cluster.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import electrical as E
 from gridloom.functions.electrical import MAPPED_CAPACITIES, RESIDENTIAL_TYPES, SIMULTANEITY, SYNTHESISED_CAPACITIES
+from gridloom.operators import models
 from gridloom.operators.graph import cut
 
 #: Points of a component above which it is split by k-means, and points of a part.
@@ -239,39 +239,12 @@ def weighted_median_point(points: DataFrame, key: str, tolerance: float = 1e-3)
     return best.select(key, F.col("id").alias("site"), "moment")
 
 
-def _squared(columns: list[str], centre: list[float]) -> Column:
-    return sum(((F.col(c) - float(v)) ** 2 for c, v in zip(columns, centre, strict=True)), F.lit(0.0))
+def k_means(rows: DataFrame, columns: list[str], key: str, k: int) -> tuple[DataFrame, list[list[float]]]:
+    """Rows with ``cluster`` and ``sq_distance``, and the centres, by Lloyd's rounds from a spread start.
 
-
-def _spread_start(rows: DataFrame, columns: list[str], key: str, k: int) -> list[list[float]]:
-    """Start centres, each the row farthest from those before; the first is the row with the smallest key."""
-    centres = [[float(x) for x in rows.orderBy(key).select(*columns).first()]]
-    while len(centres) < k:
-        far = F.array_min(F.array(*[_squared(columns, c) for c in centres])) if len(centres) > 1 else _squared(columns, centres[0])
-        best = rows.agg(F.max(F.struct(F.round(far, 9).alias("d"), (-F.col(key)).alias("k"), *columns)).alias("m")).first()["m"]
-        centres.append([float(best[c]) for c in columns])
-    return centres
-
-
-def with_label(rows: DataFrame, columns: list[str], centres: list[list[float]], label: str = "cluster") -> DataFrame:
-    """Rows with the number of their nearest centre, the smaller of equals."""
-    d = F.array(*[F.struct(_squared(columns, c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres)])
-    best = F.array_min(d)
-    return rows.withColumn(label, best["i"]).withColumn("sq_distance", best["d"])
-
-
-def k_means(rows: DataFrame, columns: list[str], key: str, k: int, rounds: int = 30) -> tuple[DataFrame, list[list[float]]]:
-    """Rows with ``cluster`` and ``sq_distance``, and the centres, by Lloyd's rounds from a spread start."""
-    rows = cut(rows)
-    centres = _spread_start(rows, columns, key, k)
-    for _ in range(rounds):
-        means = {r["cluster"]: [r[c] for c in columns] for r in with_label(rows, columns, centres).groupBy("cluster").agg(*[F.avg(c).alias(c) for c in columns]).collect()}
-        moved = [means.get(i, c) for i, c in enumerate(centres)]
-        still = max(abs(a - b) for x, y in zip(moved, centres, strict=True) for a, b in zip(x, y, strict=True)) < 1e-9
-        centres = moved
-        if still:
-            break
-    return with_label(rows, columns, centres), centres
+    Rounds end when no centre moves, at the latest after ``models.MOST_ROUNDS``.
+    """
+    return _fitted(rows, columns, key, k, "kmeans")
 
 
 def representatives(labelled: DataFrame, key: str, order: str) -> DataFrame:
@@ -281,112 +254,37 @@ def representatives(labelled: DataFrame, key: str, order: str) -> DataFrame:
     return nearest.select(F.col("cluster").alias("old"), nth.alias("cluster"), "representative")
 
 
-def k_medoids(rows: DataFrame, columns: list[str], key: str, k: int, rounds: int = 20) -> tuple[DataFrame, list[list[float]]]:
-    """Rows with ``cluster``, and the medoids: alternate assignment and the best member of each cluster.
+def k_medoids(rows: DataFrame, columns: list[str], key: str, k: int) -> tuple[DataFrame, list[list[float]]]:
+    """Rows with ``cluster`` and ``sq_distance``, and the medoids: alternate assignment and the best member of each cluster.
 
-    The best member minimises the summed squared distance to its cluster, which
-    needs only the cluster's mean: it is the member nearest to it.
+    Rounds end when no medoid changes, at the latest after ``models.MOST_ROUNDS``.
     """
-    rows = cut(rows)
-    medoids = _spread_start(rows, columns, key, k)
-    for _ in range(rounds):
-        labelled = with_label(rows, columns, medoids)
-        means = {r["cluster"]: [r[c] for c in columns] for r in labelled.groupBy("cluster").agg(*[F.avg(c).alias(c) for c in columns]).collect()}
-        to_mean = F.lit(None).cast("double")
-        for i, m in means.items():
-            to_mean = F.when(F.col("cluster") == i, _squared(columns, m)).otherwise(to_mean)
-        best = labelled.groupBy("cluster").agg(F.min(F.struct(F.round(to_mean, 9).alias("d"), F.col(key), *columns)).alias("m")).collect()
-        moved = list(medoids)
-        for r in best:
-            moved[r["cluster"]] = [float(r["m"][c]) for c in columns]
-        if moved == medoids:
-            break
-        medoids = moved
-    return with_label(rows, columns, medoids), medoids
+    return _fitted(rows, columns, key, k, "kmedoids")
 
 
-def gaussian_mixture(rows: DataFrame, columns: list[str], key: str, k: int, shape: str = "tied", rounds: int = 100, tolerance: float = 1e-3) -> DataFrame:
+def gaussian_mixture(rows: DataFrame, columns: list[str], key: str, k: int, shape: str = "tied") -> DataFrame:
     """Rows with ``cluster`` by a Gaussian mixture whose covariances have a ``shape``.
 
     Shapes are full (one matrix a component), tied (one for all), diag (variances) and
-    spherical (one variance a component).  A round adds up, in every partition, the
-    weights, sums and products of rows by component; Spark adds the partitions, and
-    k * (1 + d + d * d) numbers reach the driver.  Rounds end when the mean likelihood
-    grows by less than ``tolerance``, at the latest after ``rounds``.
+    spherical (one variance a component).  Rounds end when the mean likelihood grows by
+    less than a thousandth, at the latest after ``models.MIXTURE_ROUNDS``.
     """
-    if shape not in ("full", "tied", "diag", "spherical"):
-        raise ValueError(f"no shape named {shape!r}")
-    rows = cut(rows)
-    d = len(columns)
-    means = np.array(_spread_start(rows, columns, key, k))
-    stats = rows.agg(*[F.var_pop(c).alias(c) for c in columns]).first()
-    covariances = np.repeat(np.diag([max(stats[c] or 0.0, 1e-9) for c in columns])[None], k, axis=0)
-    weights, last = np.full(k, 1 / k), -np.inf
-    packed = rows.select(F.col(key).alias("key"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
-    for _ in range(rounds):
-        likelihood, size, first, second = _mixture_sums(packed, means, covariances, weights)
-        weights, means = size / size.sum(), first / np.maximum(size, 1e-12)[:, None]
-        covariances = second / np.maximum(size, 1e-12)[:, None, None] - means[:, :, None] * means[:, None, :]
-        if shape == "tied":
-            covariances = np.repeat((covariances * weights[:, None, None]).sum(axis=0)[None], k, axis=0)
-        elif shape != "full":
-            variances = np.einsum("kii->ki", covariances)
-            variances = np.repeat(variances.mean(axis=1)[:, None], d, axis=1) if shape == "spherical" else variances
-            covariances = variances[:, :, None] * np.eye(d)
-        covariances = covariances + 1e-6 * np.eye(d)
-        if likelihood - last < tolerance:
-            break
-        last = likelihood
-    scores = _mixture_scores(means, covariances, weights)
-
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            best = scores(_points(batch)).argmax(axis=1) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best.astype(np.int32))], names=["key", "cluster"])
-
-    kind = dict(packed.dtypes)["key"]
-    return rows.join(packed.mapInArrow(label, f"key {kind}, cluster int").withColumnRenamed("key", key), key)
-
-
-def _points(batch: pa.RecordBatch) -> np.ndarray:
-    return np.asarray(batch.column(1).flatten(), float).reshape(batch.num_rows, -1)
-
+    return _fitted(rows, columns, key, k, shape)[0].drop("sq_distance")
 
-def _mixture_scores(means: np.ndarray, covariances: np.ndarray, weights: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
-    """A function from points to the logarithm of each component's weighted density."""
-    factors = np.linalg.cholesky(np.linalg.inv(covariances))
-    constant = np.log(np.maximum(weights, 1e-12)) + np.log(np.einsum("kii->ki", factors)).sum(axis=1) - means.shape[1] / 2 * np.log(2 * np.pi)
 
-    def scores(x: np.ndarray) -> np.ndarray:
-        return np.column_stack([c - 0.5 * (((x - m) @ f) ** 2).sum(axis=1) for m, f, c in zip(means, factors, constant, strict=True)])
+def _model(algorithm: str, centres: np.ndarray, variances: np.ndarray) -> models.Model:
+    if algorithm in ("kmeans", "kmedoids"):
+        return (models.KMeans if algorithm == "kmeans" else models.KMedoids)(centres)
+    return models.Mixture(centres, variances, algorithm)
 
-    return scores
 
-
-def _mixture_sums(packed: DataFrame, means: np.ndarray, covariances: np.ndarray, weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-    """(mean log likelihood, weights, sums and products by component) over all rows."""
-    k, d = means.shape
-    scores = _mixture_scores(means, covariances, weights)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 + k * (1 + d + d * d))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _points(batch)
-            z = scores(x)
-            top = z.max(axis=1, keepdims=True)
-            share = np.exp(z - top)
-            sums = share.sum(axis=1, keepdims=True)
-            share /= sums
-            products = np.stack([(x * r[:, None]).T @ x for r in share.T])
-            total += np.concatenate([[(np.log(sums) + top).sum(), len(x)], share.sum(axis=0), (share.T @ x).ravel(), products.ravel()])
-        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["s"])
-
-    parts = packed.mapInArrow(add, "s array<double>").select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
-    total = np.array([r["v"] for r in parts.orderBy("i").collect()])
-    size, rest = total[2 : 2 + k], total[2 + k :]
-    return total[0] / max(total[1], 1), size, rest[: k * d].reshape(k, d), rest[k * d :].reshape(k, d, d)
+def _fitted(rows: DataFrame, columns: list[str], key: str, k: int, algorithm: str) -> tuple[DataFrame, list[list[float]]]:
+    rows = cut(rows)
+    points = cut(models.packed(rows, columns, key))
+    model = _model(algorithm, models.spread_start(points, k), models.variances(points, len(columns)))
+    models.fit(points, [model])
+    centres = model.means if isinstance(model, models.Mixture) else model.centres
+    return models.labelled(rows, columns, model), centres.tolist()
 
 
 def halved(points: DataFrame, group: str, parts: str) -> DataFrame:
@@ -443,18 +341,15 @@ def place_clusters(points: DataFrame, group: str, parts: str, rounds: int = 5) -
 
 
 def index_sweep(rows: DataFrame, columns: list[str], key: str, numbers: range = range(3, 8), algorithms: tuple[str, ...] = ("kmeans", "kmedoids", "full", "tied", "diag", "spherical")) -> DataFrame:
-    """(algorithm, k, ch, db): both indices of each clustering of the rows; a large ch and a small db are good."""
-    from gridloom.operators.metrics import calinski_harabasz, davies_bouldin
-
-    out = None
-    for k in numbers:
-        for name in algorithms:
-            if name in ("kmeans", "kmedoids"):
-                labelled = (k_means if name == "kmeans" else k_medoids)(rows, columns, key, k)[0]
-            else:
-                labelled = gaussian_mixture(rows, columns, key, k, name)
-            labelled = cut(labelled.select(*columns, "cluster"))
-            both = calinski_harabasz(labelled, columns, "cluster").select("ch").crossJoin(davies_bouldin(labelled, columns, "cluster"))
-            both = both.select(F.lit(name).alias("algorithm"), F.lit(k).alias("k"), "ch", "db")
-            out = both if out is None else out.unionByName(both)
-    return out
+    """(algorithm, k, ch, db): both indices of each clustering of the rows; a large ch and a small db are good.
+
+    All clusterings are fitted in the same passes; start centres of fewer clusters are the
+    first of those of more.
+    """
+    points = cut(models.packed(rows, columns, key))
+    centres, variances = models.spread_start(points, max(numbers)), models.variances(points, len(columns))
+    names = [(name, k) for name in algorithms for k in numbers]
+    all_ = [_model(name, centres[:k], variances) for name, k in names]
+    models.fit(points, all_)
+    found = models.indices(points, all_, [k for _, k in names], len(columns))
+    return rows.sparkSession.createDataFrame([(name, k, ch, db) for (name, k), (ch, db) in zip(names, found, strict=True)], "algorithm string, k int, ch double, db double")

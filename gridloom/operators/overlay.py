@@ -10,6 +10,7 @@ holds a polygon or a group.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,11 +31,11 @@ def _rounded(p: Column, precision: float) -> Column:
 def _sides(polygons: DataFrame, ring: str, precision: float) -> DataFrame:
     """(key, pid, a, b): sides with the inside to their left, without sides of no length."""
     points = G.closed(F.transform(ring, lambda p: _rounded(p, precision)))
-    sides = polygons.select("key", "pid", points.alias("ring")).select("key", "pid", "ring", F.explode(G.segments(F.col("ring"))).alias("s"))
-    twice = F.aggregate(G.segments(F.col("ring")), F.lit(0.0), lambda t, s: t + s["a"]["x"] * s["b"]["y"] - s["b"]["x"] * s["a"]["y"])
-    left = twice > 0
-    ends = [F.when(left, F.col(f"s.{p}")).otherwise(F.col(f"s.{q}")).alias(p) for p, q in (("a", "b"), ("b", "a"))]
-    return sides.where((F.col("s.a") != F.col("s.b")) & (twice != 0)).select("key", "pid", *ends)
+    cross = lambda t, s: t + s["a"]["x"] * s["b"]["y"] - s["b"]["x"] * s["a"]["y"]
+    rows = polygons.select("key", "pid", G.segments(points).alias("s")).withColumn("twice", F.aggregate("s", F.lit(0.0), cross))
+    sides = rows.where("twice <> 0").select("key", "pid", (F.col("twice") > 0).alias("left"), F.explode("s").alias("s"))
+    ends = [F.when(F.col("left"), F.col(f"s.{p}")).otherwise(F.col(f"s.{q}")).alias(p) for p, q in (("a", "b"), ("b", "a"))]
+    return sides.where(F.col("s.a") != F.col("s.b")).select("key", "pid", *ends)
 
 
 def _in_cells(rows: DataFrame, size: float, margin: float) -> DataFrame:
@@ -49,7 +50,8 @@ def _pieces(sides: DataFrame, cell: float, precision: float) -> DataFrame:
     lines = cut(sides.select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     mine, other = _in_cells(lines, cell, 2 * precision), _in_cells(lines, cell, 2 * precision).withColumnsRenamed({"a": "c", "b": "d"})
     a, b, c, d = (F.col(x) for x in "abcd")
-    pairs = mine.join(other, ["key", "cx", "cy"]).where((a != c) | (b != d))
+    apart = [F.least(p[e], q[e]) > F.greatest(r[e], t[e]) + 2 * precision for e in ("x", "y") for p, q, r, t in ((a, b, c, d), (c, d, a, b))]
+    pairs = mine.join(other, ["key", "cx", "cy"]).where(~reduce(Column.__or__, apart) & ((a != c) | (b != d)))
     on = lambda p: (G.distance(G.between(a, b, G.foot_fraction(a, b, p)), p) <= 2 * precision) & (p != a) & (p != b)
     # a crossing is computed from the smaller line, so that both get the same point
     first = F.struct(a, b) < F.struct(c, d)
