@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from gridloom.functions import electrical as E
 from gridloom.functions.electrical import MAPPED_CAPACITIES, RESIDENTIAL_TYPES, SIMULTANEITY, SYNTHESISED_CAPACITIES
 from gridloom.operators import models
-from gridloom.operators.graph import cut
+from gridloom.operators.spatial import nearest
+from gridloom.operators.staging import cut
 
 #: Points of a component above which it is split by k-means, and points of a part.
 LARGE_COMPONENT, PART = 2000, 1000
@@ -322,19 +323,22 @@ def bounded_areas(points: DataFrame, group: str, most: int = PART) -> DataFrame:
     return rows.join(number, [group, "__node"]).drop("__node", "__parts")
 
 
-def place_clusters(points: DataFrame, group: str, parts: str, rounds: int = 5) -> DataFrame:
+def place_clusters(points: DataFrame, group: str, parts: str, rounds: int = 50) -> DataFrame:
     """``points`` (group, id, x, y, parts, ...) with ``part``: k-means of each group into its number of parts.
 
     Start centres come from halving at medians along the wider side, which no task has
-    to sort a group for; each of the ``rounds`` gives points to their nearest centre by
-    cells and moves the centres.
+    to sort a group for; each round gives points to their nearest centre by
+    cells and moves the centres, until none moves, at the latest after ``rounds``.
     """
-    from gridloom.operators.spatial import nearest
-
-    rows = halved(points, group, parts)
+    rows, last = halved(points, group, parts), None
     for _ in range(rounds):
         centres = cut(rows.groupBy(F.col(group).alias("__of"), F.col("__node").alias("__c")).agg(F.avg("x").alias("__x"), F.avg("y").alias("__y")))
-        found = nearest(rows.drop("__node"), centres.withColumn("__name", F.struct("__of", "__c")), 1, 1000.0, "id", "__name", ("x", "y"), ("__x", "__y"), F.col(group) == F.col("__of"))
+        if last is not None:
+            moved = centres.join(last, ["__of", "__c"], "left").where(F.coalesce(F.hypot(F.col("__x") - F.col("__ox"), F.col("__y") - F.col("__oy")) > 1e-6, F.lit(True)))
+            if moved.isEmpty():
+                break
+        last = centres.select("__of", "__c", F.col("__x").alias("__ox"), F.col("__y").alias("__oy"))
+        found = nearest(rows.drop("__node"), centres.withColumn("__name", F.struct("__of", "__c")), 1, "id", "__name", ("x", "y"), ("__x", "__y"), (group, "__of"))
         rows = cut(found.withColumn("__node", F.col("__c")).select(*points.columns, "__node"))
     number = rows.select(group, "__node").distinct().withColumn("part", F.row_number().over(Window.partitionBy(group).orderBy("__node")) - 1)  # one row a part
     return rows.join(number, [group, "__node"]).drop("__node")

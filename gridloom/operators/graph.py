@@ -2,39 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import geometry as G
 from gridloom.operators.relational import join_spread
 from gridloom.operators.spatial import within_distance
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a session on one machine without it gets a temporary one."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if not hasattr(shared_dir, "own"):
-        shared_dir.own = "file://" + tempfile.mkdtemp(prefix="gridloom-")
-        atexit.register(shutil.rmtree, shared_dir.own.removeprefix("file://"), ignore_errors=True)
-    return shared_dir.own
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write a table of an iteration to the shared checkpoint folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gridloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from gridloom.operators.staging import cut, shared_dir  # noqa: F401 (part of this module's interface)
 
 
 def topology(lines: DataFrame, id_column: str, line: str, tolerance: float = 0.01) -> tuple[DataFrame, DataFrame]:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import geometry as G
+from gridloom.operators.staging import cut
 
 
 def _cell(value: Column, size: float) -> Column:
@@ -36,32 +37,58 @@ def within_distance(left: DataFrame, right: DataFrame, radius: float, left_xy: t
     return pairs.where(F.col("distance") < radius if strict else F.col("distance") <= radius).drop("__cx", "__cy")
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int, radius: float, left_id: str, right_id: str, left_xy: tuple[str, str], right_xy: tuple[str, str], where: Column | None = None) -> DataFrame:
+#: Sizes of cells that a search for neighbours chooses from: each is twice the one before, the largest holds all.
+LEVELS = 20
+
+
+def nearest(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str, left_xy: tuple[str, str], right_xy: tuple[str, str], within: tuple[str, str] | None = None, others: bool = False) -> DataFrame:
     """The k rows of ``right`` nearest to each row of ``left``, with ``distance`` and ``nth``.
 
-    The search starts with ``radius`` and goes on with four times as much for rows
-    that have not found k, until none is left or the radius covers all.  Ties go to
-    the smaller ``right_id``.
+    ``within`` names a column of each side that must be equal, such as an area; ``others``
+    leaves out rows whose ids are equal.  Ties go to the smaller ``right_id``.
+
+    Rows of ``right`` are counted in square cells of LEVELS sizes.  Each row of ``left`` takes
+    the smallest of its cells that holds enough of them: all it looks for lies within that
+    cell's diagonal.  So the reach follows the density around each row, and a row far from
+    all others meets few.  A row whose cells all hold too few meets all of its area, fewer than
+    k rows.  Ids of ``left`` are unique; rows without coordinates or area find nothing.
     """
-    box = right.agg(*[f(c).alias(f"{c}_{n}") for c in right_xy for n, f in (("min", F.min), ("max", F.max))]).first()
-    left_box = left.agg(*[f(c).alias(f"{c}_{n}") for c in left_xy for n, f in (("min", F.min), ("max", F.max))]).first()
-    spans = [abs((b or 0) - (a or 0)) for x, y in zip(right_xy, left_xy, strict=True) for a, b in ((box[f"{x}_min"], left_box[f"{y}_max"]), (left_box[f"{y}_min"], box[f"{x}_max"]))]
-    widest = sum(s * s for s in spans) ** 0.5 + radius
+    box = lambda df, xy: df.agg(*[f(c).cast("double") for c in xy for f in (F.min, F.max)]).first()
+    both = [v for v in zip(box(left, left_xy), box(right, right_xy), strict=True)]
+    known = [[v for v in pair if v is not None] for pair in both]
+    low = [min(known[i], default=0.0) for i in (0, 2)]
+    span = max(max(known[i + 1], default=0.0) - min(known[i], default=0.0) for i in (0, 2)) or 1.0
+    sizes = [span * (1 + 1e-9) / 2 ** (LEVELS - 1 - i) for i in range(LEVELS)]
+    size = F.element_at(F.array(*map(F.lit, sizes)), F.col("__l") + 1)
+    cell = lambda c, start, shift=0.0: F.floor((F.col(c) - start + shift) / size).cast("long")
+    group = [] if within is None else ["__g"]
+    tagged = lambda df, i: df if within is None else df.withColumn("__g", F.col(within[i]))
+    finest = lambda xy: {n: F.floor((F.col(c) - start) / sizes[0]).cast("long") for n, c, start in zip(("__cx", "__cy"), xy, low, strict=True)}
+
+    def at_levels(df: DataFrame, chosen: list[int]) -> DataFrame:
+        """Rows of smallest cells once for each of the chosen sizes."""
+        rows = df.withColumn("__l", F.explode(F.array(*[F.lit(i) for i in chosen])))
+        return rows.withColumns({c: F.expr(f"shiftright({c}, __l)") for c in ("__cx", "__cy")})
+
+    keys = [*group, "__l", "__cx", "__cy"]
+    occupied = tagged(right, 1).select(*group, *right_xy).withColumns(finest(right_xy)).groupBy(*group, "__cx", "__cy").agg(F.count("*").alias("__n"))
+    enough = at_levels(occupied, list(range(LEVELS))).groupBy(*keys).agg(F.sum("__n").alias("__n")).where(F.col("__n") >= k + int(others)).select(*keys)
+    places = tagged(left, 0).select(left_id, *group, *left_xy).withColumns(finest(left_xy))
+    fitting = at_levels(places, list(range(LEVELS))).join(enough, keys).groupBy(left_id).agg(F.min("__l").alias("__l"))
+    todo = cut(tagged(left, 0).join(fitting, left_id, "left").withColumn("__l", F.coalesce("__l", F.lit(LEVELS - 1))))
+    used = sorted(r["__l"] for r in todo.select("__l").distinct().collect())  # LEVELS at most
+    reach = size * 2**0.5
+    for axis, c, start in (("__cx", left_xy[0], low[0]), ("__cy", left_xy[1], low[1])):
+        todo = todo.withColumn(axis, F.explode(F.sequence(cell(c, start, -reach), cell(c, start, reach))))
+    pairs = todo.join(at_levels(tagged(right, 1).withColumns(finest(right_xy)), used or [0]), keys)
+    if others:
+        pairs = pairs.where(F.col(left_id) != F.col(right_id))
+    (lx, ly), (rx, ry) = left_xy, right_xy
+    d = F.hypot((F.col(lx) - F.col(rx)).cast("double"), (F.col(ly) - F.col(ry)).cast("double"))
     order = Window.partitionBy(left_id).orderBy("distance", right_id)
-    out, todo = None, left
-    while True:
-        pairs = within_distance(todo, right, radius, left_xy, right_xy)
-        if where is not None:
-            pairs = pairs.where(where)
-        found = pairs.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
-        if radius >= widest:
-            return found if out is None else out.unionByName(found)
-        full = found.withColumn("__n", F.count("*").over(Window.partitionBy(left_id))).where(F.col("__n") == k).drop("__n")
-        rest = todo.join(full.select(left_id).distinct(), left_id, "left_anti")
-        out = full if out is None else out.unionByName(full)
-        if rest.isEmpty():
-            return out
-        todo, radius = rest, radius * 4
+    pairs = pairs.withColumn("distance", d).where((F.col("distance") <= reach * (1 + 1e-9)) | (F.col("__l") == LEVELS - 1))
+    found = pairs.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
+    return found.drop(*keys)
 
 
 def nearest_lines(points: DataFrame, lines: DataFrame, radius: float, most: float, point_id: str, line_id: str, xy: tuple[str, str], line: str, least: float = 0.0) -> DataFrame:

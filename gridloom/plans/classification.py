@@ -41,7 +41,7 @@ def house_distances(networks: Networks) -> DataFrame:
     """(grid, house_distance_km): of each network the median over houses of the mean distance to their four nearest."""
     rows = networks.buildings.where("grid is not null").select("grid", F.col("id").cast("string").alias("house"), F.col("x").alias("ax"), F.col("y").alias("ay"))
     other = rows.select(F.col("grid").alias("of"), F.col("house").alias("b"), F.col("ax").alias("bx"), F.col("ay").alias("by"))
-    found = S.nearest(cut(rows), cut(other), 5, 200.0, "house", "b", ("ax", "ay"), ("bx", "by"), F.col("grid") == F.col("of"))  # a house is its own nearest
+    found = S.nearest(cut(rows), cut(other), 5, "house", "b", ("ax", "ay"), ("bx", "by"), ("grid", "of"))  # a house is its own nearest
     return M.house_distance(rows, "grid", found).select("grid", (F.col("house_distance") / 1000).alias("house_distance_km"))
 
 

@@ -29,7 +29,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def q13_knn4_mean_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean distance to the four nearest sites, of each site, and the settlement class."""
     a, b = _pairs(spark, sf_dir)
-    found = S.nearest(a, b, 4, 400.0, "a", "b", ("ax", "ay"), ("bx", "by"), F.col("a") != F.col("b"))
+    found = S.nearest(a, b, 4, "a", "b", ("ax", "ay"), ("bx", "by"), others=True)
     means = found.groupBy(F.col("a").alias("site")).agg(F.avg("distance").alias("mean"))
     return means.select("site", F.round("mean", 6).alias("mean"), M.settlement_class(F.col("mean")).alias("class"))
 
@@ -58,7 +58,7 @@ def q15_nearest_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, _ = _pairs(spark, sf_dir)
     key = F.col("s_suppkey")
     t = table(spark, sf_dir, "supplier").select(key.alias("t"), (key * 6007 % 10007).alias("tx"), (key * 3001 % 10009).alias("ty"))
-    return S.nearest(a, t, 1, 500.0, "a", "t", ("ax", "ay"), ("tx", "ty")).select(F.col("a").alias("site"), F.col("t").alias("nearest"), F.round("distance", 6).alias("distance"))
+    return S.nearest(a, t, 1, "a", "t", ("ax", "ay"), ("tx", "ty")).select(F.col("a").alias("site"), F.col("t").alias("nearest"), F.round("distance", 6).alias("distance"))
 
 
 @query(f"""
@@ -119,10 +119,7 @@ def q35_house_distance_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per nation the median over sites of the mean distance to the four nearest sites of that nation."""
     a = sites(spark, sf_dir).select("nation", F.col("site").alias("house"), F.col("x").alias("ax"), F.col("y").alias("ay"))
     b = a.select(F.col("nation").alias("of"), F.col("house").alias("b"), F.col("ax").alias("bx"), F.col("ay").alias("by"))
-    # one plane per nation: areas far apart share no cell
-    far = 1_000_000
-    a2, b2 = a.withColumn("ax", F.col("ax") + F.col("nation") * far), b.withColumn("bx", F.col("bx") + F.col("of") * far)
-    found = S.nearest(a2, b2, 5, 1200.0, "house", "b", ("ax", "ay"), ("bx", "by"), F.col("nation") == F.col("of"))
+    found = S.nearest(a, b, 5, "house", "b", ("ax", "ay"), ("bx", "by"), ("nation", "of"))
     return M.house_distance(a, "nation", found).select("nation", F.round("house_distance", 6).alias("house_distance"))
 
 

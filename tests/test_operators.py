@@ -291,7 +291,7 @@ def test_nearest_equals_brute_force(spark):
     pts = [(i, rng.randrange(10_000), rng.randrange(10_000)) for i in range(300)]
     a = spark.createDataFrame(pts, "a int, ax int, ay int")
     b = spark.createDataFrame(pts, "b int, bx int, by int")
-    got = {(r.a, r.nth): r.b for r in spatial.nearest(a, b, 3, 50.0, "a", "b", ("ax", "ay"), ("bx", "by"), F.col("a") != F.col("b")).collect()}
+    got = {(r.a, r.nth): r.b for r in spatial.nearest(a, b, 3, "a", "b", ("ax", "ay"), ("bx", "by"), others=True).collect()}
     for i, x, y in pts:
         best = sorted((np.hypot(x - u, y - w), j) for j, u, w in pts if j != i)[:3]
         assert [got[i, n] for n in (1, 2, 3)] == [j for _, j in best]
