@@ -10,15 +10,13 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import electrical as E
 
-MOST_PARALLEL = 64
-
 
 def cables(spark: SparkSession, rows: tuple = E.STREET_CABLES) -> DataFrame:
     """The catalogue: cable, r and x in ohm per km, max_i_ka, q_mm2."""
     return spark.createDataFrame([(n, float(r), float(x), float(i), int(q)) for n, r, x, i, q in rows], "cable string, r double, x double, max_i_ka double, q_mm2 int")
 
 
-def choose_cable(lines: DataFrame, key: str, current_ka: Column, distance_m: Column, catalogue: tuple = E.STREET_CABLES, most: int = MOST_PARALLEL, drop_volts: Column | None = None) -> DataFrame:
+def choose_cable(lines: DataFrame, key: str, current_ka: Column, distance_m: Column, catalogue: tuple = E.STREET_CABLES, drop_volts: Column | None = None) -> DataFrame:
     """``lines`` with ``cable`` and ``parallel``: the fewest parallel cables that carry the current and keep the voltage.
 
     ``drop_volts`` is the voltage that a line may lose, by default a share of the network's.
@@ -35,7 +33,7 @@ def choose_cable(lines: DataFrame, key: str, current_ka: Column, distance_m: Col
         n = F.greatest(by_current, F.when(distance_m != 0, by_voltage).otherwise(0), F.lit(1)).cast("int")
         options.append(F.struct(n.alias("n"), F.lit(q).alias("q"), F.lit(name).alias("cable")))
     best = F.array_min(F.array(*options))
-    return lines.withColumn("__best", best).withColumn("cable", F.col("__best.cable")).withColumn("parallel", F.when(F.col("__best.n") <= most, F.col("__best.n"))).drop("__best")
+    return lines.withColumn("__best", best).withColumn("cable", F.col("__best.cable")).withColumn("parallel", F.col("__best.n")).drop("__best")
 
 
 def branch_cut(nodes: DataFrame, keys: list[str], order: str, kind: str, power: str, count: str, limit_ka: float = E.BRANCH_LIMIT_KA) -> DataFrame:

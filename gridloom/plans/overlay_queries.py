@@ -1,4 +1,4 @@
-"""Queries of unions, buffers, and networks around areas."""
+"""Queries of unions, buffers, networks around areas, and projections."""
 
 from __future__ import annotations
 
@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import geometry as G
+from gridloom.functions import projection as P
 from gridloom.operators import overlay as O
-from gridloom.plans.base import query, table
+from gridloom.plans.base import SITES_SQL, query, sites, table
 
 
 def _box(x, y, w, h):
@@ -56,3 +57,20 @@ def q81_streets_around_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     streets = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("street"), F.array(G.point(at, F.lit(0.0)), G.point(at, F.lit(100.0))).alias("line"))
     areas = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("area"), _box(corner, F.lit(20), F.lit(12), F.lit(12)).alias("ring"))
     return O.lines_near_polygons(streets, "line", areas, "ring", 6.0, ("street", "area"), 50.0)
+
+
+_SERIES = lambda f, g: " + ".join(f"{c!r} * {f}({2 * j} * a) * {g}({2 * j} * b)" for j, c in enumerate(P.FORWARD, 1))
+
+
+@query(f"""
+    WITH g AS (SELECT site, radians(10 + x / 1000.0 - {P.MERIDIAN_33}) AS dl, sin(radians(46 + y / 1000.0)) AS s FROM ({SITES_SQL}) s),
+    t AS (SELECT site, dl, sinh(atanh(s) - {P.ECCENTRICITY!r} * atanh({P.ECCENTRICITY!r} * s)) AS t FROM g),
+    p AS (SELECT site, atan2(t, cos(dl)) AS a, atanh(sin(dl) / sqrt(t * t + 1)) AS b FROM t)
+    SELECT site, round({P.EASTING} + {P.SCALE * P.RADIUS!r} * (b + {_SERIES("cos", "sinh")}), 3) AS easting, round({P.SCALE * P.RADIUS!r} * (a + {_SERIES("sin", "cosh")}), 3) AS northing, true AS back FROM p
+""")
+def q82_reprojected_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites from degrees to UTM 33, and whether the way over the equal-area grid leads back within a millimetre."""
+    rows = sites(spark, sf_dir).select("site", G.point(F.col("x") / 1000 + 10, F.col("y") / 1000 + 46).alias("g"))
+    rows = rows.withColumn("u", P.reproject(F.col("g"), 4326, 32633))
+    rows = rows.withColumn("r", P.reproject(P.reproject(F.col("u"), 32633, 3035), 3035, 32633))
+    return rows.select("site", F.round("u.x", 3).alias("easting"), F.round("u.y", 3).alias("northing"), (G.distance(F.col("u"), F.col("r")) < 0.001).alias("back"))
