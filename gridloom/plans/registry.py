@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from gridloom.plans import brownfield_queries, graph_queries, network_queries, overlay_queries, relational_queries, spatial_queries
+from gridloom.plans import brownfield_queries, check_queries, graph_queries, network_queries, overlay_queries, relational_queries, spatial_queries
 from gridloom.plans.base import ORACLES, QUERIES, Query
 
-MODULES = (relational_queries, spatial_queries, graph_queries, network_queries, brownfield_queries, overlay_queries)
+MODULES = (relational_queries, spatial_queries, graph_queries, network_queries, brownfield_queries, overlay_queries, check_queries)
 
 
 def queries() -> dict[str, Query]:
