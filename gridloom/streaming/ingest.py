@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from gridloom.operators.staging import cut
 from gridloom.sources.catalog import Catalog
 
 
@@ -24,7 +25,7 @@ def load_once(catalog: Catalog, name: str, rows: DataFrame, key: str = "ags") ->
     """
     new = rows.join(catalog.read("ledger").select(F.col("ags").alias(key)).distinct(), key, "left_anti")
     units = new.select(F.col(key).alias("ags")).distinct().select("ags", F.current_timestamp().alias("at"))
-    units = catalog.spark.createDataFrame(units.collect(), "ags int, at timestamp")  # one row a municipality of this load
+    units = cut(units)  # the rows that are appended next must not change it
     held = key in catalog.read(name).columns
     catalog.append(name, new if held else new.drop(key), (key,) if held else ())
     catalog.append("ledger", units, ("ags",))
