@@ -65,6 +65,20 @@ def crc_mod(id_column: str, modulus: int) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % modulus, F.lit(-1))
 
 
+def with_copies(rows: DataFrame, a_part: int = 4096) -> DataFrame:
+    """``rows`` with ``copy``: 0, 1, ... among rows that are equal in all columns.
+
+    Equal rows are counted first, with partial counts, and no task numbers or emits more
+    than ``a_part`` copies of a row from one row of its input.
+    """
+    names = rows.columns
+    counted = rows.groupBy(*names).agg(F.count("*").alias("__n"))
+    few = counted.where(F.col("__n") <= a_part).select(*names, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)).alias("copy"))
+    parts = counted.where(F.col("__n") > a_part).select(*names, "__n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(a_part).cast("long"))).alias("__from"))
+    many = parts.repartition("__from", *names).select(*names, F.explode(F.sequence("__from", F.least(F.col("__from") + a_part, "__n") - 1)).alias("copy"))
+    return few.unionByName(many)
+
+
 def bounded_sample(df: DataFrame, key: str, most: int, salt: str = "sample") -> DataFrame:
     """About ``most`` rows of ``df``, never many more, chosen by a hash of ``key``.
 

@@ -10,9 +10,12 @@ path, with its inline elements, unless half of it or more is links.  If an artic
 outermost one, where nothing short is lost: only blocks that miss the threshold and are
 lists of links are left out.
 
-Forms, and elements with a furniture word in class, id or role, are left out unless
-they wrap the article: the text outside holds no article or main element and they
-do, or they hold WRAPS times as many characters outside links as all that is kept.
+Forms, and elements whose class, id or role names furniture, are left out unless
+they wrap the article.  A name does so if all its words are furniture words or words
+for places and containers, one at least a furniture word: "site-header" and
+"related-posts" do, "related-work", "share-price" and "article-header" do not.  An
+element wraps the article if the text outside holds no article or main element and it
+does, or it holds WRAPS times as many characters outside links as all that is kept.
 
 Defined results: a null or empty page, or one without article text, gives the
 empty string.  Text before any tag, unclosed tags, cut tags and unknown
@@ -41,7 +44,7 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
+_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 #: Fixed values of HTML: elements without content, elements whose content is not
 #: markup, elements that stay inside a line of text.
@@ -68,8 +71,17 @@ BOILERPLATE_WORDS = frozenset(
     "comment comments disqus respond reply replies discussion "
     "share sharing social follow newsletter subscribe subscription signup login search "
     "related recommended recommendations trending popular outbrain taboola "
-    "banner contentinfo form tags hidden".split()
+    "contentinfo form tags hidden".split()
 )
+#: Words that say where or in what form furniture stands, not what it is about.
+PLACE_WORDS = frozenset(
+    "page site global local user reader readers main primary secondary article articles post posts entry story stories blog "
+    "top bottom left right upper lower inner outer first last mobile desktop sticky fixed floating "
+    "area bar block body box button buttons card cards col column container content feed group holder icon icons inline item items links list panel "
+    "region row section sections slot stack strip thread toolbar tools unit wrap wrapper zone html js id".split()
+)
+#: Words that make a header one of the text, not of the page.
+TEXT_WORDS = frozenset("article post entry story section content block card".split())
 #: A marked element with that many times the text of the page outside it wraps the article.
 WRAPS = 4
 #: Links, and their share of the characters, that make a list of links of a block inside an article.
@@ -124,6 +136,13 @@ class _Open:
         return open_p[at] if at < len(open_p) else 0
 
 
+def _names_furniture(token: str) -> bool:
+    """Whether one name of a class, id or role stands for furniture around an article."""
+    words = {w.lower() for w in _WORDS.findall(token) if len(w) > 1}  # of sizes like 728x90 nothing is left
+    kinds = words & BOILERPLATE_WORDS
+    return bool(kinds) and words <= BOILERPLATE_WORDS | PLACE_WORDS and not (kinds == {"header"} and words & TEXT_WORDS)
+
+
 def _furniture(tag: str, attrs: str) -> tuple[bool, bool]:
     """Whether an element is never part of an article, and whether it is marked as furniture."""
     if tag in BOILERPLATE_TAGS or tag in RAW:
@@ -135,7 +154,7 @@ def _furniture(tag: str, attrs: str) -> tuple[bool, bool]:
         name, value = name.lower(), "".join(values)
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN.search(value)):
             return True, True
-        if name in ("class", "id", "role") and any(w.lower() in BOILERPLATE_WORDS for w in _WORDS.findall(value)):
+        if name in ("class", "id", "role") and any(map(_names_furniture, value.split())):
             marked = True
     return False, marked
 

@@ -12,9 +12,9 @@ A duplicate cluster is a set of texts that are equal but for case, unless
 ``cluster_column`` names a column with clusters, such as the components of the n-gram
 Jaccard join, in which near copies conflict as well.
 
-A block is a bounded number of documents, chosen by a hash of the document, so a
-source or a group of copies that holds a third of all rows is spread over all
-blocks.  Blocks are packed independently of each other and in parallel; the cost
+A block is a bounded number of documents, chosen by a hash of the document and of its
+number among rows that are equal, so a source, a group of copies or of repeated rows
+that holds a third of all rows is spread over all blocks.  Blocks are packed independently of each other and in parallel; the cost
 against one global packing is at most the half-empty bins of each block.
 
 Defined results: one row per piece; a null or empty text is one piece of no words,
@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import with_copies
+
 CAPACITY = 2048
 DOCUMENTS_A_BLOCK = 1024
 
@@ -87,7 +89,7 @@ def pack(
     cluster = F.xxhash64(F.lower(text) if cluster_column is None else F.col(cluster_column))
     rows = documents.select(F.col(id_column).cast("long").alias("id"), words.alias("n"), F.xxhash64(F.col(source_column)).alias("source"), F.col(source_column).isNull().alias("nosource"), cluster.alias("cluster"))
     blocks = max(1, -(-documents.count() // documents_a_block))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "cluster", "source"), F.lit(blocks)).cast("int"))
+    rows = with_copies(rows).withColumn("block", F.pmod(F.xxhash64("id", "cluster", "source", "copy"), F.lit(blocks)).cast("int"))
 
     def of_block(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(["id", "cluster", "n"], kind="stable", na_position="last").reset_index(drop=True)

@@ -14,6 +14,8 @@ which case its rows are spread by their ids.  Shard sizes are near equal (law
 
 Slots are numbered without sorting a shard in one task: rows are counted in
 blocks by a hash of their id, and each block starts where the ones before it end.
+Rows that are equal in id, text and metadata carry their number among them, which
+parts them like different ids would.
 
 Defined results: a null text has size 1 and the checksum of the empty string; a
 null id or metadata counts as the empty value; an empty table gives no rows; when
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import staged
+from gridloom.llm.common import staged, with_copies
 from gridloom.operators.relational import join_spread
 
 BINS = 1 << 10
@@ -53,14 +55,14 @@ def kd_shards(
     """Per document: id, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot`` and ``grown_shard``."""
     metadata = [c for c in metadata if c in documents.columns]
     dims = [f"d{k}" for k in range(len(metadata) + 1)]
-    points = staged(_points(documents, id_column, text_column, metadata))
+    points = staged(with_copies(_points(documents, id_column, text_column, metadata)))
     whole = points.agg(F.sum("size").alias("size"), F.count("*").alias("n"), *[f(d).alias(f"{d}_{f.__name__}") for d in dims for f in (F.min, F.max)]).first()
     total, rows = whole["size"] or 0, whole["n"]
     large = max(1, int(total / shards * TOLERANCE))
     groups = staged(points.groupBy("crc", "g1").agg(F.sum("size").alias("bytes"), *[F.min(d).alias(f"g_{d}") for d in dims[1:]]))
     points = join_spread(points, groups, ["crc", "g1"])  # a third of all rows may have one text
     # of a group above the tolerance, every row is a group of its own
-    key = F.when(F.col("bytes") > large, F.xxhash64("g1", "id")).otherwise(F.xxhash64("g1", F.lit(0)))
+    key = F.when(F.col("bytes") > large, F.xxhash64("g1", "id", "copy")).otherwise(F.xxhash64("g1", F.lit(0)))
     tie = F.pmod(key, F.lit(1 << 40))
 
     def scaled(k: int, d: str) -> F.Column:
@@ -69,7 +71,7 @@ def kd_shards(
         return F.floor((value - low) * ((1 << 20) - 1) / max(1, high - low)).cast("long")
 
     points = staged(
-        points.select("id", "size", "crc", F.lit(0).alias("node"), *[F.shiftleft(scaled(k, d), 40).bitwiseOR(tie).alias(f"k{k}") for k, d in enumerate(dims)])
+        points.select("id", "size", "crc", "copy", F.lit(0).alias("node"), *[F.shiftleft(scaled(k, d), 40).bitwiseOR(tie).alias(f"k{k}") for k, d in enumerate(dims)])
     )
     keys = [f"k{k}" for k in range(len(dims))]
     # node -> (shards below it, first shard); a node of one shard has reached the target bytes
@@ -89,7 +91,7 @@ def kd_shards(
     shard = F.lit(0)
     for node, (_, first) in nodes.items():
         shard = F.when(F.col("node") == node, first).otherwise(shard)
-    return numbered(points.select("id", "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), shard.cast("int").alias("shard")), rows).select(
+    return numbered(points.select("id", "size", F.col("crc").alias("text_crc32"), "copy", F.lit("bytes").alias("law"), shard.cast("int").alias("shard")), rows).select(
         F.col("id").alias(id_column), "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 
@@ -133,12 +135,13 @@ def _split(points: DataFrame, nodes: dict[int, int], keys: list[str]) -> dict[in
     return {n: (widest[n], head[n] if want[n] * 2 >= last[n] else head[n] - 1) for n in widest}
 
 
-def numbered(rows: DataFrame, count: int, id_column: str = "id") -> DataFrame:
+def numbered(rows: DataFrame, count: int) -> DataFrame:
     """Add ``slot``: 0, 1, ... inside every ``shard``, in an order that depends on the rows alone."""
+    keys = ["id", "size", "text_crc32", "copy"]
     blocks = max(1, -(-count // ROWS_A_BLOCK))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.col(id_column)), F.lit(blocks)).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int"))
     sizes = rows.groupBy("shard", "block").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("shard", "block").orderBy(id_column, "size", "text_crc32")
+    inside = Window.partitionBy("shard", "block").orderBy(*keys)
     return rows.withColumn("at", F.row_number().over(inside) - 1).join(starts, ["shard", "block"]).withColumn("slot", (F.col("start") + F.col("at")).cast("long"))

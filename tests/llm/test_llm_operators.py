@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("gridloom.llm")
 from gridloom.llm import ann, bpe, components, html_extract, jaccard, langid, packing, queries, sharding, substring, topk, toxicity
-from gridloom.llm.common import crc_mod
+from gridloom.llm.common import crc_mod, with_copies
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id int, n_words int, `__text` string, tid string"
@@ -120,6 +120,18 @@ def test_html_inside_an_article():
     assert html_extract.main_text("<body><div/>one<p>two</p></div></body>") == "one two"
 
 
+def test_html_names_of_furniture():
+    """One furniture word among others does not make furniture of a part of the article."""
+    long = "long text here " * 30
+    kept = ["section id='related-work'", "p class=share-price", "div class='article-header'", "div class='alert-systems lead'", "table class=promotion-table", "div class=hasSidebar"]
+    gone = ["div class='related-posts'", "ul class='x share-buttons'", "div id=siteHeader", "div class='comment-list'", "div class='ad-728x90'", "section class=article-comments", "div role=search", "div class=ADS"]
+    for tag in ("article", "main"):
+        for name in kept + gone:
+            page = f"<body><{tag}><p>{long}</p><{name}>Some short words</{name.split()[0]}><p>{long}</p></{tag}></body>"
+            words = " Some short words " if name in kept else " "
+            assert html_extract.main_text(page) == " ".join((long + words + long).split()), name
+
+
 def test_html_of_a_megabyte(spark):
     """No page costs more than in proportion to its length, whatever its tags."""
     n = 60_000
@@ -260,6 +272,20 @@ def test_packing_keeps_given_clusters_apart(spark):
     assert all(len(v) == len(set(v)) for v in bins.values()) and len(bins) == 20
 
 
+def test_repeated_rows_fill_no_block(spark):
+    """Rows that are equal in every column are dealt over blocks and shards like others."""
+    df = spark.createDataFrame([(None, "a b c", None, None)] * 3000 + [(i, f"a b {i}", "en", "s") for i in range(1000)], "doc_id long, text string, lang string, source string")
+    copies = [tuple(r) for r in with_copies(df.select("text", "source"), a_part=64).where("source is null").collect()]
+    assert sorted(copies) == [("a b c", None, k) for k in range(3000)]
+    out = packing.pack(df, capacity=64, documents_a_block=100).collect()
+    blocks = Counter(r.block for r in out)
+    assert len(out) == 4000 and len(blocks) == 40 and max(blocks.values()) < 200
+    assert max(Counter((r.block, r.bin) for r in out if r.doc_id is None).values()) == 1
+    shards = [(r.n, r.b) for r in sharding.kd_shards(df).groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect()]
+    sizes = [b for _, b in shards]
+    assert sum(n for n, _ in shards) == 4000 and len(sizes) == 8 and max(sizes) - min(sizes) < 0.02 * max(sizes)
+
+
 def test_best_fit_equals_a_scan_of_all_bins():
     rng = random.Random(1)
     lengths = sorted((rng.randrange(0, 60) for _ in range(300)), reverse=True)
