@@ -180,6 +180,45 @@ def wkt_polygon(ring: Column) -> Column:
     return F.concat(F.lit("POLYGON (("), F.array_join(F.transform(closed(ring), lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))), ", "), F.lit("))"))
 
 
+def _double_hex(x: Column) -> Column:
+    """The 16 hexadecimal digits of a finite double, most significant first; minus zero is written as zero.
+
+    The exponent by logarithm may be one off, which comparing with powers of two mends;
+    all further steps are exact.  Values below 2^-1022 are written as zero.
+    """
+    power = lambda e: F.pow(F.lit(2.0), e)
+
+    def digits(a: Column) -> Column:
+        guess = F.greatest(F.least(F.floor(F.log2(a)), F.lit(1023)), F.lit(-1022)).cast("double")
+        exponent = guess - (power(guess) > a).cast("double") + (power(guess + 1) <= a).cast("double")
+        fraction = lambda e: ((a / power(e) - 1) * float(1 << 52)).cast("long")
+        bits = let(exponent, lambda e: F.shiftleft((e + 1023).cast("long"), 52).bitwiseOR(fraction(e)))
+        signed = F.when(x < 0, bits.bitwiseOR(F.lit(-(1 << 63)))).otherwise(bits)
+        return F.lpad(F.hex(signed), 16, "0")
+
+    return F.when(F.abs(x) >= 2.0**-1022, let(F.abs(x), digits)).otherwise(F.lit("0" * 16))
+
+
+def _points_hex(points: Column) -> Column:
+    each = F.transform(points, lambda p: F.concat(_double_hex(p["x"]), _double_hex(p["y"])))
+    return F.concat(F.lpad(F.hex(F.size(points)), 8, "0"), F.array_join(each, ""))
+
+
+def wkb_line(line: Column) -> Column:
+    """A line as well-known binary, big-endian; null if a coordinate is null or not finite."""
+    return F.when(_finite(line), F.unhex(F.concat(F.lit("0000000002"), _points_hex(line))))
+
+
+def wkb_polygon(ring: Column) -> Column:
+    """A ring as well-known binary of a polygon, closed, big-endian; null without points, or if a coordinate is null or not finite."""
+    return F.when(_finite(ring) & (F.size(ring) > 0), F.unhex(F.concat(F.lit("0000000003" + "00000001"), _points_hex(closed(ring)))))
+
+
+def _finite(points: Column) -> Column:
+    bad = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
+    return ~F.exists(points, lambda p: bad(p["x"]) | bad(p["y"]))
+
+
 def from_wkt(text: Column) -> Column:
     """The points of a line, or of the only ring of a polygon, in well-known text."""
     inside = F.regexp_extract(text, r"\(+([^()]*)\)+", 1)

@@ -154,6 +154,11 @@ def deviation_from(rows: DataFrame, representatives: DataFrame, label: str, colu
     return each.select(label, (sum((F.col(c) for c in columns), F.lit(0.0)) / len(columns)).alias("deviation"))
 
 
+def mean_deviation(rows: DataFrame, representatives: DataFrame, label: str, columns: list[str]) -> DataFrame:
+    """(clusters, deviation): ``deviation_from`` averaged over the clusters, each counting once; those without a deviation do not count."""
+    return deviation_from(rows, representatives, label, columns).agg(F.count("deviation").alias("clusters"), F.avg("deviation").alias("deviation"))
+
+
 def house_distance(points: DataFrame, key: str, neighbours: DataFrame) -> DataFrame:
     """(key, house_distance): the median over houses of the mean distance to their four nearest."""
     means = neighbours.groupBy(key, "house").agg((F.sum("distance") / 4).alias("m"))

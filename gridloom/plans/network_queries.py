@@ -208,6 +208,44 @@ def q57_deviation_from_medoid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.deviation_from(rows, first, "p_brand", ["p_size", "p_retailprice"]).select("p_brand", F.round("deviation", 6).alias("deviation"))
 
 
+@query("""
+    WITH m AS (SELECT p_brand, p_size AS s, p_retailprice AS r, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS nth FROM part WHERE p_size > 0),
+    d AS (SELECT p.p_brand, (sqrt(avg(((p_size - s) / s) ** 2)) + sqrt(avg(((p_retailprice - r) / r) ** 2))) / 2 AS deviation FROM part p JOIN m ON p.p_brand = m.p_brand AND nth = 1 GROUP BY 1)
+    SELECT count(*) AS clusters, round(avg(deviation), 6) AS deviation FROM d
+""")
+def q90_mean_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deviation of brands from their first part, averaged over brands."""
+    rows = table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
+    first = R.keep_first(rows.where("p_size > 0"), ["p_brand"], ["p_partkey"])
+    return M.mean_deviation(rows, first, "p_brand", ["p_size", "p_retailprice"]).select("clusters", F.round("deviation", 6).alias("deviation"))
+
+
+_THREE = ["l_quantity", "l_extendedprice", "l_discount"]
+_THREE_SQL = "SELECT corr(l_quantity, l_extendedprice) AS a, corr(l_quantity, l_discount) AS b, corr(l_extendedprice, l_discount) AS c, count(*) AS n FROM lineitem"
+
+
+@query(f"""
+    WITH r AS ({_THREE_SQL}), p AS (SELECT *, 1 + 2 * a * b * c - a * a - b * b - c * c AS det, (a - b * c) ** 2 / ((1 - b * b) * (1 - c * c)) AS pa, (b - a * c) ** 2 / ((1 - a * a) * (1 - c * c)) AS pb, (c - a * b) ** 2 / ((1 - a * a) * (1 - b * b)) AS pc FROM r)
+    SELECT round(-(n - 1 - 11.0 / 6) * ln(det), 3) AS bartlett, round((a * a + b * b + c * c) / (a * a + b * b + c * c + pa + pb + pc), 6) AS kmo FROM p
+""")
+def q91_adequacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether three measures of lines suit a factor analysis: Bartlett's statistic and the Kaiser-Meyer-Olkin measure."""
+    bartlett, kmo = M.adequacy(table(spark, sf_dir, "lineitem"), _THREE)
+    return spark.createDataFrame([(round(bartlett, 3), round(kmo, 6))], "bartlett double, kmo double")
+
+
+@query(f"""
+    WITH r AS ({_THREE_SQL}), p AS (SELECT *, sqrt((a * a + b * b + c * c) / 3) AS p FROM r), f AS (SELECT p, acos(least(1, greatest(-1, a * b * c / p ** 3))) / 3 AS f FROM p),
+    e AS (SELECT 1 + 2 * p * cos(f) AS e1, 1 - 2 * p * cos(pi() / 3 - f) AS e3 FROM f),
+    s AS (SELECT 1 AS component, e1 / 3 AS s FROM e UNION ALL SELECT 2, (3 - e1 - e3) / 3 FROM e UNION ALL SELECT 3, e3 / 3 FROM e)
+    SELECT component, round(s, 6) AS share, round(sum(s) OVER (ORDER BY component), 6) AS cumulative FROM s
+""")
+def q92_explained_variance_of_three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of variance of the principal components of three measures, whose eigenvalues SQL has in closed form."""
+    found = [(i, round(s, 6), round(c, 6)) for i, s, c in M.explained_variance(table(spark, sf_dir, "lineitem"), _THREE)]
+    return spark.createDataFrame(found, "component int, share double, cumulative double")
+
+
 @query(f"""
     SELECT site, CAST(CASE WHEN peak < 100 THEN 100 WHEN peak < 160 THEN 160 WHEN peak < 250 THEN 250 WHEN peak < 400 THEN 400 END AS INTEGER) AS single,
            CAST(CASE WHEN peak * 1.15 < 500 THEN 500 WHEN peak * 1.15 < 800 THEN 800 END AS INTEGER) AS double
