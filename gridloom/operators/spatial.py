@@ -109,8 +109,10 @@ def nearest_lines(points: DataFrame, lines: DataFrame, radius: float, most: floa
             around = around.withColumn(f"__c{axis}", _around(F.col(c), radius, radius))
         p = G.point(F.col(xy[0]), F.col(xy[1]))
         found = around.join(parts, ["__cx", "__cy"]).select(point_id, line_id, "__line", p.alias("__p"), G.distance_to_line(F.array("__s.a", "__s.b"), p).alias("distance"))
-        found = found.where((F.col("distance") > least) & (F.col("distance") <= radius))
-        best = found.groupBy(point_id).agg(F.min_by(F.struct(line_id, "__line", "__p", "distance"), F.struct("distance", line_id)).alias("m"))
+        found = found.where(F.col("distance") <= radius)
+        # the distance of a line is that of its nearest segment: others of a line that is too near do not count
+        whole = found.groupBy(point_id, line_id).agg(F.min("distance").alias("distance"), F.any_value("__line").alias("__line"), F.any_value("__p").alias("__p"))
+        best = whole.where(F.col("distance") > least).groupBy(point_id).agg(F.min_by(F.struct(line_id, "__line", "__p", "distance"), F.struct("distance", line_id)).alias("m"))
         best = best.select(point_id, F.col(f"m.{line_id}").alias(line_id), F.col("m.distance").alias("distance"), G.locate(F.col("m.__line"), F.col("m.__p")).alias("at"))
         out = best if out is None else out.unionByName(best)
         if radius >= most:
