@@ -25,15 +25,23 @@ def distance(a: Column, b: Column) -> Column:
 
 def segments(line: Column) -> Column:
     """The pairs of neighbouring points of a line."""
-    n = F.size(line)
-    ends = F.zip_with(F.slice(line, 1, F.greatest(n - 1, F.lit(0))), F.slice(line, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    return F.when(n > 1, ends).otherwise(F.array().cast("array<struct<a:struct<x:double,y:double>,b:struct<x:double,y:double>>>"))
+
+    def pairs(line: Column) -> Column:
+        n = F.size(line)
+        ends = F.zip_with(F.slice(line, 1, F.greatest(n - 1, F.lit(0))), F.slice(line, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        return F.when(n > 1, ends).otherwise(F.array().cast("array<struct<a:struct<x:double,y:double>,b:struct<x:double,y:double>>>"))
+
+    return let(line, pairs)
 
 
 def closed(ring: Column) -> Column:
     """A ring whose last point is its first."""
-    same = (F.element_at(ring, 1)["x"] == F.element_at(ring, -1)["x"]) & (F.element_at(ring, 1)["y"] == F.element_at(ring, -1)["y"])
-    return F.when(same, ring).otherwise(F.concat(ring, F.slice(ring, 1, 1)))
+
+    def close(ring: Column) -> Column:
+        ends = [(F.element_at(ring, 1)[c], F.element_at(ring, -1)[c]) for c in ("x", "y")]
+        return F.when((ends[0][0] == ends[0][1]) & (ends[1][0] == ends[1][1]), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1)))
+
+    return let(ring, close)
 
 
 def _sum(values: Column) -> Column:
@@ -56,11 +64,14 @@ def area(ring: Column) -> Column:
 
 def centroid(ring: Column) -> Column:
     """The centre of gravity of a simple ring; the mean of its points where it has no area."""
-    parts = segments(closed(ring))
-    twice = _sum(F.transform(parts, _cross))
-    gravity = lambda axis: _sum(F.transform(parts, lambda s: (s["a"][axis] + s["b"][axis]) * _cross(s))) / (3 * twice)
     mean = lambda axis: _sum(F.transform(ring, lambda p: p[axis])) / F.size(ring)
-    return F.when(twice != 0, point(gravity("x"), gravity("y"))).otherwise(point(mean("x"), mean("y")))
+
+    def middle(parts: Column) -> Column:
+        twice = _sum(F.transform(parts, _cross))
+        gravity = lambda axis: _sum(F.transform(parts, lambda s: (s["a"][axis] + s["b"][axis]) * _cross(s))) / (3 * twice)
+        return F.when(twice != 0, point(gravity("x"), gravity("y"))).otherwise(point(mean("x"), mean("y")))
+
+    return let(segments(closed(ring)), middle)
 
 
 def contains(ring: Column, p: Column) -> Column:
@@ -238,8 +249,14 @@ def laea_europe(lon: Column, lat: Column) -> Column:
     qp, q0 = q_of(1.0), q_of(math.sin(phi0))
     beta0, rq = math.asin(q0 / qp), a * (qp / 2) ** 0.5
     d = a * math.cos(phi0) / (math.sqrt(1 - e2 * math.sin(phi0) ** 2) * rq * math.cos(beta0))
-    s = F.sin(F.radians(lat))
-    q = (s / (1 - F.lit(e2) * s * s) - F.log((1 - F.lit(e) * s) / (1 + F.lit(e) * s)) / (2 * e)) * (1 - e2)
-    beta, dl = F.asin(q / qp), F.radians(lon) - math.radians(10.0)
-    b = F.sqrt(2.0 / (1 + math.sin(beta0) * F.sin(beta) + math.cos(beta0) * F.cos(beta) * F.cos(dl))) * rq
-    return point(F.lit(4321000.0) + b * d * F.cos(beta) * F.sin(dl), F.lit(3210000.0) + b / d * (math.cos(beta0) * F.sin(beta) - math.sin(beta0) * F.cos(beta) * F.cos(dl)))
+    q = lambda s: (s / (1 - F.lit(e2) * s * s) - F.log((1 - F.lit(e) * s) / (1 + F.lit(e) * s)) / (2 * e)) * (1 - e2)
+    dl = F.radians(lon) - math.radians(10.0)
+
+    def project(v: Column) -> Column:
+        b = F.sqrt(2.0 / (1 + math.sin(beta0) * v["sin"] + math.cos(beta0) * v["cos"] * F.cos(v["dl"]))) * rq
+        across = d * v["cos"] * F.sin(v["dl"])
+        along = math.cos(beta0) * v["sin"] - math.sin(beta0) * v["cos"] * F.cos(v["dl"])
+        return let(b, lambda b: point(F.lit(4321000.0) + b * across, F.lit(3210000.0) + b / d * along))
+
+    parts = lambda beta: F.struct(F.sin(beta).alias("sin"), F.cos(beta).alias("cos"), dl.alias("dl"))
+    return let(let(let(F.sin(F.radians(lat)), lambda s: F.asin(q(s) / qp)), parts), project)

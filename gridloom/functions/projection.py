@@ -51,8 +51,7 @@ def _sum(terms: list[Column]) -> Column:
 
 def to_utm33(lon: Column, lat: Column) -> Column:
     """Easting and northing of degrees, as a point; within 30 degrees of the meridian of 15 E."""
-    sine = F.sin(F.radians(lat))
-    t = F.sinh(F.atanh(sine) - F.atanh(sine * ECCENTRICITY) * ECCENTRICITY)
+    t = G.let(F.sin(F.radians(lat)), lambda sine: F.sinh(F.atanh(sine) - F.atanh(sine * ECCENTRICITY) * ECCENTRICITY))
     dl = F.radians(lon - MERIDIAN_33)
 
     def project(p: Column) -> Column:
@@ -94,21 +93,27 @@ def from_laea_europe(x: Column, y: Column) -> Column:
     d = AXIS * math.cos(phi0) / (math.sqrt(1 - e2 * math.sin(phi0) ** 2) * radius * math.cos(beta0))
     east, north = (x - ORIGIN_X) / d, (y - ORIGIN_Y) * d
 
-    def degrees(rho: Column) -> Column:
-        c = F.asin(F.least(rho / (2 * radius), F.lit(1.0))) * 2
-        sine = F.cos(c) * math.sin(beta0) + F.coalesce(F.try_divide(north * F.sin(c) * math.cos(beta0), rho), F.lit(0.0))
-        lon = F.atan2(east * F.sin(c), rho * F.cos(c) * math.cos(beta0) - north * F.sin(c) * math.sin(beta0))
-        lat = F.asin(F.greatest(F.least(sine, F.lit(1.0)), F.lit(-1.0)))
+    def angle(p: Column) -> Column:
+        c = F.asin(F.least(F.hypot(p["east"], p["north"]) / (2 * radius), F.lit(1.0))) * 2
+        return G.let(c, lambda c: F.struct(p["east"].alias("east"), p["north"].alias("north"), F.hypot(p["east"], p["north"]).alias("rho"), F.sin(c).alias("sin"), F.cos(c).alias("cos")))
+
+    def sphere(p: Column) -> Column:
+        sine = p["cos"] * math.sin(beta0) + F.coalesce(F.try_divide(p["north"] * p["sin"] * math.cos(beta0), p["rho"]), F.lit(0.0))
+        lon = F.atan2(p["east"] * p["sin"], p["rho"] * p["cos"] * math.cos(beta0) - p["north"] * p["sin"] * math.sin(beta0))
+        return F.struct(lon.alias("lon"), sine.alias("sine"))
+
+    def degrees(p: Column) -> Column:
+        lat = F.asin(F.greatest(F.least(p["sine"], F.lit(1.0)), F.lit(-1.0)))
         for _ in range(4):  # from the latitude of equal areas to that of the ellipsoid, by Newton's steps
-            lat = G.let(lat, lambda v: v + _step(v, sine * whole))
-        return G.point(F.degrees(lon) + CENTRE_LON, F.degrees(lat))
+            lat = G.let(lat, lambda v: v + _step(v, p["sine"] * whole))
+        return G.point(F.degrees(p["lon"]) + CENTRE_LON, F.degrees(lat))
 
     def _step(lat: Column, q: Column) -> Column:
-        s = F.sin(lat)
-        inner = q / (1 - e2) - s / (1 - s * s * e2) - F.atanh(s * e) / e
-        return F.pow(1 - s * s * e2, F.lit(2.0)) / (F.cos(lat) * 2) * inner
+        inner = lambda s: q / (1 - e2) - s / (1 - s * s * e2) - F.atanh(s * e) / e
+        return G.let(F.sin(lat), lambda s: F.pow(1 - s * s * e2, F.lit(2.0)) / (F.cos(lat) * 2) * inner(s))
 
-    return G.let(F.hypot(east, north), degrees)
+    plane = F.struct(east.alias("east"), north.alias("north"))
+    return G.let(G.let(G.let(plane, angle), sphere), degrees)
 
 
 def reproject(p: Column, source: int, target: int) -> Column:
@@ -118,7 +123,8 @@ def reproject(p: Column, source: int, target: int) -> Column:
             raise ValueError(f"no system with code {code}")
     if source == target:
         return p
-    known = p if source in GEOGRAPHIC else from_utm33(p["x"], p["y"]) if source in UTM_33 else from_laea_europe(p["x"], p["y"])
+    back = lambda p: from_utm33(p["x"], p["y"]) if source in UTM_33 else from_laea_europe(p["x"], p["y"])
+    known = p if source in GEOGRAPHIC else G.let(p, back)  # a point that is computed is computed once
     if target in GEOGRAPHIC:
         return known
     return G.let(known, lambda g: to_utm33(g["x"], g["y"]) if target in UTM_33 else G.laea_europe(g["x"], g["y"]))

@@ -1,5 +1,11 @@
 """What showed on larger tables only: results, rows compared and broadcast."""
 
+import math
+
+from pyspark.sql import functions as F
+
+from gridloom.functions import geometry as G
+from gridloom.functions import projection as P
 from gridloom.operators import spatial as S
 
 
@@ -11,3 +17,9 @@ def test_nearest_line_is_judged_as_a_whole(spark):
     got = {r["id"]: (r["line"], r["distance"], r["at"]) for r in out.collect()}
     # the first is on line 1, whose other segment is 10 away
     assert got == {1: (2, 40.0, 0.5), 2: (1, 3.0, 0.5)}
+
+
+def test_reprojections_do_not_repeat_what_they_nest(spark):
+    g = spark.range(1).select(G.point(F.lit(11.0) + F.col("id"), F.lit(48.0) + F.col("id")).alias("g"))
+    out = g.select(P.reproject(P.reproject(P.reproject(F.col("g"), 4326, 32633), 32633, 3035), 3035, 32633).alias("r"))
+    assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 40_000
