@@ -4,6 +4,8 @@ A distance or containment predicate alone would make Spark compare every pair.
 sides are bucketed into square cells instead: one side is copied into the cells
 around its own, the join is an equality of cells, and the exact predicate follows.
 Work then grows with the number of neighbours and not with the square of a table.
+A side that is copied into cells is many times larger than the files it comes from, by
+which Spark would choose to broadcast it; such joins are named as merges.
 """
 
 from __future__ import annotations
@@ -33,7 +35,9 @@ def within_distance(left: DataFrame, right: DataFrame, radius: float, left_xy: t
     here = left.withColumns({"__cx": _cell(F.col(lx), size), "__cy": _cell(F.col(ly), size)})
     there = right.withColumn("__cx", _around(F.col(rx), size, radius)).withColumn("__cy", _around(F.col(ry), size, radius))
     d = F.hypot((F.col(lx) - F.col(rx)).cast("double"), (F.col(ly) - F.col(ry)).cast("double"))
-    pairs = here.join(there, ["__cx", "__cy"]).withColumn("distance", d)
+    dx, dy = F.col(lx) - F.col(rx), F.col(ly) - F.col(ry)
+    near = dx * dx + dy * dy <= size * size * (1 + 1e-9)  # cheaper than the distance
+    pairs = here.join(there.hint("merge"), ["__cx", "__cy"]).where(near).withColumn("distance", d)
     return pairs.where(F.col("distance") < radius if strict else F.col("distance") <= radius).drop("__cx", "__cy")
 
 
@@ -74,13 +78,13 @@ def nearest(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: s
     occupied = tagged(right, 1).select(*group, *right_xy).withColumns(finest(right_xy)).groupBy(*group, "__cx", "__cy").agg(F.count("*").alias("__n"))
     enough = at_levels(occupied, list(range(LEVELS))).groupBy(*keys).agg(F.sum("__n").alias("__n")).where(F.col("__n") >= k + int(others)).select(*keys)
     places = tagged(left, 0).select(left_id, *group, *left_xy).withColumns(finest(left_xy))
-    fitting = at_levels(places, list(range(LEVELS))).join(enough, keys).groupBy(left_id).agg(F.min("__l").alias("__l"))
-    todo = cut(tagged(left, 0).join(fitting, left_id, "left").withColumn("__l", F.coalesce("__l", F.lit(LEVELS - 1))))
+    fitting = at_levels(places, list(range(LEVELS))).join(enough.hint("merge"), keys).groupBy(left_id).agg(F.min("__l").alias("__l"))
+    todo = cut(tagged(left, 0).join(fitting.hint("merge"), left_id, "left").withColumn("__l", F.coalesce("__l", F.lit(LEVELS - 1))))
     used = sorted(r["__l"] for r in todo.select("__l").distinct().collect())  # LEVELS at most
     reach = size * 2**0.5
     for axis, c, start in (("__cx", left_xy[0], low[0]), ("__cy", left_xy[1], low[1])):
         todo = todo.withColumn(axis, F.explode(F.sequence(cell(c, start, -reach), cell(c, start, reach))))
-    pairs = todo.join(at_levels(tagged(right, 1).withColumns(finest(right_xy)), used or [0]), keys)
+    pairs = todo.join(at_levels(tagged(right, 1).withColumns(finest(right_xy)), used or [0]).hint("merge"), keys)
     if others:
         pairs = pairs.where(F.col(left_id) != F.col(right_id))
     (lx, ly), (rx, ry) = left_xy, right_xy

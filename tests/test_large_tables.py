@@ -23,3 +23,12 @@ def test_reprojections_do_not_repeat_what_they_nest(spark):
     g = spark.range(1).select(G.point(F.lit(11.0) + F.col("id"), F.lit(48.0) + F.col("id")).alias("g"))
     out = g.select(P.reproject(P.reproject(P.reproject(F.col("g"), 4326, 32633), 32633, 3035), 3035, 32633).alias("r"))
     assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 40_000
+
+
+def test_rows_copied_into_cells_are_not_broadcast(spark):
+    rows = spark.range(400).selectExpr("id as a", "cast(id * 37 % 101 as double) as ax", "cast(id * 53 % 103 as double) as ay")
+    other = rows.withColumnsRenamed({"a": "b", "ax": "bx", "ay": "by"})
+    found = S.nearest(rows, other, 4, "a", "b", ("ax", "ay"), ("bx", "by"), others=True)
+    near = S.within_distance(rows, other, 10.0, ("ax", "ay"), ("bx", "by"))
+    for out in (found, near):
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
