@@ -41,6 +41,26 @@ def within_distance(left: DataFrame, right: DataFrame, radius: float, left_xy: t
     return pairs.where(F.col("distance") < radius if strict else F.col("distance") <= radius).drop("__cx", "__cy")
 
 
+def pairs_within(points: DataFrame, radius: float, id_column: str, xy: tuple[str, str], strict: bool = False) -> DataFrame:
+    """(a, b, distance): all pairs a < b of rows of one table at most ``radius`` apart; ids are unique.
+
+    Cells are half as wide as the radius, and a row is copied only into its own cell and
+    those after it, so each pair is met once.
+    """
+    size = radius / 2
+    rows = points.select(F.col(id_column).alias("p"), F.col(xy[0]).alias("px"), F.col(xy[1]).alias("py"))
+    rows = rows.withColumns({"cx": _cell(F.col("px"), size), "cy": _cell(F.col("py"), size)})
+    ahead = [(i, j) for i in range(3) for j in range(-2, 3) if (i, j) >= (0, 0)]
+    offset = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ahead]))
+    copies = rows.select(F.col("p").alias("q"), F.col("px").alias("qx"), F.col("py").alias("qy"), "cx", "cy", offset.alias("o"))
+    copies = copies.select("q", "qx", "qy", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"), (F.col("o.i") + F.abs("o.j") == 0).alias("own"))
+    dx, dy = F.col("px") - F.col("qx"), F.col("py") - F.col("qy")
+    near = dx * dx + dy * dy <= radius * radius * (1 + 1e-9)  # cheaper than the distance
+    met = rows.join(copies.hint("merge"), ["cx", "cy"]).where(near & (~F.col("own") | (F.col("p") < F.col("q"))))
+    out = met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.hypot(dx.cast("double"), dy.cast("double")).alias("distance"))
+    return out.where(F.col("distance") < radius if strict else F.col("distance") <= radius)
+
+
 #: Sizes of cells that a search for neighbours chooses from: each is twice the one before, the largest holds all.
 LEVELS = 20
 

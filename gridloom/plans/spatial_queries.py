@@ -41,8 +41,7 @@ def q13_knn4_mean_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def q14_radius_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of sites less than 200 apart."""
-    a, b = _pairs(spark, sf_dir)
-    return S.within_distance(a, b, 200.0, ("ax", "ay"), ("bx", "by"), strict=True).where("a < b").select("a", "b", F.round("distance", 6).alias("distance"))
+    return S.pairs_within(sites(spark, sf_dir), 200.0, "site", ("x", "y"), strict=True).select("a", "b", F.round("distance", 6).alias("distance"))
 
 
 _SUPPLIERS_SQL = "SELECT s_suppkey AS t, (s_suppkey * 6007) % 10007 AS x, (s_suppkey * 3001) % 10009 AS y FROM supplier"

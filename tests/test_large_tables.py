@@ -32,3 +32,12 @@ def test_rows_copied_into_cells_are_not_broadcast(spark):
     near = S.within_distance(rows, other, 10.0, ("ax", "ay"), ("bx", "by"))
     for out in (found, near):
         assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_within_meet_once(spark):
+    place = {i: (i * 37 % 101 - 50, i * 53 % 103 - 50) for i in range(300)}
+    rows = spark.createDataFrame([(i, x, y) for i, (x, y) in place.items()], "id long, x long, y long")
+    for strict in (False, True):
+        got = sorted((r["a"], r["b"], round(r["distance"], 9)) for r in S.pairs_within(rows, 10.0, "id", ("x", "y"), strict).collect())
+        far = {(i, j): math.hypot(place[i][0] - place[j][0], place[i][1] - place[j][1]) for i in place for j in place if i < j}
+        assert got == sorted((i, j, round(d, 9)) for (i, j), d in far.items() if d < 10 or (d == 10 and not strict))
