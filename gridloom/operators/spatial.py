@@ -179,20 +179,37 @@ def lines_meeting_polygons(lines: DataFrame, polygons: DataFrame, line: str, rin
     return met.drop("__cx", "__cy")
 
 
+#: Rings with equal borders that are dealt into one part when their pairs are listed.
+COPIES = 512
+
+
 def touching(rings: DataFrame, id_column: str, ring: str, tolerance: float = 0.01, size: float = 50.0) -> DataFrame:
     """Pairs (a, b), a < b, of rings whose borders come within the tolerance of each other.
 
-    Sides are put into the cells that their boxes, wider by the tolerance, meet.
+    Borders are compared once for all ids that have the same.  Sides are put into the cells
+    that their boxes, wider by the tolerance, meet; pairs of ids follow from pairs of borders.
     """
-    sides = rings.select(F.col(id_column).alias("a"), F.explode(G.segments(G.closed(F.col(ring)))).alias("s"))
+    shape = F.sort_array(F.collect_set(ring))  # an id may have several rings
+    of = cut(rings.where(F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("id")).agg(shape.alias("shape")))
+    shapes = cut(of.groupBy("shape").agg(F.min("id").alias("a"), F.ceil(F.count("*") / COPIES).cast("int").alias("n")))
+    sides = shapes.select("a", "n", F.explode("shape").alias("r")).select("a", "n", F.explode(G.segments(G.closed(F.col("r")))).alias("s"))
     for axis in ("x", "y"):
         low, high = F.least(f"s.a.{axis}", f"s.b.{axis}") - tolerance, F.greatest(f"s.a.{axis}", f"s.b.{axis}") + tolerance
-        sides = sides.withColumn(f"c{axis}", F.explode(F.sequence(_cell(low, size), _cell(high, size))))
-    other = sides.withColumnsRenamed({"a": "b", "s": "o"})
+        sides = sides.withColumns({f"low{axis}": low, f"high{axis}": high}).withColumn(f"c{axis}", F.explode(F.sequence(_cell(low, size), _cell(high, size))))
+    other = sides.select("cx", "cy", F.col("a").alias("b"), F.col("n").alias("m"), F.col("s").alias("o"), *[F.col(c).alias(f"o{c}") for c in ("lowx", "highx", "lowy", "highy")])
     p, q, u, v = (F.col(c) for c in ("s.a", "s.b", "o.a", "o.b"))
     near = lambda x, y, at: G.distance(G.between(x, y, G.foot_fraction(x, y, at)), at) <= tolerance
     meet = G.segments_cross(p, q, u, v) | near(p, q, u) | near(p, q, v) | near(u, v, p) | near(u, v, q)
-    return sides.join(other, ["cx", "cy"]).where((F.col("a") < F.col("b")) & meet).select("a", "b").distinct()
+    boxes = (F.col("lowx") <= F.col("ohighx")) & (F.col("olowx") <= F.col("highx")) & (F.col("lowy") <= F.col("ohighy")) & (F.col("olowy") <= F.col("highy"))
+    met = cut(sides.join(other.hint("merge"), ["cx", "cy"]).where((F.col("a") <= F.col("b")) & boxes & meet).select("a", "b", "n", "m").distinct())
+    # members of large groups are dealt into parts, so that no task lists all pairs of a group
+    members = of.join(shapes.select("shape", F.col("a").alias("of"), "n").hint("merge"), "shape").select("id", "of", F.pmod(F.xxhash64("id"), F.col("n")).cast("int").alias("part"))
+    members = cut(members)
+    parts = met.select("a", "b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"), "m").select("a", "b", "i", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"))
+    left = parts.where("a < b or i <= j").join(members.select(F.col("of").alias("a"), F.col("part").alias("i"), F.col("id").alias("p")).hint("merge"), ["a", "i"])
+    both = left.join(members.select(F.col("of").alias("b"), F.col("part").alias("j"), F.col("id").alias("q")).hint("merge"), ["b", "j"])
+    both = both.where((F.col("a") < F.col("b")) | (F.col("i") < F.col("j")) | (F.col("p") < F.col("q")))
+    return both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
 def convex_hull(points: DataFrame, key: str, xy: tuple[str, str]) -> DataFrame:

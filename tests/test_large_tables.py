@@ -41,3 +41,13 @@ def test_pairs_within_meet_once(spark):
         got = sorted((r["a"], r["b"], round(r["distance"], 9)) for r in S.pairs_within(rows, 10.0, "id", ("x", "y"), strict).collect())
         far = {(i, j): math.hypot(place[i][0] - place[j][0], place[i][1] - place[j][1]) for i in place for j in place if i < j}
         assert got == sorted((i, j, round(d, 9)) for (i, j), d in far.items() if d < 10 or (d == 10 and not strict))
+
+
+def test_touching_compares_equal_rings_once(spark, monkeypatch):
+    monkeypatch.setattr(S, "COPIES", 3)
+    box = lambda x, y, w: [(x, y), (x + w, y), (x + w, y + w), (x, y + w)]
+    rings = {i: box(float(i % 4 * 10), 0.0, 10.0 if i % 4 != 3 else 5.0) for i in range(40)} | {40: box(2.0, 2.0, 1.0)}
+    rows = spark.createDataFrame(list(rings.items()), "id long, ring array<struct<x:double,y:double>>")
+    out = S.touching(rows, "id", "ring")
+    assert "Aggregate" not in out._jdf.queryExecution().executedPlan().toString()  # pairs of ids need no shuffle to be distinct
+    assert sorted(map(tuple, out.collect())) == [(i, j) for i in range(40) for j in range(i + 1, 40) if abs(i % 4 - j % 4) <= 1]
