@@ -10,7 +10,6 @@ holds a polygon or a group.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,7 +24,7 @@ PRECISION = 1e-6
 
 
 def _rounded(p: Column, precision: float) -> Column:
-    return G.point(*[F.round(p[a] / precision) * precision for a in ("x", "y")])
+    return G.point(*[F.rint(p[a] / precision) * precision for a in ("x", "y")])
 
 
 def _sides(polygons: DataFrame, ring: str, precision: float) -> DataFrame:
@@ -38,29 +37,44 @@ def _sides(polygons: DataFrame, ring: str, precision: float) -> DataFrame:
     return sides.where(F.col("s.a") != F.col("s.b")).select("key", "pid", *ends)
 
 
-def _in_cells(rows: DataFrame, size: float, margin: float) -> DataFrame:
+def _in_cells(lines: DataFrame, size: float, margin: float) -> DataFrame:
+    """(key, id, ax, ay, bx, by, their least and greatest, ix, iy): lines in the cells that their boxes meet."""
+    rows = lines.select("key", "id", *[F.col(f"{p}.{c}").alias(f"{p}{c}") for p in "ab" for c in "xy"])
     for c in ("x", "y"):
-        low, high = F.least(f"a.{c}", f"b.{c}") - margin, F.greatest(f"a.{c}", f"b.{c}") + margin
-        rows = rows.withColumn(f"c{c}", F.explode(F.sequence(F.floor(low / size).cast("long"), F.floor(high / size).cast("long"))))
+        rows = rows.withColumns({f"low{c}": F.least(f"a{c}", f"b{c}"), f"high{c}": F.greatest(f"a{c}", f"b{c}")})
+    for c in ("x", "y"):
+        low, high = F.col(f"low{c}") - margin, F.col(f"high{c}") + margin
+        rows = rows.withColumn(f"i{c}", F.explode(F.sequence(F.floor(low / size).cast("long"), F.floor(high / size).cast("long"))))
     return rows
 
 
 def _pieces(sides: DataFrame, cell: float, precision: float) -> DataFrame:
     """(key, pid, p, q): sides split where they meet other sides of their group."""
-    lines = cut(sides.select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    mine, other = _in_cells(lines, cell, 2 * precision), _in_cells(lines, cell, 2 * precision).withColumnsRenamed({"a": "c", "b": "d"})
-    a, b, c, d = (F.col(x) for x in "abcd")
-    apart = [F.least(p[e], q[e]) > F.greatest(r[e], t[e]) + 2 * precision for e in ("x", "y") for p, q, r, t in ((a, b, c, d), (c, d, a, b))]
-    pairs = mine.join(other, ["key", "cx", "cy"]).where(~reduce(Column.__or__, apart) & ((a != c) | (b != d)))
-    on = lambda p: (G.distance(G.between(a, b, G.foot_fraction(a, b, p)), p) <= 2 * precision) & (p != a) & (p != b)
+    lines = sides.select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    lines = cut(lines.withColumn("id", F.monotonically_increasing_id()))  # written once, so ids stay
+    mine = _in_cells(lines, cell, 2 * precision)
+    other = mine.select("key", "ix", "iy", *[F.col(c).alias(f"o{c}") for c in mine.columns if c not in ("key", "ix", "iy")])
+    boxes = F.col("id") != F.col("oid")
+    for c in ("x", "y"):
+        boxes = boxes & (F.col(f"low{c}") <= F.col(f"ohigh{c}") + 2 * precision) & (F.col(f"olow{c}") <= F.col(f"high{c}") + 2 * precision)
+    pairs = mine.join(other.hint("merge"), ["key", "ix", "iy"]).where(boxes)
+    a, b, c, d = (F.struct(F.col(f"{p}x").alias("x"), F.col(f"{p}y").alias("y")) for p in ("a", "b", "oa", "ob"))
+    # steps of their own: Java compiles small methods only, and the condition of the join has to stay small
+    at = lambda p: G.foot_fraction(a, b, p)
+    pairs = pairs.withColumns({"atc": at(c), "atd": at(d)})
+    on = lambda p, t: (G.distance(G.between(a, b, F.col(t)), p) <= 2 * precision) & (p != a) & (p != b)
+    pairs = pairs.withColumns({"onc": on(c, "atc"), "ond": on(d, "atd"), "cross": G.segments_cross(a, b, c, d)})
+    # ends of the other line that lie on this one, or else where both cross
+    kinds = F.array(F.when(F.col("onc"), 1), F.when(F.col("ond"), 2), F.when(F.col("cross") & ~F.col("onc") & ~F.col("ond"), 3))
+    met = pairs.select("id", *[f"{p}{e}" for p in ("a", "b", "oa", "ob") for e in "xy"], F.explode(kinds).alias("kind")).where("kind is not null")
+    met = cut(met)
     # a crossing is computed from the smaller line, so that both get the same point
-    first = F.struct(a, b) < F.struct(c, d)
-    ends = [F.when(first, x).otherwise(y) for x, y in ((a, c), (b, d), (c, a), (d, b))]
-    crossing = _rounded(G.between(ends[0], ends[1], G.crossing_fraction(*ends)), precision)
-    touched = F.filter(F.array(F.when(on(c), c), F.when(on(d), d)), lambda p: p.isNotNull())
-    found = F.when(F.size(touched) > 0, touched).when(G.segments_cross(a, b, c, d), F.array(crossing))
-    cuts = pairs.select("key", "a", "b", F.explode(found).alias("p")).where((F.col("p") != a) & (F.col("p") != b)).groupBy("key", "a", "b").agg(F.collect_set("p").alias("ps"))
-    split = lines.join(cuts, ["key", "a", "b"], "left")
+    ends = F.array_sort(F.array(F.struct(a.alias("a"), b.alias("b")), F.struct(c.alias("a"), d.alias("b"))))
+    crossed = lambda e: G.let(G.crossing_fraction(e[0]["a"], e[0]["b"], e[1]["a"], e[1]["b"]), lambda at: _rounded(G.between(e[0]["a"], e[0]["b"], at), precision))
+    found = met.select("id", a.alias("a"), b.alias("b"), F.when(F.col("kind") == 1, c).when(F.col("kind") == 2, d).otherwise(G.let(ends, crossed)).alias("p"))
+    found = found.where("p <> a and p <> b")
+    cuts = found.groupBy("id").agg(F.collect_set("p").alias("ps"))
+    split = lines.join(cuts.hint("merge"), "id", "left")
     none = F.array().cast("array<struct<x:double,y:double>>")
     along = F.transform(F.concat(F.array("a", "b"), F.coalesce("ps", none)), lambda p: F.struct(G.foot_fraction(F.col("a"), F.col("b"), p).alias("at"), p.alias("p")))
     parts = split.select("key", "a", "b", F.explode(G.segments(F.transform(F.array_sort(along), lambda x: x["p"]))).alias("s"))
@@ -77,21 +91,30 @@ def border(polygons: DataFrame, key: str, ring: str = "ring", cell: float = 100.
     """
     rows = polygons.where(F.col(ring).isNotNull()).groupBy(F.col(key).alias("key"), F.col(ring).alias("ring")).agg(F.count("*").alias("n"))
     rows = cut(rows.select("key", "ring", F.xxhash64(F.to_json(F.struct("key", "ring"))).alias("pid")))
-    pieces = cut(_pieces(_sides(rows, "ring", precision), cell, precision))
+    pieces = cut(_pieces(cut(_sides(rows, "ring", precision)), cell, precision))
     low, high = F.least("p", "q").alias("low"), F.greatest("p", "q").alias("high")
     forth = pieces.select("key", "pid", low, high, (F.col("p") < F.col("q")).alias("forth"))
     # pieces of opposite directions have the union on both sides
-    single = forth.groupBy("key", "low", "high").agg(F.min("forth").alias("least"), F.max("forth").alias("most")).where("least = most")
+    pids = [F.min("pid").alias("one"), F.max("pid").alias("two"), F.count("*").alias("n")]
+    single = forth.groupBy("key", "low", "high").agg(F.min("forth").alias("least"), F.max("forth").alias("most"), *pids).where("least = most")
     middle = G.between(F.col("low"), F.col("high"), F.lit(0.5))
-    single = cut(single.withColumns({"mx": middle["x"], "my": middle["y"]}))
+    single = cut(single.withColumns({"mx": middle["x"], "my": middle["y"], "id": F.monotonically_increasing_id()}))
     boxes = rows
     for c in ("x", "y"):
-        ends = [F.floor(f(F.transform("ring", lambda p: p[c])) / cell).cast("long") for f in (F.array_min, F.array_max)]  # noqa: B023
-        boxes = boxes.withColumn(f"c{c}", F.explode(F.sequence(*ends)))
+        ends = [f(F.transform("ring", lambda p: p[c])) for f in (F.array_min, F.array_max)]  # noqa: B023
+        boxes = boxes.withColumns({f"low{c}": ends[0], f"high{c}": ends[1]})
+    boxes = cut(boxes)
+    for c in ("x", "y"):
+        boxes = boxes.withColumn(f"c{c}", F.explode(F.sequence(*[F.floor(F.col(f"{e}{c}") / cell).cast("long") for e in ("low", "high")])))
     at = single.withColumns({f"c{c}": F.floor(F.col(f"m{c}") / cell).cast("long") for c in ("x", "y")})
-    around = at.join(boxes, ["key", "cx", "cy"]).where(G.contains(F.col("ring"), G.point(F.col("mx"), F.col("my"))))
-    covered = around.select("key", "low", "high", "pid").join(forth.select("key", "low", "high", "pid"), ["key", "low", "high", "pid"], "left_anti")
-    kept = single.join(covered.select("key", "low", "high").distinct(), ["key", "low", "high"], "left_anti")
+    inside = (F.col("pid") != F.col("one")) & (F.col("pid") != F.col("two"))  # its own rings do not cover a piece
+    for c in ("x", "y"):
+        inside = inside & (F.col(f"low{c}") <= F.col(f"m{c}")) & (F.col(f"m{c}") <= F.col(f"high{c}"))
+    near = at.select("id", "key", "low", "high", "n", "one", "two", "mx", "my", "cx", "cy").join(boxes.hint("merge"), ["key", "cx", "cy"]).where(inside)
+    around = cut(near.where(G.contains(F.col("ring"), G.point(F.col("mx"), F.col("my")))).select("id", "key", "low", "high", "n", "pid"))
+    many = around.where("n > 2").join(forth.select("key", "low", "high", "pid").hint("merge"), ["key", "low", "high", "pid"], "left_anti")
+    covered = around.where("n <= 2").select("id").unionByName(many.select("id")).distinct()
+    kept = single.join(covered.hint("merge"), "id", "left_anti")
     ends = [F.when(F.col("most"), F.col(x)).otherwise(F.col(y)) for x, y in (("low", "high"), ("high", "low"))]
     return cut(kept.select(F.col("key").alias(key), *[e[c].alias(f"{n}{c}") for n, e in zip("pq", ends, strict=True) for c in ("x", "y")]))
 

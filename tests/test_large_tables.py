@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import geometry as G
 from gridloom.functions import projection as P
+from gridloom.operators import overlay as O
 from gridloom.operators import spatial as S
 
 
@@ -51,3 +52,9 @@ def test_touching_compares_equal_rings_once(spark, monkeypatch):
     out = S.touching(rows, "id", "ring")
     assert "Aggregate" not in out._jdf.queryExecution().executedPlan().toString()  # pairs of ids need no shuffle to be distinct
     assert sorted(map(tuple, out.collect())) == [(i, j) for i in range(40) for j in range(i + 1, 40) if abs(i % 4 - j % 4) <= 1]
+
+
+def test_sides_of_rings_are_rounded_once(spark):
+    rows = spark.range(1).select(F.lit(1).alias("key"), F.lit(1).alias("pid"), F.array(*[G.point(F.col("id") + x, F.col("id") + y) for x, y in ((0, 0), (1, 0), (0, 1))]).alias("ring"))
+    plan = O._sides(rows, "ring", O.PRECISION)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("rint(") + plan.count("round(") <= 8
