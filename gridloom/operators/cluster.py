@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import electrical as E
 from gridloom.functions.electrical import MAPPED_CAPACITIES, RESIDENTIAL_TYPES, SIMULTANEITY, SYNTHESISED_CAPACITIES
 from gridloom.operators import models
-from gridloom.operators.spatial import nearest
+from gridloom.operators.spatial import nearest, within_distance
 from gridloom.operators.staging import cut
 
 #: Points of a component above which it is split by k-means, and points of a part.
@@ -159,31 +160,116 @@ def assign_to_transformers(costs: DataFrame, consumers: DataFrame, key: str) ->
     others.  The overall cheapest pair can always be decided, so the rounds end; no
     task holds an area.
     """
-    of_class = E.consumer_class(F.col("kind"))
-    only = lambda name, c: F.sum(F.when(of_class == name, F.col(c).cast("double")).otherwise(0.0)).alias(f"__{c}_{name}")
-    users = consumers.groupBy(key, "consumer").agg(*[only(name, c) for name in E.SIMULTANEITY for c in ("power", "count")])
+    users = _by_class(consumers, key)
     rest = users.columns[2:]
     cheapest = costs.where(F.col("cost") < REACH).groupBy(key, "consumer", "transformer").agg(F.min("cost").alias("cost"))
-    pairs = cut(cheapest.join(users, [key, "consumer"]).select(key, "consumer", "transformer", "cost", *rest))
-    own = Window.partitionBy(key, "consumer")
-    before = Window.partitionBy(key, "transformer").orderBy("cost", "consumer").rowsBetween(Window.unboundedPreceding, 0)
+    given, _ = _decided(cut(cheapest.join(users, [key, "consumer"]).select(key, "consumer", "transformer", "cost", *rest)), key)
+    return _sized(given, key)
+
+
+def assign_within_reach(consumers: DataFrame, transformers: DataFrame, key: str) -> DataFrame:
+    """``assign_to_transformers`` by straight distances, without a table of all pairs within reach.
+
+    ``consumers`` also has x and y, the same in all rows of a consumer; ``transformers`` has
+    transformer, tx and ty, and each serves every area with 630 kVA of its own.
+
+    Pairs are taken by cost, so those of a distance can be decided before any farther one
+    is known: a step looks for pairs from the distance done up to a larger one, of consumers
+    not given yet and transformers not full.  The next distance is the largest halving of
+    ``REACH`` that a count of both in cells finds few pairs for, and at least the next one.
+    """
+    places = consumers.groupBy(key, "consumer").agg(F.min("x").alias("x"), F.min("y").alias("y"))
+    left = cut(places.join(_by_class(consumers, key), [key, "consumer"]))
+    rest = left.columns[4:]
+    sites = cut(transformers.select("transformer", "tx", "ty").distinct())
+    given = full = None
+    done, after = 0.0, HALVINGS + 1
+    while after:
+        after = _next_reach(left, sites, after)
+        reach = REACH / 2**after
+        near = within_distance(left, sites, reach, ("x", "y"), ("tx", "ty"), strict=True).where(F.col("distance") >= done)
+        pairs = near.select(key, "consumer", "transformer", F.col("distance").alias("cost"), *rest)
+        if given is None:
+            given, full = _decided(cut(pairs), key)
+        else:
+            pairs = cut(pairs.join(full, [key, "transformer"], "left_anti"))
+            offered = pairs.select(key, "transformer").distinct()
+            # those given before come first in the running sums of their transformers
+            before = given.join(offered, [key, "transformer"], "left_semi").select(pairs.columns)
+            more, filled = _decided(cut(pairs.unionByName(before)), key)
+            given = cut(given.join(offered, [key, "transformer"], "left_anti").unionByName(more))
+            full = cut(full.unionByName(filled))
+        if after:
+            left = cut(left.join(given, [key, "consumer"], "left_anti"))
+            if left.isEmpty():
+                break
+        done = reach
+    return _sized(given, key)
+
+
+#: Halvings of ``REACH`` that ``assign_within_reach`` may begin with, and the pairs of a step: by consumer, and always allowed.
+HALVINGS, STEP_PAIRS, SMALL_STEP = 10, 16, 4_000_000
+
+
+def _next_reach(left: DataFrame, sites: DataFrame, after: int) -> int:
+    """The fewest halvings of ``REACH``, less than ``after``, within which there are few pairs by a count in cells."""
+    size = REACH / 2**HALVINGS
+    fine = lambda df, x, y: df.groupBy(*[F.floor(F.col(c) / size).cast("long").alias(n) for n, c in (("cx", x), ("cy", y))]).agg(F.count("*").alias("n"))
+    levels = F.explode(F.sequence(F.lit(0), F.lit(after - 1)))
+
+    def at_levels(df: DataFrame, n: str) -> DataFrame:
+        rows = df.withColumn("l", levels).withColumn("s", F.lit(HALVINGS) - F.col("l"))
+        return rows.groupBy("l", F.expr("shiftright(cx, s)").alias("cx"), F.expr("shiftright(cy, s)").alias("cy")).agg(F.sum("n").alias(n))
 
-    def load_of(total: Callable[[str], Column]) -> Column:
-        return sum((E.simultaneous_load(total(f"__power_{name}"), total(f"__count_{name}"), F.lit(share)) for name, share in E.SIMULTANEITY.items()), F.lit(0.0))
+    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    there = at_levels(fine(sites, "tx", "ty"), "t").withColumn("i", around).withColumn("j", around)
+    there = there.groupBy("l", (F.col("cx") + F.col("i")).alias("cx"), (F.col("cy") + F.col("j")).alias("cy")).agg(F.sum("t").alias("t"))
+    here = at_levels(fine(left, "x", "y"), "c")
+    met = here.join(there, ["l", "cx", "cy"], "left").groupBy("l").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("t")).alias("pairs"))
+    few = [r["l"] for r in met.collect() if (r["pairs"] or 0) <= max(SMALL_STEP, STEP_PAIRS * r["c"])]  # a row a halving
+    return min(few, default=after - 1)
 
-    load = load_of(lambda c: F.sum(c).over(before))
+
+def _by_class(consumers: DataFrame, key: str) -> DataFrame:
+    """(key, consumer, ...): power and count of each consumer by class of simultaneous use."""
+    of_class = E.consumer_class(F.col("kind"))
+    only = lambda name, c: F.sum(F.when(of_class == name, F.col(c).cast("double")).otherwise(0.0)).alias(f"__{c}_{name}")
+    return consumers.groupBy(key, "consumer").agg(*[only(name, c) for name in E.SIMULTANEITY for c in ("power", "count")])
+
+
+def _load_of(total: Callable[[str], Column]) -> Column:
+    return sum((E.simultaneous_load(total(f"__power_{name}"), total(f"__count_{name}"), F.lit(share)) for name, share in E.SIMULTANEITY.items()), F.lit(0.0))
+
+
+def _sized(given: DataFrame, key: str) -> DataFrame:
+    sizes = given.groupBy(key, "transformer").agg(_load_of(F.sum).alias("load"))
+    sizes = sizes.select(key, "transformer", "load", E.next_capacity(F.col("load"), MAPPED_CAPACITIES).cast("long").alias("size_kva"))
+    return given.join(sizes, [key, "transformer"]).select(key, "consumer", "transformer", "cost", "load", "size_kva")
+
+
+def _decided(pairs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The pairs of (key, consumer, transformer, cost, ...) that are given, and (key, transformer) of those full.
+
+    A transformer none of whose pairs waits leaves the rounds.
+    """
+    columns = pairs.columns
+    own, of = Window.partitionBy(key, "consumer"), Window.partitionBy(key, "transformer")
+    before = of.orderBy("cost", "consumer").rowsBetween(Window.unboundedPreceding, 0)
+    load = _load_of(lambda c: F.sum(c).over(before))
+    given, full = [], []
     while True:
         ranked = pairs.withColumn("nth", F.row_number().over(own.orderBy("cost", "transformer")))
-        summed = ranked.withColumns({"waits": F.max(F.col("nth") > 1).over(before), "load": load})
-        full = F.max(~F.col("waits") & (F.col("load") >= FULL_KVA)).over(before)
-        open_ = summed.withColumn("full", full).where(~F.col("full")).withColumn("given", ~F.col("waits"))
-        pairs = cut(open_.withColumn("taken", F.max("given").over(own)).where(F.col("given") | ~F.col("taken")).select(key, "consumer", "transformer", "cost", *rest, "given"))
-        if pairs.where(~F.col("given")).isEmpty():
-            break
-        pairs = pairs.drop("given")
-    sizes = pairs.groupBy(key, "transformer").agg(load_of(F.sum).alias("load"))
-    sizes = sizes.select(key, "transformer", "load", E.next_capacity(F.col("load"), MAPPED_CAPACITIES).cast("long").alias("size_kva"))
-    return pairs.join(sizes, [key, "transformer"]).select(key, "consumer", "transformer", "cost", "load", "size_kva")
+        summed = ranked.withColumns({"waits": F.max(F.col("nth") > 1).over(before), "open": F.max(F.col("nth") > 1).over(of), "load": load})
+        judged = summed.withColumn("full", F.max(~F.col("waits") & (F.col("load") >= FULL_KVA)).over(before)).withColumn("given", ~F.col("waits") & ~F.col("full"))
+        judged = judged.withColumn("taken", F.max("given").over(own)).where(F.col("full") | F.col("given") | ~F.col("taken"))
+        judged = cut(judged.select(*columns, "given", "full", "open"))
+        full.append(judged.where("full").select(key, "transformer").distinct())
+        given.append(judged.where("given and not open").select(columns))
+        pairs = judged.where("open and not full")
+        if pairs.where("not given").isEmpty():
+            given.append(pairs.select(columns))
+            return reduce(DataFrame.unionByName, given), cut(reduce(DataFrame.unionByName, full).distinct())
+        pairs = pairs.select(columns)
 
 
 def weighted_median_site(distances: DataFrame, loads: DataFrame, keys: list[str]) -> DataFrame:

@@ -32,12 +32,10 @@ def q24_weighted_one_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def q25_greedy_capacity_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sites given to suppliers' transformers within reach until these are full."""
-    b = buildings(spark, sf_dir).select("nation", F.col("site").alias("consumer"), F.col("x").alias("cx"), F.col("y").alias("cy"), "kind", F.col("peak").alias("power"), F.col("units").alias("count"))
+    b = buildings(spark, sf_dir).select("nation", F.col("site").alias("consumer"), "x", "y", "kind", F.col("peak").alias("power"), F.col("units").alias("count"))
     key = F.col("s_suppkey")
-    t = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("of"), key.alias("transformer"), (key * 6007 % 10007).alias("tx"), (key * 3001 % 10009).alias("ty"))
-    costs = S.within_distance(b.select("nation", "consumer", "cx", "cy"), t, C.REACH, ("cx", "cy"), ("tx", "ty"), strict=True)
-    costs = costs.select("nation", "consumer", "transformer", F.col("distance").alias("cost"))
-    return C.assign_to_transformers(costs, b.select("nation", "consumer", "kind", "power", "count"), "nation")
+    t = table(spark, sf_dir, "supplier").select(key.alias("transformer"), (key * 6007 % 10007).alias("tx"), (key * 3001 % 10009).alias("ty"))
+    return C.assign_within_reach(b, t, "nation")
 
 
 @query()
