@@ -153,13 +153,18 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, xy: tuple[str, st
     Polygons are copied into the cells that their bounding box meets, so neither
     side is broadcast.
     """
-    low = lambda axis: F.array_min(F.transform(F.col(ring), lambda p: p[axis]))
-    high = lambda axis: F.array_max(F.transform(F.col(ring), lambda p: p[axis]))
     boxes = polygons
     for axis in ("x", "y"):
-        boxes = boxes.withColumn(f"__c{axis}", F.explode(F.sequence(_cell(low(axis), size), _cell(high(axis), size))))
+        ends = F.transform(F.col(ring), lambda p: p[axis])  # noqa: B023
+        boxes = boxes.withColumns({f"__low{axis}": F.array_min(ends), f"__high{axis}": F.array_max(ends)})
+    for axis in ("x", "y"):
+        boxes = boxes.withColumn(f"__c{axis}", F.explode(F.sequence(_cell(F.col(f"__low{axis}"), size), _cell(F.col(f"__high{axis}"), size))))
     cells = points.withColumns({"__cx": _cell(F.col(xy[0]), size), "__cy": _cell(F.col(xy[1]), size)})
-    return cells.join(boxes, ["__cx", "__cy"]).where(G.contains(F.col(ring), G.point(F.col(xy[0]), F.col(xy[1])))).drop("__cx", "__cy")
+    inside = F.lit(True)
+    for axis, c in zip(("x", "y"), xy, strict=True):  # the box first, as it is cheaper than the ring
+        inside = inside & F.col(c).between(F.col(f"__low{axis}"), F.col(f"__high{axis}"))
+    met = cells.join(boxes, ["__cx", "__cy"]).where(inside & G.contains(F.col(ring), G.point(F.col(xy[0]), F.col(xy[1]))))
+    return met.drop("__cx", "__cy", *[f"__{n}{axis}" for n in ("low", "high") for axis in ("x", "y")])
 
 
 def lines_meeting_polygons(lines: DataFrame, polygons: DataFrame, line: str, ring: str, size: float = 1000.0) -> DataFrame:
