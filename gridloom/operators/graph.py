@@ -137,14 +137,14 @@ def shortest_paths(sources: DataFrame, edges: DataFrame, limit: float | None = N
         new = found.join(down, (found["vertex"] == down["w"]) & _same(found, down, within)).select(
             *[found[c] for c in within], "source", F.col("u").alias("vertex"), (F.col("cost") + F.col("c")).alias("cost"), down["via"].alias("via")
         )
-        found = found.unionByName(cut(_least_cost(below(new), within)))
+        found = cut(found.unionByName(_least_cost(below(new), within)))
         if many:
             up = up.where("need").withColumnRenamed("via", "last")
             new = found.join(up, (found["source"] == up["w"]) & _same(found, up, within)).where("vertex <> u").select(
                 *[found[c] for c in within], F.col("u").alias("source"), "vertex", (F.col("cost") + F.col("c")).alias("cost"), F.coalesce("via", "last").alias("via")
             )
             own = up.select(*within, F.col("u").alias("source"), F.col("u").alias("vertex"), F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("via")).distinct()
-            found = found.unionByName(cut(_least_cost(below(new), within).unionByName(own)))
+            found = cut(found.unionByName(_least_cost(below(new), within)).unionByName(own))
     if many and taken:
         found = found.join(starts.withColumnRenamed("u", "source"), [*within, "source"], "left_semi")
     return found
@@ -173,34 +173,48 @@ def contracted(edges: DataFrame, starts: DataFrame, within: tuple[str, ...] = ()
     ``also_starts``.  One with two neighbours leaves an edge between them.  Each of ``taken``
     is (down, up): how u, taken out, is reached from each of its neighbours w at that time,
     and how w is from u.  In ``up``, ``need`` marks starts and what starts before were linked to.
+
+    Inside, an edge also has ``back``, the vertex before u on the way from w, so a vertex
+    that goes knows all that its neighbours need.  A round writes two tables.
     """
     keys, taken = [*within, "u"], []
     order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(taken))), F.col(c))
+    as_w = lambda rows: rows.select(*within, F.col("u").alias("w"))
     own = Window.partitionBy(*keys)
     edges = edges.join(starts.select(*keys, F.lit(True).alias("need")), keys, "left").withColumn("need", F.col("need").isNotNull())
+    turned = edges.select(*within, F.col("u").alias("w"), F.col("w").alias("u"), F.col("via").alias("back"))
+    edges = edges.join(turned, [*keys, "w"])
     while True:
         # an edge of no length stays, or pointers to the vertex before could close a circle
-        few = (F.count("*").over(own) <= 2) & (F.min("c").over(own) > 0)
-        open_ = edges.withColumn("open", few if also_starts else few & ~F.col("need"))
-        other = open_.where("open").select(*within, F.col("u").alias("w"), F.lit(True).alias("w_open")).distinct()
-        beaten = F.max(F.col("w_open").isNotNull() & (order("w") < order("u"))).over(own)
-        first = F.row_number().over(own.orderBy("w")) == 1
-        judged = cut(open_.join(other, [*within, "w"], "left").withColumns({"goes": F.col("open") & ~beaten, "first": first}).drop("w_open"))
+        few = (F.count("w").over(own) <= 2) & (F.min("c").over(own) > 0)
+        need, side = F.max("need").over(own), F.when(F.col("w").isNotNull(), F.struct("w", "c", "via", "back"))
+        judged = edges.withColumns({"need": need, "open": few if also_starts else few & ~need, "a": F.min(side).over(own), "b": F.max(side).over(own)})
+        judged = judged.where("w IS NOT NULL").withColumn("first", F.col("w") == F.col("a.w"))
+        judged = cut(judged.withColumns({n: F.when(F.col("open") & F.col("first"), F.col(n)) for n in ("a", "b")}))
+        edges = judged.select(*keys, "w", "c", "via", "back", "need")
         counts = judged.where("first").agg(F.count("*").alias("n"), F.count_if("open").alias("open")).first()
         if counts["open"] * WORTH < counts["n"] or not counts["open"]:
-            return edges.drop("need"), taken
-        # a vertex that goes has two edges at most, and the edges back to it are the same turned round
-        gone = judged.where("goes").select(*within, F.col("u").alias("w"), F.lit(True).alias("w_goes"), F.col("need").alias("w_need")).distinct()
-        marked = judged.join(gone, [*within, "w"], "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("w_goes", "w_need")})
-        marked = cut(marked.withColumn("need", F.col("need") | F.max("w_need").over(own)) if also_starts else marked)
-        down = marked.where("w_goes").select(*within, F.col("w").alias("u"), F.col("u").alias("w"), "c", "via", "need")
-        up = marked.where("goes").select(*within, "u", "w", "c", "via", "need")
-        back = up.select(*keys, F.col("w").alias("other"), F.col("c").alias("back"), F.col("via").alias("last"))
-        through = down.drop("via").join(back, keys).where("w <> other").select(*within, F.col("w").alias("u"), F.col("other").alias("w"), (F.col("c") + F.col("back")).alias("c"), F.col("last").alias("via"), "need")
-        rest = marked.where(~F.col("goes") & ~F.col("w_goes")).select(*within, "u", "w", "c", "via", "need")
-        best = rest.unionByName(through).groupBy(*within, "u", "w").agg(F.min(F.struct("c", "via")).alias("e"), F.first("need").alias("need"))
-        edges = cut(best.select(*within, "u", "w", "e.c", "e.via", "need"))
-        taken.append((down.drop("need"), up))
+            return edges.drop("need", "back"), taken
+        open_ = judged.where("open")
+        beaten = open_.where(order("w") < order("u")).select(*keys, "w").join(as_w(open_.where("first")), [*within, "w"], "left_semi").select(*keys)
+        # a vertex that goes has two edges at most, and its neighbours stay
+        gone = cut(open_.where("first").join(beaten, keys, "left_anti").select(*keys, "a", "b", "need"))
+        both = F.col("a.w") != F.col("b.w")
+        side = gone.select(*keys, "need", F.explode(F.when(both, F.array("a", "b")).otherwise(F.array("a"))).alias("s"))
+        down = side.select(*keys, "s.w", "s.c", F.col("s.back").alias("via"))
+        up = side.select(*keys, "s.w", "s.c", "s.via", "need")
+        turns = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+        through = gone.where(both).select(*within, "need", F.explode(turns).alias("p"))
+        through = through.select(*within, F.col("p.a.w").alias("u"), F.col("p.b.w").alias("w"), (F.col("p.a.c") + F.col("p.b.c")).alias("c"), F.col("p.b.via").alias("via"), F.col("p.a.via").alias("back"), "need")
+        # rows without w note who is needed, as the edges of a vertex may all go: starts, and neighbours of those that go
+        values = ["w", "c", "via", "back"]
+        noted = up.where("need").select(*within, F.col("w").alias("u"), *[F.lit(None).cast(t).alias(c) for c, t in edges.dtypes if c in values], "need")
+        rest = edges.join(gone.select(*keys), keys, "left_anti").join(as_w(gone).withColumn("goes", F.lit(True)), [*within, "w"], "left")
+        rest = rest.where("goes IS NULL OR need").select(*keys, *[F.when(F.col("goes").isNull(), F.col(c)).alias(c) for c in values], "need")
+        best = rest.unionByName(through).unionByName(noted).repartition(*keys).groupBy(*keys, "w")  # one shuffle, for the window as well
+        best = best.agg(F.min(F.struct("c", "via")).alias("e"), F.min(F.struct("c", "back")).alias("r"), F.max("need").alias("need"))
+        edges = best.select(*keys, "w", "e.c", "e.via", "r.back", "need")
+        taken.append((down, up))
 
 
 def simplified(edges: DataFrame, kept: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
@@ -267,6 +281,24 @@ def ordered_paths(paths: DataFrame, ends: DataFrame, within: tuple[str, ...] = (
     return on.select(*keys, "vertex", nth.alias("nth"), "node")
 
 
+def every_way(paths: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """``ordered_paths`` with all of ``paths`` as ends.
+
+    Each row holds the last vertices of its way as an array, which takes in that of the
+    vertex before it in each round: one row a way is moved, not one a vertex on it.
+    """
+    keys = [*within, "source"]
+    rows = cut(paths.select(*keys, "vertex", F.col("via").alias("ahead"), F.array("vertex").alias("way")))
+    while not rows.where("ahead IS NOT NULL").isEmpty():
+        before = rows.select(*keys, F.col("vertex").alias("ahead"), F.col("ahead").alias("beyond"), F.col("way").alias("before"))
+        met = rows.where("ahead IS NOT NULL").join(before, [*keys, "ahead"], "left")
+        way = F.concat(F.coalesce("before", F.array("ahead")), "way")
+        met = met.select(*keys, "vertex", F.col("beyond").alias("ahead"), way.alias("way"))
+        rows = cut(rows.where("ahead IS NULL").unionByName(met))
+    out = rows.select(*keys, "vertex", F.posexplode("way").alias("nth", "node"))
+    return out.withColumn("nth", F.col("nth") + 1)
+
+
 def tree_paths(edges: DataFrame, root: int | str, length: str = "length", within: tuple[str, ...] = ()) -> DataFrame:
     """(within..., vertex, depth, distance, branch, path) of radial networks of (within..., parent, child, length).
 

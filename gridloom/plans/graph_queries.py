@@ -79,8 +79,7 @@ def q23_cost_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def q71_ordered_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vertices in order on the cheapest way from every vertex to all that it reaches."""
-    paths = G.cut(G.shortest_paths(_vertices(spark, sf_dir), supplier_edges(spark, sf_dir), many=True))
-    return G.ordered_paths(paths, paths)
+    return G.every_way(G.shortest_paths(_vertices(spark, sf_dir), supplier_edges(spark, sf_dir), many=True))
 
 
 def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:

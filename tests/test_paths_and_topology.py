@@ -74,6 +74,33 @@ def test_a_long_road_takes_few_rounds(spark, monkeypatch):
     assert len(writes) < 150
 
 
+def test_contraction_writes_two_tables_a_round(spark, monkeypatch):
+    n, writes, cut = 400, [], graph.cut
+    circle = spark.range(n).select(F.col("id").alias("source"), ((F.col("id") + 1) % n).alias("target"), F.lit(1.0).alias("cost"))
+    edges = graph._cheapest(graph._directed(circle, ()), ())
+    monkeypatch.setattr(graph, "cut", lambda df: writes.append(1) or cut(df))
+    left, taken = graph.contracted(edges, spark.createDataFrame([(5,), (6,), (200,)], "u long"))
+    assert sorted((r.u, r.w, r.c) for r in left.collect()) == [(5, 6, 1.0), (5, 200, 205.0), (6, 5, 1.0), (6, 200, 194.0), (200, 5, 205.0), (200, 6, 194.0)]
+    assert len(writes) <= 2 * len(taken) + 1
+
+
+@pytest.mark.parametrize("sources", [[3, 77, 90], list(range(80))])
+def test_every_way_moves_one_row_a_way(spark, monkeypatch, sources):
+    e, s = spark.createDataFrame(network(4), "source long, target long, cost double"), spark.createDataFrame([(x,) for x in sources], "vertex long")
+    paths = graph.cut(graph.shortest_paths(s, e, many=True))
+    want, sizes, cut = graph.ordered_paths(paths, paths).collect(), [], graph.cut
+
+    def counted(df):
+        out = cut(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "cut", counted)
+    got = graph.every_way(paths).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 2 * paths.count()
+    assert set(sizes) == {paths.count()}
+
+
 def test_simplified_keeps_costs(spark):
     edges = network(6)
     kept = [3, 20, 40, 62, 77]
