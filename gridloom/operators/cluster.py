@@ -13,6 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ from gridloom.operators.staging import cut
 
 #: Points of a component above which it is split by k-means, and points of a part.
 LARGE_COMPONENT, PART = 2000, 1000
+#: Rows that one task may cut at medians; up to here the approximate medians of Spark are exact, so both ways agree.
+NODE = 4000
 #: Clusters below this size are accepted even if they are overloaded.
 SMALLEST_SPLIT = 5
 #: Longest connection to a mapped transformer, and the load that fills one.
@@ -375,13 +378,18 @@ def _fitted(rows: DataFrame, columns: list[str], key: str, k: int, algorithm: st
 
 
 def halved(points: DataFrame, group: str, parts: str) -> DataFrame:
-    """``points`` (group, x, y, parts, ...) with ``__node``: each group cut at medians along its wider side into its number of parts."""
+    """``points`` (group, x, y, parts, ...) with ``__node``: each group cut at medians along its wider side into its number of parts.
+
+    Groups are halved in rounds until all that is left to cut has at most NODE rows; one
+    task then finishes each of these.  Points without a coordinate stay on the left.
+    """
     rows = cut(points.withColumns({"__node": F.lit(1).cast("long"), "__todo": F.col(parts).cast("long")}))
-    while not rows.where("__todo > 1").isEmpty():
-        open_nodes = rows.where("__todo > 1").groupBy(group, "__node").agg(
-            ((F.max("x") - F.min("x")) >= (F.max("y") - F.min("y"))).alias("__wide"), F.percentile_approx("x", 0.5, 10_000).alias("__mx"), F.percentile_approx("y", 0.5, 10_000).alias("__my")
+    is_open = F.coalesce(F.col("__todo") > 1, F.lit(False))
+    while not rows.where(is_open).groupBy(group, "__node").count().where(F.col("count") > NODE).isEmpty():
+        open_nodes = rows.where(is_open).groupBy(group, "__node").agg(
+            F.coalesce((F.max("x") - F.min("x")) >= (F.max("y") - F.min("y")), F.lit(False)).alias("__wide"), F.percentile_approx("x", 0.5, 10_000).alias("__mx"), F.percentile_approx("y", 0.5, 10_000).alias("__my")
         )
-        right = F.when(F.col("__wide"), F.col("x") > F.col("__mx")).otherwise(F.col("y") > F.col("__my"))
+        right = F.coalesce(F.when(F.col("__wide"), F.col("x") > F.col("__mx")).otherwise(F.col("y") > F.col("__my")), F.lit(False))
         half = F.when(right, F.floor(F.col("__todo") / 2)).otherwise(F.ceil(F.col("__todo") / 2))
         moved = rows.join(open_nodes, [group, "__node"], "left").withColumn("__right", right)
         rows = cut(
@@ -392,7 +400,25 @@ def halved(points: DataFrame, group: str, parts: str) -> DataFrame:
                 }
             ).drop("__wide", "__mx", "__my", "__right")
         )
-    return rows.drop("__todo")
+
+    def finish(node: pa.Table) -> pa.Table:
+        x, y = (node.column(c).to_numpy() for c in ("x", "y"))
+        names = np.empty(len(x), np.int64)
+        known = lambda v: v[v == v]
+        span = lambda v: np.ptp(known(v)) if len(known(v)) else -np.inf
+        work = [(np.arange(len(x)), *(node.column(c)[0].as_py() for c in ("__node", "__todo")))]
+        while work:
+            at, name, todo = work.pop()
+            names[at] = name
+            if todo > 1 and len(at):
+                side = x[at] if span(x[at]) >= span(y[at]) else y[at]
+                seen = np.sort(known(side))
+                right = side > seen[(len(seen) - 1) // 2] if len(seen) else np.zeros(len(at), bool)
+                work += [(at[~right], 2 * name, (todo + 1) // 2), (at[right], 2 * name + 1, todo // 2)]
+        return node.set_column(node.schema.get_field_index("__node"), "__node", pa.array(names))
+
+    finished = rows.where(is_open).groupBy(group, "__node").applyInArrow(finish, rows.schema)
+    return cut(rows.where(~is_open).unionByName(finished).drop("__todo"))
 
 
 def bounded_areas(points: DataFrame, group: str, most: int = PART) -> DataFrame:

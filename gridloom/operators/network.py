@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,37 +64,48 @@ def lay_branches(nodes: DataFrame, key: str, limit_ka: float = E.BRANCH_LIMIT_KA
     on its way to the transformer while its current stays below the limit.
     """
 
-    def lay(group: pd.DataFrame) -> pd.DataFrame:
-        from gridloom.operators.cluster import coincident_load
-
-        at = {r.node: r for r in group.itertuples(index=False)}
-        left = {v for v, r in at.items() if len(r.kinds)}
+    def lay(group: pa.Table) -> pa.Table:
+        at = {r["node"]: r for r in group.to_pylist()}
+        number = lambda x: math.nan if x is None else x
+        away = {v: number(r["distance"]) for v, r in at.items()}
+        left = {v for v, r in at.items() if r["kinds"]}
         out, branch = [], 0
-        while left:
-            far = max(left, key=lambda v: (at[v].distance, -v))
-            way, v = [], far
+        for far in sorted(left, key=lambda v: (away[v], -v), reverse=True):
+            if far not in left:
+                continue
+            taken, load, total, v = [], 0.0, {}, far
             while v is not None and v in at:
+                r = at[v]
                 if v in left:
-                    way.append(v)
-                v = None if pd.isna(at[v].parent) else int(at[v].parent)
-            taken, load = [], 0.0
-            for v in way:
-                trial = [*taken, v]
-                now = coincident_load(*[[x for t in trial for x in getattr(at[t], c)] for c in ("kinds", "powers", "counts")])
-                if taken and now / (E.VOLTS * E.LOWER_VOLTAGE_BAND * math.sqrt(3)) >= limit_ka:
-                    break
-                taken, load = trial, now
+                    # sums by class go on from node to node, in the order of coincident_load
+                    for kind, power, count in zip(r["kinds"], r["powers"], r["counts"], strict=True):
+                        of = total.setdefault("Residential" if kind in E.RESIDENTIAL_TYPES else kind, [0.0, 0.0])
+                        of[0] += number(power)
+                        of[1] += number(count)
+                    now = 0.0
+                    for c, (p, n) in total.items():
+                        if n and c in E.SIMULTANEITY:
+                            now += p * (E.SIMULTANEITY[c] + (1 - E.SIMULTANEITY[c]) * n**-0.75)
+                    if taken and now / (E.VOLTS * E.LOWER_VOLTAGE_BAND * math.sqrt(3)) >= limit_ka:
+                        break
+                    taken.append(v)
+                    load = now
+                v = r["parent"]
             for nth, v in enumerate(taken):
                 follows = taken[nth + 1] if nth + 1 < len(taken) else None
-                length = at[v].distance - (at[follows].distance if follows is not None else 0.0)
-                out.append((group[key].iloc[0], branch, nth, v, follows, length, load, load / (E.VOLTS * E.LOWER_VOLTAGE_BAND * math.sqrt(3))))
+                length = away[v] - (away[follows] if follows is not None else 0.0)
+                out.append((branch, nth, v, follows, length, load, load / (E.VOLTS * E.LOWER_VOLTAGE_BAND * math.sqrt(3))))
             left -= set(taken)
             branch += 1
-        frame = pd.DataFrame(out, columns=[key, "branch", "nth", "node", "next", "length", "load", "current_ka"])
-        return frame.astype({"next": "Int64"})
+        keys = group.column(key)[:1].to_pylist() * len(out)
+        types = [group.schema.field(key).type, pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+        columns = [keys, *(zip(*out, strict=True) if out else [[]] * 7)]
+        names = [key, "branch", "nth", "node", "next", "length", "load", "current_ka"]
+        return pa.table([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
 
     kind = dict(nodes.dtypes)[key]
-    return nodes.groupBy(key).applyInPandas(lay, f"{key} {kind}, branch int, nth int, node long, next long, length double, load double, current_ka double")
+    nodes = nodes.select(key, "node", "parent", "distance", "kinds", "powers", "counts")
+    return nodes.groupBy(key).applyInArrow(lay, f"{key} {kind}, branch int, nth int, node long, next long, length double, load double, current_ka double")
 
 
 def house_connections(houses: DataFrame, key: str, kind: str, power: str, count: str, length_m: str, catalogue: tuple = E.HOUSE_CABLES) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import geometry as G
 from gridloom.functions import projection as P
 from gridloom.operators import cluster as C
+from gridloom.operators import network as N
 from gridloom.operators import overlay as O
 from gridloom.operators import spatial as S
 from gridloom.operators import transformers as T
@@ -90,3 +91,24 @@ def test_only_the_latest_of_a_crowd_are_compared(spark, monkeypatch):
     got = {r["id"] for r in T.clean_candidates(rows, malls).collect()}
     assert got == {str(i) for i, p in place.items() if not any(math.dist(p, place[j]) < T.SAME_PLACE_M for j in range(i + 1, 2000))} | {"far", "nowhere"}
     assert compared[0][0] <= 5 * 4 + 1 and compared[0][1] <= 23 * 19 + 2
+
+
+def test_halving_ends_in_one_task_a_node(spark, monkeypatch):
+    rows = [(g, 100_000 * g + i, i * 7919 % 1009, i * 6007 % 2003 if i % 3 else 5) for g, n in ((1, 3000), (2, 500), (3, 1)) for i in range(n)]
+    writes, cut = [], C.cut
+    monkeypatch.setattr(C, "cut", lambda df: writes.append(1) or cut(df))
+    points = spark.createDataFrame(rows, "g int, id long, x long, y long").withColumn("parts", F.expr("CASE g WHEN 1 THEN 61 WHEN 2 THEN 10 ELSE 1 END"))
+    few = {r.id: (r.g, r["__node"]) for r in C.halved(points, "g", "parts").collect()}
+    assert len(few) == len(rows) and len(set(few.values())) == 72 and len(writes) == 2
+    monkeypatch.setattr(C, "NODE", 0)  # all rounds
+    assert {r.id: (r.g, r["__node"]) for r in C.halved(points, "g", "parts").collect()} == few
+
+
+def test_feeders_follow_large_numbers_and_sum_in_order(spark):
+    first = 2**60
+    rows = [(1, first + i, first + i - 1 if i else None, float(i), ["SFH", "Commercial"], [3.1, 0.7], [1.0, 1.0]) for i in range(4)]
+    schema = "grid int, node long, parent long, distance double, kinds array<string>, powers array<double>, counts array<double>"
+    out = N.lay_branches(spark.createDataFrame(rows, schema), "grid").collect()
+    load = C.coincident_load(["SFH", "Commercial"] * 4, [3.1, 0.7] * 4, [1.0, 1.0] * 4)
+    assert sorted((r.branch, r.nth, r.node, r.next) for r in out) == [(0, i, first + 3 - i, first + 2 - i if i < 3 else None) for i in range(4)]
+    assert all(math.isclose(r.load, load, rel_tol=1e-12) for r in out)
